@@ -64,4 +64,5 @@ def pattern_cell(c: Column) -> Column:
 
 
 def percent(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f%%", c)
+    """``57.78%``; a tie goes to the even digit, as in Python's formatting."""
+    return F.concat(F.bround(c.cast("decimal(24,12)"), digits).cast("string"), F.lit("%"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,3 +54,17 @@ def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="threadloom-py-"), "threadloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "threadloom"))
+    _shipped.add(app)

@@ -22,10 +22,17 @@ def exists(spark: SparkSession, pattern: str) -> bool:
 
 
 def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names in the first line of a CSV file; only that line is read."""
+    """Column names in the first line of a CSV file (or of the first file of a folder that
+    Spark wrote); only that line is read."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        parts = matching_files(spark, f"{path}/part-*")
+        if not parts:
+            return ()
+        p = jvm.org.apache.hadoop.fs.Path(parts[0])
+    stream = fs.open(p)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         line = reader.readLine()

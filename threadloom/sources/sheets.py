@@ -59,8 +59,8 @@ def by_header(spark: SparkSession, files) -> dict[tuple[str, ...], list[str]]:
 
 
 def _segment(pattern: re.Pattern, parts: dict[str, int]) -> list[Column]:
-    """Segment columns from the file name."""
-    java = "(?i)" + pattern.pattern
+    """Segment columns from the file name, or from the name of the folder that Spark wrote."""
+    java = "(?i)" + pattern.pattern.replace("$", "(?:/|$)")
     out = []
     for name, group in parts.items():
         c = F.regexp_extract("file", java, group)
@@ -167,7 +167,7 @@ def _read_table(spark, pattern, fields, pandas_na) -> DataFrame:
         columns = [names.get(h.lower(), h.lower()) for h in header]
         renamed = df.toDF(*columns, "file")
         renamed = renamed.withColumnsRenamed({"created_epoch": "created_at"})
-        community = F.regexp_extract("file", "(?i)" + TABLE_NAME.pattern, 1)
+        community = _segment(TABLE_NAME, {"community": 1})[0]
         if "community" not in renamed.columns:
             renamed = renamed.withColumn("community", community)
         counts = {c: whole_number(F.col(c)) for c in ("score", "num_comments") if c in renamed.columns}

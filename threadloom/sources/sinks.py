@@ -22,8 +22,11 @@ def write_csv(df: DataFrame, path: str, raw_names: dict[str, str] | None = None)
     })
     if raw_names:
         out = out.select(*[F.col(c).alias(n) for c, n in raw_names.items() if c in out.columns])
-    # an empty text stays an empty cell, as pandas writes it
-    out.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    # an empty text is an empty cell and outer blanks stay, as pandas writes them
+    out.write.mode("overwrite").options(
+        header=True, quote='"', escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def sheet_headers(kind: str) -> dict[str, str]:
