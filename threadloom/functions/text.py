@@ -7,9 +7,20 @@ from pyspark.sql import Column, functions as F
 from threadloom.constants import DEFAULT_TARGET
 
 
+# The characters that Python's str.strip() takes as white space (fixed values).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+# A noncharacter, so it is in no valid text; with the blank it marks a word start.
+WORD_MARK = "\uffff "
+
+
 def utrim(c: Column) -> Column:
     """Strip all Unicode white space at both ends (SQL trim strips U+0020 only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def non_empty(c: Column) -> Column:
@@ -22,17 +33,22 @@ def capitalize(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """A new word starts after any uncased character: ``3d gen-z`` -> ``3D Gen-Z``."""
-    runs = F.regexp_extract_all(
-        c, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1)
-    )
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """A new word starts after any uncased character: ``3d gen-z`` -> ``3D Gen-Z``.
+
+    ``initcap`` starts words at blanks only, so each start gets a marked blank first.
+    """
+    cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
+    marked = F.regexp_replace(c, f"(?<!{cased})(?={cased})", WORD_MARK)
+    return F.replace(F.initcap(marked), F.lit(WORD_MARK), F.lit(""))
 
 
 def topic_tokens(c: Column) -> Column:
-    """Comma-separated topic text -> array of title-cased tokens, blanks dropped."""
-    parts = F.split(F.translate(c, "[]\"'", ""), ",")
-    return F.transform(F.filter(F.transform(parts, utrim), lambda t: t != ""), title_case)
+    """Comma-separated topic text -> array of title-cased tokens, blanks dropped.
+
+    The cell is title-cased as a whole: commas and blanks bound words anyway.
+    """
+    parts = F.split(title_case(F.translate(c, "[]\"'", "")), ",")
+    return F.filter(F.transform(parts, utrim), lambda t: t != "")
 
 
 def post_text(title: Column, body: Column) -> Column:

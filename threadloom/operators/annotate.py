@@ -147,8 +147,8 @@ def annotate_rows(rows: DataFrame, model: Model, parallelism: int | None = None,
     )
     # a batch the model never answered leaves its rows to the fill label
     tried = called.where("response <> ''") if model.rows is not None else called
-    items = tried.select(*SEGMENT, "batch_no", "members", decode_items(F.col("response")).alias("items"))
-    found = last_labels(align(items, [*SEGMENT, "batch_no"]))
+    answered = decode_items(tried.select(*SEGMENT, "batch_no", "members", "response"))
+    found = last_labels(align(answered, [*SEGMENT, "batch_no"]))
     if model.rows is None:
         labels = resolve_sweep(base, found, UNKNOWN)
     else:
@@ -169,11 +169,9 @@ def annotate_corpus(rows: DataFrame, model: Model, sample: int = CORPUS_ROWS,
                                   F.lit(SKIPPED).alias("summary"), F.lit(SKIPPED).alias("patterns"))
         return skipped, None
     called = stage_table(call_annotator(segments, model), f"corpus-{model.name}", responses_path)
-    macro = decode_macro(F.col("response"))
+    out = decode_macro(called.select(*SEGMENT, F.lit(model.name).alias("model"), "response"))
     if model.rows is not None:
-        nothing = F.coalesce(F.col("response"), F.lit("")) == ""
-        skipped = F.struct(F.lit(SKIPPED).alias("summary"), F.lit(SKIPPED).alias("patterns"))
-        macro = F.when(nothing, skipped).otherwise(macro)
-    out = called.select(*SEGMENT, F.lit(model.name).alias("model"), macro.alias("m")).select(
-        *SEGMENT, "model", "m.summary", "m.patterns")
+        nothing = F.coalesce("response", F.lit("")) == ""
+        out = out.withColumns({c: F.when(nothing, SKIPPED).otherwise(F.col(c)) for c in ("summary", "patterns")})
+    out = out.drop("response")
     return out, audit_rows(called, model.name, CORPUS_IDENTIFIER)

@@ -13,6 +13,7 @@ from threadloom.constants import (
     FEED_SORTS, HARVEST_MODES, LONG_COLUMNS, PERMALINK_HOST, POST_PREFIX, RAW_COMMENT,
     RAW_COMMENT_FIELDS, RAW_POST, RAW_POST_FIELDS,
 )
+from threadloom.functions.bind import bind
 from threadloom.functions.dates import millis_to_epoch, whole_number
 from threadloom.functions.text import non_empty, utrim
 from threadloom.operators.ordering import first_n, running_total_before, with_ordinal
@@ -49,15 +50,15 @@ def raw_json(fields: dict[str, str]) -> Column:
 # --- line classification -----------------------------------------------------------
 
 
-def _one_object(text: Column, schema: T.StructType) -> Column:
-    """The struct when ``text`` is exactly one JSON object, else NULL.
-
-    Parsing inside array brackets makes trailing text an error; the reader
-    alone would accept it.
-    """
+def _in_list(text: Column, schema: T.StructType) -> Column:
+    """``text`` parsed as the only content of a list: more or less than one value shows in the
+    length, and text after the object is an error (the reader alone would accept it)."""
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schema))
-    whole = text.startswith("{") & text.endswith("}") & (F.size(parsed) == 1)
-    return F.when(whole, F.get(parsed, F.lit(0)))
+    return F.when(text.startswith("{") & text.endswith("}"), parsed)
+
+
+def _only(parsed: str) -> Column:
+    return F.when(F.size(parsed) == 1, F.get(F.col(parsed), F.lit(0)))
 
 
 def classify_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
@@ -68,32 +69,29 @@ def classify_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
     from the first to the last brace after it, and an empty object is nothing.
     A post or comment line whose object does not parse has a NULL struct.
     """
-    line = utrim(F.col("value"))
+    if mode not in ("strict", "loose"):
+        raise ValueError(f"mode must be strict or loose, not {mode!r}")
+    df = bind(lines, __line=utrim(F.col("value")))
+    line = F.col("__line")
+    found = line.startswith if mode == "strict" else line.contains
+    df = bind(df, kind=(
+        F.when(found(POST_PREFIX), "post").when(found(COMMENT_PREFIX), "comment")
+        .when(line.contains(END_MARKER), "marker")))
+    kind = F.col("kind")
     if mode == "strict":
-        is_post, is_comment = line.startswith(POST_PREFIX), line.startswith(COMMENT_PREFIX)
-        body = utrim(F.when(is_post, F.substring(line, len(POST_PREFIX) + 1, 2147483647))
-                     .when(is_comment, F.substring(line, len(COMMENT_PREFIX) + 1, 2147483647)))
-    elif mode == "loose":
-        is_post, is_comment = line.contains(POST_PREFIX), line.contains(COMMENT_PREFIX)
-        cut = r"(?s)^.*?{}[^{{]*(\{{.*\}})"
-        body = non_empty(
-            F.when(is_post, F.regexp_extract(line, cut.format(POST_PREFIX), 1))
-            .when(is_comment, F.regexp_extract(line, cut.format(COMMENT_PREFIX), 1))
-        )
-        body = F.when(~body.rlike(r"^\{\s*\}$"), body)
+        rest = lambda prefix: utrim(F.substring(line, len(prefix) + 1, 2147483647))
     else:
-        raise ValueError(f"mode must be strict or loose, not {mode!r}")
-    kind = (
-        F.when(is_post, "post").when(is_comment, "comment")
-        .when(line.contains(END_MARKER), "marker")
-    )
-    return (
-        lines.withColumn("kind", kind).withColumn("__body", body)
-        .withColumn("post", F.when(F.col("kind") == "post", _one_object(F.col("__body"), RAW_POST)))
-        .withColumn("comment",
-                    F.when(F.col("kind") == "comment", _one_object(F.col("__body"), RAW_COMMENT)))
-        .drop("__body")
-    )
+        rest = lambda prefix: F.regexp_extract(line, rf"(?s)^.*?{prefix}[^{{]*(\{{.*\}})", 1)
+    df = bind(df, __body=F.when(kind == "post", rest(POST_PREFIX)).when(
+        kind == "comment", rest(COMMENT_PREFIX)))
+    body = F.col("__body")
+    if mode == "loose":
+        body = F.when(~body.rlike(r"^\{\s*\}$"), body)
+    df = bind(df,
+              __post=F.when(kind == "post", _in_list(body, RAW_POST)),
+              __comment=F.when(kind == "comment", _in_list(body, RAW_COMMENT)))
+    return df.withColumns({"post": _only("__post"), "comment": _only("__comment")}).drop(
+        "__line", "__body", "__post", "__comment")
 
 
 class ParsedLog(NamedTuple):

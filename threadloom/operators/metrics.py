@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.constants import (
     SEGMENT, SENTIMENTS, SLICE_MODEL, SWEEP_MODEL, TOPIC_LIMIT, TOPIC_STOP_WORDS, TOXIC_STATUSES,
 )
+from threadloom.functions.bind import bind
 from threadloom.functions.labels import (
     audit_toxicity, chart_toxicity, compare_key, is_annotated, sentiment_label,
 )
@@ -72,9 +73,9 @@ def model_agreement(annotations: DataFrame, first: str = SLICE_MODEL,
 
 def sentiment_counts(annotations: DataFrame) -> DataFrame:
     """One row per segment, one count per sentiment of the domain; other labels do not count."""
-    label = sentiment_label(F.col("sentiment"))
+    labels = annotations.select(*SEGMENT, "sentiment").dropna(subset=["sentiment"])
     return (
-        annotations.select(*SEGMENT, label.alias("label")).dropna(subset=["label"])
+        bind(labels, label=sentiment_label(F.col("sentiment")))
         .where(F.col("label").isin(*SENTIMENTS))
         .groupBy(*SEGMENT)
         .agg(*[F.count_if(F.col("label") == s).alias(s) for s in SENTIMENTS])
@@ -117,9 +118,9 @@ def topic_rows(annotations: DataFrame, stop_words=TOPIC_STOP_WORDS) -> DataFrame
     row, then inside the cell. It is one decimal so that the minimum per token
     stays in the hash aggregation before the shuffle.
     """
-    tokens = annotations.where(F.col("topics").isNotNull()).select(
-        "community", "kind", "ord",
-        F.posexplode(topic_tokens(F.col("topics"))).alias("pos", "topic"))
+    cells = bind(annotations.where(F.col("topics").isNotNull()).select("community", "kind", "ord", "topics"),
+                 topics=topic_tokens(F.col("topics")))
+    tokens = cells.select("community", "kind", "ord", F.posexplode("topics").alias("pos", "topic"))
     kind_no = F.when(F.col("kind") == "posts", 0).otherwise(1)
     place = (
         kind_no.cast("decimal(1,0)") * F.lit(Decimal(10 ** 29))

@@ -9,38 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.constants import DEFAULT_PATTERNS, DEFAULT_SUMMARY, UNKNOWN
+from threadloom.functions.bind import bind, let
 from threadloom.functions.text import utrim
 
 LABELS = ("sentiment", "toxicity", "topics")
+ITEMS = "array<struct<is_object:boolean,id:string,sentiment:string,toxicity:string,topics:string>>"
 
 
 def _type_is(v: Column, name: str) -> Column:
     return F.schema_of_variant(v).startswith(name)
 
 
-def _root(response: Column) -> Column:
-    """The response as exactly one JSON value (raw text), else NULL."""
-    parsed = F.from_json(F.concat(F.lit("["), response, F.lit("]")), "array<string>")
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+def _values(text: Column) -> Column:
+    """Values of a JSON object's fields in document order, as variants and as raw texts."""
+    return F.struct(
+        F.map_values(F.from_json(text, "map<string,variant>")).alias("typed"),
+        F.map_values(F.from_json(text, "map<string,string>")).alias("raw"))
 
 
-def _objects_list(raw: Column) -> Column:
-    """Raw text of the first list field that holds an object; NULL if there is none."""
-    types = F.map_values(F.from_json(raw, "map<string,variant>"))
-    texts = F.map_values(F.from_json(raw, "map<string,string>"))
-    holds_object = lambda v: F.coalesce(
-        _type_is(v, "ARRAY")
-        & F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda e: _type_is(e, "OBJECT")),
-        F.lit(False),
-    )
-    return F.get(texts, F.array_position(F.transform(types, holds_object), True).cast("int") - 1)
+def _is_list(v: Column) -> Column:
+    return F.coalesce(_type_is(v, "ARRAY"), F.lit(False))
+
 
+def _holds_object(v: Column) -> Column:
+    elements = F.try_variant_get(v, "$", "array<variant>")
+    return _is_list(v) & F.coalesce(F.exists(elements, lambda e: _type_is(e, "OBJECT")), F.lit(False))
 
-def _any_list(raw: Column) -> Column:
-    types = F.map_values(F.from_json(raw, "map<string,variant>"))
-    texts = F.map_values(F.from_json(raw, "map<string,string>"))
-    is_list = lambda v: F.coalesce(_type_is(v, "ARRAY"), F.lit(False))
-    return F.get(texts, F.array_position(F.transform(types, is_list), True).cast("int") - 1)
+
+def _with_root(df: DataFrame, response: str) -> DataFrame:
+    """Bind ``__root``: the response as exactly one JSON value (raw text), else NULL."""
+    df = bind(df, __list=F.from_json(F.concat(F.lit("["), F.col(response), F.lit("]")), "array<string>"),
+              __lead=F.substring(utrim(F.col(response)), 1, 1))
+    return bind(df, __root=F.when(F.size("__list") == 1, F.get("__list", F.lit(0)))).drop("__list")
 
 
 def _quoted(s: Column) -> Column:
@@ -48,24 +48,25 @@ def _quoted(s: Column) -> Column:
     return F.concat(q, s, q)
 
 
-def python_text(v: Column) -> Column:
-    """A JSON value as Python's ``str`` spells it: None, True, ['a', 'b']; NULL stays NULL."""
-    element = lambda e: (
-        F.when(_type_is(e, "STRING"), _quoted(F.try_variant_get(e, "$", "string")))
-        .when(F.is_variant_null(e), "None")
-        .when(_type_is(e, "BOOLEAN"), F.initcap(F.try_variant_get(e, "$", "string")))
-        .otherwise(F.try_variant_get(e, "$", "string"))
-    )
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), element)
+def _scalar_text(v: Column) -> Column:
+    text = F.try_variant_get(v, "$", "string")
     return (
-        F.when(v.isNull(), None)
-        .when(F.is_variant_null(v), "None")
-        .when(_type_is(v, "BOOLEAN"), F.initcap(F.try_variant_get(v, "$", "string")))
-        .when(_type_is(v, "ARRAY"), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
-        .otherwise(F.try_variant_get(v, "$", "string"))
+        F.when(F.is_variant_null(v), "None")
+        .when(_type_is(v, "BOOLEAN"), F.initcap(text))
+        .otherwise(text)
     )
 
 
+def python_text(v: Column) -> Column:
+    """A JSON value as Python's ``str`` spells it: None, True, ['a', 'b']; NULL stays NULL."""
+    element = lambda e: F.when(
+        _type_is(e, "STRING"), let(F.try_variant_get(e, "$", "string"), _quoted)).otherwise(_scalar_text(e))
+    listed = lambda x: F.concat(
+        F.lit("["), F.array_join(F.transform(F.try_variant_get(x, "$", "array<variant>"), element), ", "),
+        F.lit("]"))
+    return let(v, lambda x: F.when(x.isNull(), None).when(_is_list(x), listed(x)).otherwise(_scalar_text(x)))
+
+
 def _field(entries: Column, name: str) -> Column:
     """Value of the last entry with this key, NULL if absent."""
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
@@ -85,8 +86,9 @@ def _id_value(entries: Column, exact_first: bool) -> Column:
     return utrim(python_text(found))
 
 
-def decode_items(response: Column, legacy: bool = False) -> Column:
-    """Response text -> ``array<struct<is_object, id, sentiment, toxicity, topics>>``.
+def decode_items(df: DataFrame, response: str = "response", out: str = "items",
+                 legacy: bool = False) -> DataFrame:
+    """Add ``out``: ``array<struct<is_object, id, sentiment, toxicity, topics>>`` from response text.
 
     An object yields its first list of objects, else itself as the only item; a
     list yields its elements; anything else yields no item. A label is NULL when
@@ -94,38 +96,33 @@ def decode_items(response: Column, legacy: bool = False) -> Column:
     inside a wrapped list keep their case, any list field counts (also a list
     of topics), and the first key containing ``id`` is the id.
     """
-    raw = _root(response)
-    text = utrim(response)
-    inner = _any_list(raw) if legacy else _objects_list(raw)
-    wrapped = text.startswith("{") & inner.isNotNull()
-    list_text = (
-        F.when(wrapped, inner)
-        .when(text.startswith("{"), F.concat(F.lit("["), raw, F.lit("]")))
-        .when(text.startswith("["), raw)
-    )
-    raws = F.from_json(list_text, "array<string>")
-    types = F.from_json(list_text, "array<variant>")
-
-    def item(r: Column, i: Column) -> Column:
-        entries = F.map_entries(F.from_json(r, "map<string,variant>"))
-        lowered = lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
-        if legacy:
-            keep_case = lambda e: F.struct(
-                F.when(wrapped, e["key"]).otherwise(F.lower(e["key"])).alias("key"),
-                e["value"].alias("value"))
-            entries = F.transform(entries, keep_case)
-        else:
-            entries = F.transform(entries, lowered)
-        is_object = F.coalesce(_type_is(F.get(types, i), "OBJECT"), F.lit(False))
-        value = lambda c: F.when(is_object, c)
-        return F.struct(
-            is_object.alias("is_object"),
-            value(_id_value(entries, not legacy)).alias("id"),
-            *[value(python_text(_field(entries, n))).alias(n) for n in LABELS],
-        )
-
-    return F.coalesce(F.transform(raws, item), F.array().cast(
-        "array<struct<is_object:boolean,id:string,sentiment:string,toxicity:string,topics:string>>"))
+    columns = [c for c in df.columns if c != out]
+    lead = F.col("__lead")
+    step = _with_root(df.select(*columns), response)
+    step = bind(step, __fields=F.when(lead == "{", _values(F.col("__root"))))
+    wanted = F.transform("__fields.typed", _is_list if legacy else _holds_object)
+    step = bind(step, __inner=F.get("__fields.raw", F.array_position(wanted, True).cast("int") - 1))
+    step = bind(step, __items=(
+        F.when(F.col("__inner").isNotNull(), F.col("__inner"))
+        .when(lead == "{", F.concat(F.lit("["), "__root", F.lit("]")))
+        .when(lead == "[", F.col("__root"))))
+    key = lambda e: F.lower(e["key"])
+    if legacy:
+        key = lambda e: F.when(F.col("__inner").isNotNull(), e["key"]).otherwise(F.lower(e["key"]))
+    fields = lambda text: F.transform(
+        F.map_entries(F.from_json(text, "map<string,variant>")),
+        lambda e: F.struct(key(e).alias("key"), e["value"].alias("value")))
+    # an element that is no object has no fields
+    step = bind(step, __pairs=F.transform(
+        F.arrays_zip(F.from_json("__items", "array<string>").alias("text"),
+                     F.from_json("__items", "array<variant>").alias("typed")),
+        lambda z: F.when(_type_is(z["typed"], "OBJECT"), fields(z["text"]))))
+    item = lambda entries: F.struct(
+        entries.isNotNull().alias("is_object"),
+        _id_value(entries, not legacy).alias("id"),
+        *[python_text(_field(entries, n)).alias(n) for n in LABELS])
+    step = bind(step, **{out: F.coalesce(F.transform("__pairs", item), F.array().cast(ITEMS))})
+    return step.select(*columns, out)
 
 
 def align(requests: DataFrame, keep: list[str], members: str = "members", items: str = "items") -> DataFrame:
@@ -166,18 +163,21 @@ def align(requests: DataFrame, keep: list[str], members: str = "members", items:
     )
 
 
-def decode_macro(response: Column, summary_default: str = DEFAULT_SUMMARY,
-                 patterns_default: str = DEFAULT_PATTERNS) -> Column:
-    """Response text -> ``struct<summary, patterns>``; list patterns are joined by `` | ``."""
-    raw = F.when(utrim(response).startswith("{"), _root(response))
-    entries = F.transform(
-        F.map_entries(F.from_json(raw, "map<string,variant>")),
+def decode_macro(df: DataFrame, response: str = "response", summary_default: str = DEFAULT_SUMMARY,
+                 patterns_default: str = DEFAULT_PATTERNS) -> DataFrame:
+    """Add ``summary`` and ``patterns`` from response text; list patterns are joined by `` | ``."""
+    columns = [c for c in df.columns if c not in ("summary", "patterns")]
+    step = _with_root(df.select(*columns), response)
+    lowered = F.transform(
+        F.map_entries(F.from_json(F.when(F.col("__lead") == "{", F.col("__root")), "map<string,variant>")),
         lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    patterns = _field(entries, "patterns")
+    step = bind(step, __fields=lowered)
+    step = bind(step, __summary=_field(F.col("__fields"), "summary"),
+                __patterns=_field(F.col("__fields"), "patterns"))
+    patterns = F.col("__patterns")
     parts = F.transform(F.try_variant_get(patterns, "$", "array<variant>"), python_text)
-    patterns_text = F.when(_type_is(patterns, "ARRAY"), F.array_join(parts, " | ")).otherwise(
-        python_text(patterns))
-    return F.struct(
-        F.coalesce(python_text(_field(entries, "summary")), F.lit(summary_default)).alias("summary"),
-        F.coalesce(patterns_text, F.lit(patterns_default)).alias("patterns"),
-    )
+    return step.select(
+        *columns,
+        F.coalesce(python_text(F.col("__summary")), F.lit(summary_default)).alias("summary"),
+        F.coalesce(F.when(_is_list(patterns), F.array_join(parts, " | ")).otherwise(python_text(patterns)),
+                   F.lit(patterns_default)).alias("patterns"))

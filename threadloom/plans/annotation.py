@@ -104,8 +104,7 @@ def _answers(spark, sf):
   FROM e WHERE k NOT IN (4, 6)
   UNION ALL SELECT doc_id, 1, true, i, NULL, NULL, NULL FROM e WHERE k = 3""")
 def _(spark, sf):
-    items = _answers(spark, sf).select(
-        "doc_id", F.posexplode(decode_items(F.col("response"))).alias("pos", "item"))
+    items = decode_items(_answers(spark, sf)).select("doc_id", F.posexplode("items").alias("pos", "item"))
     return items.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "item.*")
 
 
@@ -118,8 +117,7 @@ def _json_list(items):
 
 
 def _aligned(requests, response):
-    items = requests.withColumn("items", decode_items(response))
-    return align(items, [*SEG, "batch_no"])
+    return align(decode_items(requests.withColumn("response", response)), [*SEG, "batch_no"])
 
 
 _SIZED = f"""{_BATCHED}, sized AS (
@@ -172,8 +170,7 @@ def _(spark, sf):
         c('{"summary":"about ', F.col("lang"), '","patterns":["p1","', F.col("source"), '",null]}'),
         c('{"Patterns":"only ', F.col("lang"), '"}'),
         c('{"summary":null}'), c("[1]"), c("not json"))
-    m = d.select("doc_id", decode_macro(response).alias("m"))
-    return m.select("doc_id", "m.summary", "m.patterns")
+    return decode_macro(d.select("doc_id", response.alias("response"))).drop("response")
 
 
 # --- labels on rows ------------------------------------------------------------------------

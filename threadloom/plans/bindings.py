@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from threadloom.functions.bind import bind
+
 
 EPOCH0 = 1_700_000_000
 
@@ -93,8 +95,8 @@ def _case(n: Column, *values: str | None) -> Column:
 
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Rule labels of every post and comment; every word of a text is one of its topics."""
-    n = F.length("text")
-    return payload(spark, sf).select(
+    rows, n = payload(spark, sf), F.col("n")
+    return bind(rows, text=F.col("text"), n=F.length("text")).select(
         "community", "kind", "id", "ord",
         _case(n % 7, " positive ", "NEGATIVE", "Neutral", "Mixed", None, "Positive", "negative")
         .alias("sentiment"),
