@@ -61,28 +61,35 @@ def _only(parsed: str) -> Column:
     return F.when(F.size(parsed) == 1, F.get(F.col(parsed), F.lit(0)))
 
 
-def classify_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """Add ``kind`` (post | comment | marker | NULL), ``post`` and ``comment`` structs.
+def line_kinds(lines: DataFrame, mode: str = "strict") -> DataFrame:
+    """Strip ``value`` and add ``kind``: post | comment | marker | NULL. No record is parsed yet.
 
-    ``strict``: the stripped line starts with a prefix and the whole rest is the
-    object. ``loose``: a prefix anywhere (post before comment), the object runs
-    from the first to the last brace after it, and an empty object is nothing.
-    A post or comment line whose object does not parse has a NULL struct.
+    ``strict``: the line starts with a prefix. ``loose``: a prefix anywhere, post
+    before comment. A marker line has no prefix.
     """
     if mode not in ("strict", "loose"):
         raise ValueError(f"mode must be strict or loose, not {mode!r}")
-    df = bind(lines, __line=utrim(F.col("value")))
-    line = F.col("__line")
+    df = bind(lines, value=utrim(F.col("value")))
+    line = F.col("value")
     found = line.startswith if mode == "strict" else line.contains
-    df = bind(df, kind=(
+    return bind(df, kind=(
         F.when(found(POST_PREFIX), "post").when(found(COMMENT_PREFIX), "comment")
         .when(line.contains(END_MARKER), "marker")))
-    kind = F.col("kind")
+
+
+def parse_records(kinds: DataFrame, mode: str = "strict") -> DataFrame:
+    """Lines with ``kind`` -> the same with ``post`` and ``comment`` structs instead of ``value``.
+
+    ``strict``: everything after the prefix is the object. ``loose``: the object
+    runs from the first to the last brace after the prefix, and an empty object
+    is nothing. The struct is NULL when the object does not parse.
+    """
+    line, kind = F.col("value"), F.col("kind")
     if mode == "strict":
         rest = lambda prefix: utrim(F.substring(line, len(prefix) + 1, 2147483647))
     else:
         rest = lambda prefix: F.regexp_extract(line, rf"(?s)^.*?{prefix}[^{{]*(\{{.*\}})", 1)
-    df = bind(df, __body=F.when(kind == "post", rest(POST_PREFIX)).when(
+    df = bind(kinds, __body=F.when(kind == "post", rest(POST_PREFIX)).when(
         kind == "comment", rest(COMMENT_PREFIX)))
     body = F.col("__body")
     if mode == "loose":
@@ -91,7 +98,16 @@ def classify_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
               __post=F.when(kind == "post", _in_list(body, RAW_POST)),
               __comment=F.when(kind == "comment", _in_list(body, RAW_COMMENT)))
     return df.withColumns({"post": _only("__post"), "comment": _only("__comment")}).drop(
-        "__line", "__body", "__post", "__comment")
+        "value", "__body", "__post", "__comment")
+
+
+def classify_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
+    """Lines -> ``kind`` and parsed ``post`` / ``comment`` of each."""
+    return parse_records(line_kinds(lines, mode), mode)
+
+
+def has_record() -> Column:
+    return F.col("post").isNotNull() | F.col("comment").isNotNull()
 
 
 class ParsedLog(NamedTuple):
@@ -106,17 +122,16 @@ def parse_log(lines: DataFrame, mode: str = "strict") -> ParsedLog:
     ``ord`` is the line number. The loose mode drops bad lines silently in the
     original; here they are in the quarantine for both modes.
     """
-    c = classify_lines(lines, mode)
-    ok_post, ok_comment = F.col("post").isNotNull(), F.col("comment").isNotNull()
-    posts = posts_from_raw(c.where(ok_post), "post", "source", F.col("line_no").alias("ord"))
-    comments = comments_from_raw(c.where(ok_comment), "comment", "source",
-                                 F.col("line_no").alias("ord"))
-    rejected = (
-        c.where(F.col("kind").isin("post", "comment") & ~ok_post & ~ok_comment)
-        .select("source", "line_no",
-                F.concat(F.lit("unreadable "), F.col("kind"), F.lit(" object")).alias("reason"))
-    )
-    return ParsedLog(posts, comments, rejected)
+    kinds = line_kinds(lines, mode).where(F.col("kind").isin("post", "comment"))
+    c = parse_records(kinds, mode)
+    place = F.col("line_no").alias("ord")
+    rejected = c.where(~has_record()).select(
+        "source", "line_no",
+        F.concat(F.lit("unreadable "), F.col("kind"), F.lit(" object")).alias("reason"))
+    return ParsedLog(
+        posts_from_raw(c.where("post is not null"), "post", "source", place),
+        comments_from_raw(c.where("comment is not null"), "comment", "source", place),
+        rejected)
 
 
 def parse_tally(lines: DataFrame, mode: str = "strict") -> DataFrame:
@@ -125,31 +140,40 @@ def parse_tally(lines: DataFrame, mode: str = "strict") -> DataFrame:
     return c.groupBy("source").agg(
         F.count("post").alias("posts"),
         F.count("comment").alias("comments"),
-        F.count_if(F.col("kind").isin("post", "comment")
-                   & F.col("post").isNull() & F.col("comment").isNull()).alias("rejected"),
+        F.count_if(F.col("kind").isin("post", "comment") & ~has_record()).alias("rejected"),
     )
 
 
 # --- marker sessions -----------------------------------------------------------------
 
 
-def marker_sessions(classified: DataFrame, keys: Sequence[str] = ("source",),
+def assign_sessions(kinds: DataFrame, keys: Sequence[str] = ("source",), ord_col: str = "line_no",
+                    closed_before: Column | None = None) -> DataFrame:
+    """Add ``session_no`` (end markers before the line), ``closed`` (end markers in all) and
+    ``complete`` to lines with ``kind``.
+
+    ``closed_before`` counts sessions that a row stands for besides its own marker.
+    """
+    marks = (F.col("kind") == "marker").cast("bigint")
+    if closed_before is not None:
+        marks = marks + closed_before
+    rows = running_total_before(kinds, keys, ord_col, marks, "session_no", total="closed")
+    return rows.withColumn("complete", F.col("session_no") < F.col("closed"))
+
+
+def marker_sessions(lines: DataFrame, mode: str = "loose", keys: Sequence[str] = ("source",),
                     ord_col: str = "line_no", emit_incomplete: bool = False) -> DataFrame:
-    """Record rows with ``session_no`` = number of end markers before them in ``keys``.
+    """Records of lines with their ``session_no``, counted per ``keys`` by end markers.
 
     Rows after the last marker belong to no finished session; they are dropped
     unless ``emit_incomplete``, which keeps them with ``complete = false``.
+    Sessions are assigned to raw lines; only lines that stay are parsed.
     """
-    keys = list(keys)
-    is_marker = F.coalesce(F.col("kind") == "marker", F.lit(False))
-    kept = classified.where(
-        is_marker | F.col("post").isNotNull() | F.col("comment").isNotNull()
-    )
-    rows = running_total_before(
-        kept, keys, ord_col, is_marker.cast("bigint"), "session_no", total="__closed"
-    ).where(F.col("kind") != "marker")
-    rows = rows.withColumn("complete", F.col("session_no") < F.col("__closed")).drop("__closed")
-    return rows if emit_incomplete else rows.where("complete")
+    kinds = line_kinds(lines, mode).where("kind is not null")
+    rows = assign_sessions(kinds, keys, ord_col).where("kind <> 'marker'").drop("closed")
+    if not emit_incomplete:
+        rows = rows.where("complete")
+    return parse_records(rows, mode).where(has_record())
 
 
 def session_counts(sessions: DataFrame, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:

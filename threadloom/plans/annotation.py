@@ -78,7 +78,7 @@ def _(spark, sf):
 
 def _answers(spark, sf):
     """One answer per document in eight shapes, by ``doc_id`` modulo 8."""
-    d = b.table(spark, sf, "documents")
+    d = b.spread_table(spark, sf, "documents", "doc_id", "lang")
     i = F.concat(F.lit("t3_"), F.col("doc_id").cast("string"))
     c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     shapes = [

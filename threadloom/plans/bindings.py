@@ -9,17 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.bind import bind
+from threadloom.session import spread
 
 
 EPOCH0 = 1_700_000_000
+LOGS = 16
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table, over all cores; for queries with costly work per row."""
+    return spread(table(spark, sf, name).select(*columns))
+
+
+def posts(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
     d = table(spark, sf, "documents")
+    if costly:
+        d = spread(d)
     key = F.col("doc_id").cast("string")
     return d.select(
         F.concat(F.lit("t3_"), key).alias("post_id"),
@@ -43,9 +52,11 @@ POSTS = f"""posts AS (
   FROM documents)"""
 
 
-def comments(spark: SparkSession, sf: str) -> DataFrame:
+def comments(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
     """Turns as comments; the community is that of the parent post."""
     c = table(spark, sf, "conversations")
+    if costly:
+        c = spread(c)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "lang")
     thread = F.col("conv_id").cast("string")
     return c.join(d, "conv_id", "left").select(
@@ -73,10 +84,10 @@ COMMENTS = f"""comments AS (
   FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id)"""
 
 
-def payload(spark: SparkSession, sf: str) -> DataFrame:
+def payload(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
     from threadloom.operators.batching import comment_payload, post_payload
 
-    return post_payload(posts(spark, sf)).unionByName(comment_payload(comments(spark, sf)))
+    return post_payload(posts(spark, sf, costly)).unionByName(comment_payload(comments(spark, sf, costly)))
 
 
 PAYLOAD = f"""{POSTS}, {COMMENTS}, payload AS (
@@ -93,9 +104,9 @@ def _case(n: Column, *values: str | None) -> Column:
     return out
 
 
-def sweep(spark: SparkSession, sf: str) -> DataFrame:
+def sweep(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
     """Rule labels of every post and comment; every word of a text is one of its topics."""
-    rows, n = payload(spark, sf), F.col("n")
+    rows, n = payload(spark, sf, costly), F.col("n")
     return bind(rows, text=F.col("text"), n=F.length("text")).select(
         "community", "kind", "id", "ord",
         _case(n % 7, " positive ", "NEGATIVE", "Neutral", "Mixed", None, "Positive", "negative")
@@ -178,7 +189,7 @@ def noisy_lines(spark: SparkSession, sf: str) -> DataFrame:
     from threadloom.constants import RAW_COMMENT_FIELDS, RAW_POST_FIELDS
     from threadloom.operators.harvest import raw_json
 
-    p = posts(spark, sf)
+    p = posts(spark, sf, costly=True)
     post = F.concat(F.lit("POST_ROW:"), raw_json(RAW_POST_FIELDS))
     as_comment = p.withColumns({
         "comment_id": F.concat(F.lit("t1_"), "ord"), "parent_id": F.col("post_id"), "text": F.col("body")})
@@ -202,9 +213,9 @@ def _case_columns(n: Column, *values: Column) -> Column:
 
 
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user's events as a console log: purchases end a session, views are posts,
-    clicks and signups are comments, errors are noise."""
-    e = table(spark, sf, "events")
+    """All events as lines of sixteen console logs: purchases end a session, views are
+    posts, clicks and signups are comments, errors are noise."""
+    e = spread_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     k = F.col("event_id").cast("string")
     raw = lambda prefix, key: F.concat(
         F.lit(f'{prefix}{{"{key}":"e'), k, F.lit('","score/upvotes":'),
@@ -216,12 +227,13 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind.isin("click", "signup"), raw("COMMENT_ROW:", "comment ID"))
         .otherwise(F.concat(F.lit("error "), k))
     )
-    return e.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("source"),
+    log = (F.col("user_id") % LOGS).cast("string")
+    return e.select(F.concat(F.lit("app"), log).alias("source"),
                     F.col("event_id").alias("line_no"), value.alias("value"))
 
 
-EVENT_SESSIONS = """marked AS (
-  SELECT 'user' || user_id AS source, event_id AS ord, event_type, props,
+EVENT_SESSIONS = f"""marked AS (
+  SELECT 'app' || (user_id % {LOGS}) AS source, event_id AS ord, event_type, props,
          CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS is_end
   FROM events),
 numbered AS (

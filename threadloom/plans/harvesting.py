@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import target_name
 from threadloom.operators.harvest import (
-    capped_harvest, classify_lines, export_lines, feed_order, feed_posts, harvest_documents,
+    capped_harvest, export_lines, feed_order, feed_posts, harvest_documents,
     marker_sessions, parse_log, parse_tally, project_comments, project_posts, select_harvest,
     session_counts,
 )
@@ -77,7 +77,7 @@ def _(spark, sf):
 
 
 def _sessions(spark, sf, **options):
-    return marker_sessions(classify_lines(b.event_lines(spark, sf), "loose"), **options)
+    return marker_sessions(b.event_lines(spark, sf), "loose", **options)
 
 
 def _record_columns(sessions):

@@ -125,13 +125,13 @@ _TOKENS = rf"""{b.SWEEP}, cells AS (
   SELECT community, topic, CAST(n AS BIGINT) AS n, CAST(rank AS BIGINT) AS rank
   FROM ranked WHERE rank <= 10""")
 def _(spark, sf):
-    return top_topics(b.sweep(spark, sf))
+    return top_topics(b.sweep(spark, sf, costly=True))
 
 
 @query("topic_frequencies", f"""WITH {_TOKENS}
   SELECT community, topic, CAST(n AS BIGINT) AS n FROM freq""")
 def _(spark, sf):
-    return topic_rows(b.sweep(spark, sf)).groupBy("community", "topic").agg(F.count(F.lit(1)).alias("n"))
+    return topic_rows(b.sweep(spark, sf, costly=True)).groupBy("community", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("segment_union", f"""WITH {b.SWEEP}

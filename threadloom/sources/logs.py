@@ -30,16 +30,31 @@ def read_lines(spark: SparkSession, path, source: Column | None = None) -> DataF
     return number_lines(raw)
 
 
+# Rows of the split table that may be broadcast: some 200 bytes each, so under 10 MB.
+BROADCAST_SPLITS = 50_000
+
+
+def _few_splits(raw: DataFrame) -> bool:
+    """Whether the number of file splits is known and small, from the file listing alone."""
+    files = len(raw.inputFiles())
+    tasks = raw._jdf.queryExecution().toRdd().getNumPartitions()
+    return 0 < files and files + tasks <= BROADCAST_SPLITS
+
+
 def number_lines(raw: DataFrame) -> DataFrame:
     """``source, file, split, seq, value`` -> ``source, line_no, value``, 1-based.
 
     ``seq`` counts up inside a file split, so only the line counts of the splits
-    must be added up: one narrow row per split, however long the log.
+    must be added up: one narrow row per split, however long the log. With few
+    splits their table is broadcast and no line moves; with many, the lines are
+    shuffled by split, which bounds every group by the split size.
     """
     where = ["source", "file", "split"]
     splits = raw.groupBy(*where).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source").orderBy("file", "split").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = splits.select(*where, "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    if _few_splits(raw):
+        starts = F.broadcast(starts)
     return raw.join(starts, where).select(
         "source", (F.col("start") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value")

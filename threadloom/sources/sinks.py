@@ -37,8 +37,12 @@ def sheet_headers(kind: str) -> dict[str, str]:
 
 def write_segments(df: DataFrame, path: str, keys: Sequence[str] = SEGMENT, fmt: str = "parquet",
                    mode: str = "overwrite") -> None:
-    """One folder per segment; readers prune by it."""
-    df.write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    """One folder per segment; readers prune by it.
+
+    Rows are rebalanced by segment first: a segment gets few files, and a
+    segment with a large share of the rows is split over many tasks.
+    """
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
 
 
 def write_annotations(annotations: DataFrame, macro: DataFrame, folder: str, fmt: str = "parquet") -> None:

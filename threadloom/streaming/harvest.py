@@ -4,8 +4,8 @@ Spark's file source reads each new file once and whole, so a growing log must
 be rotated into files (a precondition, not checked).
 
 Session state is a table, not Python objects: each micro-batch writes its
-records with session number and ``complete`` flag to ``<table>/batch=<n>`` and
-the next one takes over the open records and one closed-session count per
+lines with session number and ``complete`` flag to ``<table>/batch=<n>`` and
+the next one takes over the open lines and one closed-session count per
 source from there. A busy source is spread over tasks like any other data, and
 a repeated batch overwrites its own folder with the same rows.
 """
@@ -17,9 +17,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.operators.harvest import (
-    classify_lines, comments_from_raw, harvest_documents, posts_from_raw,
+    assign_sessions, comments_from_raw, harvest_documents, has_record, line_kinds, parse_records,
+    posts_from_raw,
 )
-from threadloom.operators.ordering import running_total_before
+from threadloom.session import stage_table
 from threadloom.sources.logs import line_columns, number_lines
 from threadloom.sources.paths import exists, matching_files
 from threadloom.sources.sinks import write_documents
@@ -40,8 +41,8 @@ def stream_lines(spark: SparkSession, folder: str, source: Column | None = None,
 
 def stream_records(lines: DataFrame, mode: str = "loose") -> DataFrame:
     """Stateless classification of streaming lines; keeps the lines that hold a record."""
-    c = classify_lines(lines, mode)
-    return c.where(F.col("post").isNotNull() | F.col("comment").isNotNull())
+    kinds = line_kinds(lines, mode).where(F.col("kind").isin("post", "comment"))
+    return parse_records(kinds, mode).where(has_record())
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True):
@@ -62,39 +63,41 @@ def _last_batch(spark: SparkSession, table: str, below: int | None = None) -> in
 
 
 def _carried(spark: SparkSession, table: str, n: int) -> DataFrame:
-    """Open records of batch ``n`` and one row per source with its closed sessions."""
+    """Open lines of batch ``n`` and one row per source with its closed sessions."""
     before = spark.read.parquet(_batch_path(table, n))
-    columns = ["source", "line_no", "kind", "post", "comment"]
-    state = before.groupBy("source").agg(F.max("closed").alias("value")).select(
-        "source", F.lit(-1).cast("bigint").alias("line_no"), F.lit("state").alias("kind"), "value")
+    state = before.groupBy("source").agg(F.max("closed").alias("closed_before")).select(
+        "source", F.lit(-1).cast("bigint").alias("line_no"), F.lit("state").alias("kind"), "closed_before")
     still_open = before.where(~F.col("complete") & F.col("kind").isin("post", "comment"))
-    return still_open.select(*columns, F.lit(0).cast("bigint").alias("value")).unionByName(
+    return still_open.select("source", "line_no", "value", "kind").unionByName(
         state, allowMissingColumns=True)
 
 
 def harvest_batch(lines: DataFrame, batch_id: int, table: str, mode: str = "loose") -> DataFrame:
-    """One micro-batch: number its lines, assign sessions, write ``batch=<id>``; returns it."""
+    """One micro-batch: number its lines, assign sessions, write ``batch=<id>``; returns it.
+
+    The numbered lines are staged, so the log files are not read again for the
+    session counts, which then scan three narrow columns.
+    """
     spark = lines.sparkSession
     numbered = number_lines(lines.withColumn("seq", F.monotonically_increasing_id()))
-    c = classify_lines(numbered, mode)
-    c = c.where((F.col("kind") == "marker") | F.col("post").isNotNull() | F.col("comment").isNotNull())
-    rows = c.select(
-        "source", (F.col("line_no") + F.lit(batch_id * LINES_PER_BATCH)).alias("line_no"), "kind",
-        "post", "comment", (F.col("kind") == "marker").cast("bigint").alias("value"))
+    kinds = line_kinds(numbered, mode).where("kind is not null")
+    place = F.col("line_no") + F.lit(batch_id * LINES_PER_BATCH)
+    rows = stage_table(kinds.withColumn("line_no", place), "lines").withColumn(
+        "closed_before", F.lit(0).cast("bigint"))
     before = _last_batch(spark, table, batch_id)
     if before is not None:
-        rows = rows.unionByName(_carried(spark, table, before))
-    out = running_total_before(rows, ["source"], "line_no", F.col("value"), "session_no", total="closed")
-    out = out.withColumn("complete", F.col("session_no") < F.col("closed")).drop("value")
+        rows = rows.unionByName(_carried(spark, table, before), allowMissingColumns=True)
+    out = assign_sessions(rows, closed_before=F.coalesce("closed_before", F.lit(0))).drop("closed_before")
     path = _batch_path(table, batch_id)
     out.write.mode("overwrite").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    records = parse_records(rows.where(F.col("kind").isin("post", "comment")), mode)
     place = F.col("line_no").alias("ord")
-    posts = posts_from_raw(records.where("kind = 'post'"), "post", *SESSION, place)
-    comments = comments_from_raw(records.where("kind = 'comment'"), "comment", *SESSION, place)
+    posts = posts_from_raw(records.where("post is not null"), "post", *SESSION, place)
+    comments = comments_from_raw(records.where("comment is not null"), "comment", *SESSION, place)
     return posts, comments
 
 
@@ -107,7 +110,7 @@ def harvest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str
     def process(lines: DataFrame, batch_id: int) -> None:
         batch = harvest_batch(lines, batch_id, table, mode)
         if documents:
-            posts, comments = _split(batch.where("complete"))
+            posts, comments = _split(batch.where("complete"), mode)
             write_documents(harvest_documents(posts, comments, SESSION), _batch_path(documents, batch_id))
 
     w = stream_lines(spark, folder, source, files_per_trigger).writeStream.foreachBatch(process)
@@ -115,14 +118,12 @@ def harvest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def finished_sessions(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame]:
+def finished_sessions(spark: SparkSession, table: str, mode: str = "loose") -> tuple[DataFrame, DataFrame]:
     """(posts, comments) of all finished sessions, keyed by ``source, session_no``."""
-    rows = spark.read.parquet(table).where("complete and kind in ('post', 'comment')")
-    return _split(rows)
+    return _split(spark.read.parquet(table).where("complete"), mode)
 
 
-def open_sessions(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame]:
+def open_sessions(spark: SparkSession, table: str, mode: str = "loose") -> tuple[DataFrame, DataFrame]:
     """What an interrupt would leave unsaved: records after each source's last marker."""
-    last = _last_batch(spark, table)
-    rows = spark.read.parquet(_batch_path(table, last)).where("not complete and kind in ('post', 'comment')")
-    return _split(rows)
+    last = _batch_path(table, _last_batch(spark, table))
+    return _split(spark.read.parquet(last).where("not complete"), mode)
