@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.constants import CORPUS_ROWS, SEGMENT, SWEEP_BATCH
 from threadloom.functions.text import comment_text, id_text, post_text
-from threadloom.operators.ordering import BLOCK, first_n, with_ordinal
+from threadloom.operators.ordering import BLOCK, first_n, floor_div, with_ordinal
 
 ROW_PROMPT_HEADER = (
     "Label each item below.\n"
@@ -56,29 +56,23 @@ def assign_batches(rows: DataFrame, size: int = SWEEP_BATCH, keys: Sequence[str]
     if mode == "exact":
         placed = with_ordinal(rows, keys, block=block)
         return (
-            placed.withColumn("batch_no", F.floor(F.col("ord0") / size).cast("bigint"))
+            placed.withColumn("batch_no", floor_div("ord0", size))
             .withColumn("pos", (F.col("ord0") % size).cast("bigint")).drop("ord0")
         )
     if mode != "partition":
         raise ValueError(f"mode must be exact or partition, not {mode!r}")
-    blocked = rows.withColumn("block", F.floor(F.col("ord") / block).cast("bigint"))
-    placed = first_n_free_rank(blocked, [*keys, "block"])
+    blocked = rows.withColumn("block", floor_div("ord", block))
+    # a block is bounded, so its plain row number is too
+    place = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("ord"))
+    placed = blocked.withColumn("ord0", (place - 1).cast("bigint"))
     per_block = -(-block // size)
     return (
         placed.withColumn(
-            "batch_no", F.col("block") * per_block + F.floor(F.col("ord0") / size).cast("bigint"))
+            "batch_no", F.col("block") * per_block + floor_div("ord0", size))
         .withColumn("pos", (F.col("ord0") % size).cast("bigint")).drop("ord0")
     )
 
 
-def first_n_free_rank(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """0-based rank inside groups that are bounded by construction (blocks of ``ord``)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy("ord")
-    return rows.withColumn("ord0", (F.row_number().over(w) - 1).cast("bigint"))
-
-
 def slice_batch(rows: DataFrame, n: int, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """The first ``n`` rows of each segment as its single batch 0."""
     head = first_n(rows, keys, F.col("ord"), n, rank="pos")

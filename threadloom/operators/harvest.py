@@ -16,7 +16,7 @@ from threadloom.constants import (
 from threadloom.functions.bind import bind
 from threadloom.functions.dates import millis_to_epoch, whole_number
 from threadloom.functions.text import non_empty, utrim
-from threadloom.operators.ordering import first_n, running_total_before, with_ordinal
+from threadloom.operators.ordering import first_n, floor_div, running_total_before, with_ordinal
 
 # --- raw records -> frames -------------------------------------------------------
 
@@ -311,7 +311,7 @@ def harvest_documents(posts: DataFrame, comments: DataFrame, keys: Sequence[str]
         record = raw_struct(fields).alias("record")
         cols = df.select(*keys, "ord", record)
         placed = with_ordinal(cols, keys)
-        return placed.withColumn("part", F.floor(F.col("ord0") / part_rows).cast("bigint"))
+        return placed.withColumn("part", floor_div("ord0", part_rows))
 
     def arrays(df, name, schema):
         placed = df.groupBy(*keys, "part").agg(

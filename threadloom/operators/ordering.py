@@ -18,6 +18,11 @@ BLOCK = 1 << 16
 _BLOCK, _VALUE, _RANK, _TOTAL = "__block", "__value", "__rank", "__total"
 
 
+def floor_div(name: str, n: int) -> Column:
+    """Whole-number floor of a bigint column divided by ``n``; exact over the full range."""
+    return F.expr(f"(`{name}` - pmod(`{name}`, {n}L)) div {n}L")
+
+
 def _running(keys: Sequence[str], order: Sequence[str], value: str) -> Column:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(w), F.lit(0).cast("bigint"))
@@ -42,14 +47,13 @@ def running_total_before(
     so sparse that one group may have more than some ten million blocks.
     """
     keys = list(keys)
-    rows = df.withColumn(_BLOCK, F.floor(F.col(ord_col) / F.lit(block)).cast("bigint"))
-    rows = rows.withColumn(_VALUE, value.cast("bigint"))
+    rows = df.withColumns({_BLOCK: floor_div(ord_col, block), _VALUE: value.cast("bigint")})
     sums = rows.groupBy(*keys, _BLOCK).agg(F.sum(_VALUE).alias(_VALUE))
     if levels > 1:
         offsets = running_total_before(
             sums.withColumnsRenamed({_BLOCK: "__sub", _VALUE: "__sum"}),
-            keys, "__sub", F.col("__sum"), _VALUE, _TOTAL if total else None, block, levels - 1,
-        ).withColumnRenamed("__sub", _BLOCK).drop("__sum")
+            keys, "__sub", F.col("__sum"), "__before", "__all" if total else None, block, levels - 1,
+        ).withColumnsRenamed({"__sub": _BLOCK, "__before": _VALUE, "__all": _TOTAL}).drop("__sum")
     else:
         offsets = sums.withColumn("__before", _running(keys, [_BLOCK], _VALUE))
         if total:

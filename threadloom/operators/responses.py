@@ -100,7 +100,10 @@ def decode_items(df: DataFrame, response: str = "response", out: str = "items",
     lead = F.col("__lead")
     step = _with_root(df.select(*columns), response)
     step = bind(step, __fields=F.when(lead == "{", _values(F.col("__root"))))
-    wanted = F.transform("__fields.typed", _is_list if legacy else _holds_object)
+    # an object with a repeated key is no variant; its raw text still shows the shape
+    by_text = lambda t: F.coalesce(t.startswith("[") & (F.lit(legacy) | t.contains("{")), F.lit(False))
+    wanted = F.coalesce(F.transform("__fields.typed", _is_list if legacy else _holds_object),
+                        F.transform("__fields.raw", by_text))
     step = bind(step, __inner=F.get("__fields.raw", F.array_position(wanted, True).cast("int") - 1))
     step = bind(step, __items=(
         F.when(F.col("__inner").isNotNull(), F.col("__inner"))
@@ -112,11 +115,12 @@ def decode_items(df: DataFrame, response: str = "response", out: str = "items",
     fields = lambda text: F.transform(
         F.map_entries(F.from_json(text, "map<string,variant>")),
         lambda e: F.struct(key(e).alias("key"), e["value"].alias("value")))
+    step = bind(step, __texts=F.from_json("__items", "array<string>"),
+                __types=F.from_json("__items", "array<variant>"))
+    is_object = lambda t, i: F.coalesce(
+        _type_is(F.get("__types", i), "OBJECT"), F.col("__types").isNull() & t.startswith("{"))
     # an element that is no object has no fields
-    step = bind(step, __pairs=F.transform(
-        F.arrays_zip(F.from_json("__items", "array<string>").alias("text"),
-                     F.from_json("__items", "array<variant>").alias("typed")),
-        lambda z: F.when(_type_is(z["typed"], "OBJECT"), fields(z["text"]))))
+    step = bind(step, __pairs=F.transform("__texts", lambda t, i: F.when(is_object(t, i), fields(t))))
     item = lambda entries: F.struct(
         entries.isNotNull().alias("is_object"),
         _id_value(entries, not legacy).alias("id"),

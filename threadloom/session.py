@@ -29,18 +29,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
     Only a local master, where driver and executors are one process, may fall
-    back to a temporary folder; it is then recorded in the session.
+    back to a temporary folder, one per application.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set(CHECKPOINT_SETTING, base)
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="threadloom-")
+        base = _local_folders[app]
     return base.rstrip("/")
 
 
