@@ -60,3 +60,12 @@ def test_first_n_limits_groups_before_the_shuffle(frame):
     df = frame(hot_rows(), "k string, ord bigint, v bigint")
     plan = first_n(df, ["k"], F.col("ord"), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("n", [3, 999, 1000, 2500])
+def test_first_n_of_any_size(frame, n):
+    df = frame([("hot" if i % 3 else "b", i) for i in range(6000)], "k string, ord bigint")
+    got = first_n(df, ["k"], F.col("ord").desc(), n, rank="rank").collect()
+    for k in ("hot", "b"):
+        ords = sorted((i for i in range(6000) if (i % 3 != 0) == (k == "hot")), reverse=True)[:n]
+        assert sorted((r.rank, r.ord) for r in got if r.k == k) == list(enumerate(ords, 1))

@@ -38,6 +38,17 @@ def test_agreement_rules(frame):
     assert got[("h", "sentiment")] == (0, 0, None) and got[("h", "toxicity")] == (1, 1, 100.0)
 
 
+def test_repeated_ids_count_every_pair_without_building_it(frame):
+    """Four equal rows against three rows are twelve pairs, from three joined rows."""
+    schema = "community string, kind string, id string, sentiment string, toxicity string"
+    a = frame([("g", "posts", "1", "Neutral", "Low")] * 4, schema)
+    b = frame([("g", "posts", "1", "neutral", "Low")] * 2 + [("g", "posts", "1", "Mixed", "High")], schema)
+    pairs = annotator_pairs(a, b)
+    assert pairs.count() == 3
+    got = {r.label: (r.sample_rows, r.matches) for r in pair_agreement(pairs).collect()}
+    assert got == {"sentiment": (12, 8), "toxicity": (12, 8)}
+
+
 def test_agreement_document(frame):
     a = annotations(frame, [
         ("g", "posts", "gemini", "1", "Neutral", "Skipped", None), ("g", "posts", "groq", "1", "neutral", "Low", None)])

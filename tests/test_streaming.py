@@ -10,7 +10,7 @@ from threadloom.operators.harvest import marker_sessions, posts_from_raw
 from threadloom.sources.documents import read_documents
 from threadloom.sources.logs import read_lines
 from threadloom.streaming.harvest import (
-    append_stream, finished_sessions, harvest_batch, harvest_stream, open_sessions, stream_lines, stream_records,
+    append_stream, finished_sessions, flush_open, harvest_batch, harvest_stream, open_sessions, stream_lines, stream_records,
 )
 
 END = "=== END STREAM HARVEST: r/demo ==="
@@ -66,6 +66,9 @@ def test_sessions_over_restarts_and_batches(spark, tmp_path):
     docs = read_documents(spark, f"{where['documents']}/batch=*/*.json", multi_line=False)
     assert docs.count() == 4 and docs.select(F.sum("metadata.total_posts")).first()[0] == 5
 
+    flush_open(spark, where["table"], str(tmp_path / "rest"))
+    assert read_documents(spark, f"{tmp_path}/rest/*.json", multi_line=False).count() == 2
+
     batch = marker_sessions(read_lines(spark, str(logs), source()), emit_incomplete=True).collect()
     ids = lambda done: {(r.source, r.session_no, r.post["post ID"] if r.post else r.comment["comment ID"])
                         for r in batch if r.complete == done}

@@ -6,12 +6,13 @@ import re
 import traceback
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.constants import (
-    CORPUS_ROWS, MAX_ATTEMPTS, SEGMENT, SKIPPED, SLICE_ROWS, SWEEP_BATCH, UNKNOWN,
+    AUDIT, CORPUS_ROWS, MAX_ATTEMPTS, SEGMENT, SKIPPED, SLICE_ROWS, SWEEP_BATCH, UNKNOWN,
 )
 from threadloom.functions.text import flatten_newlines
 from threadloom.operators.batching import assign_batches, corpus_prompts, gather_requests, slice_batch
@@ -175,3 +176,14 @@ def annotate_corpus(rows: DataFrame, model: Model, sample: int = CORPUS_ROWS,
         out = out.withColumns({c: F.when(nothing, SKIPPED).otherwise(F.col(c)) for c in ("summary", "patterns")})
     out = out.drop("response")
     return out, audit_rows(called, model.name, CORPUS_IDENTIFIER)
+
+
+def annotate_all(rows: DataFrame, models: list[Model], parallelism: int | None = None,
+                 batching: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """(annotations of all models, audit rows) for payload rows; the rows are staged once."""
+    rows = stage_table(rows.select(*SEGMENT, "id", "text", "ord"), "payload")
+    done = [annotate_rows(rows, m, parallelism, batching=batching) for m in models]
+    labels = reduce(DataFrame.unionByName, [d.labels for d in done])
+    audits = [d.audit for d in done if d.audit is not None]
+    audit = reduce(DataFrame.unionByName, audits) if audits else rows.sparkSession.createDataFrame([], AUDIT)
+    return labels, audit

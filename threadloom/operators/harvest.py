@@ -14,7 +14,7 @@ from threadloom.constants import (
     RAW_COMMENT_FIELDS, RAW_POST, RAW_POST_FIELDS,
 )
 from threadloom.functions.bind import bind
-from threadloom.functions.dates import millis_to_epoch, whole_number
+from threadloom.functions.dates import millis_to_epoch, run_stamp, whole_number
 from threadloom.functions.text import non_empty, utrim
 from threadloom.operators.ordering import first_n, floor_div, running_total_before, with_ordinal
 
@@ -293,7 +293,7 @@ def select_harvest(posts: DataFrame, comments: DataFrame, mode: str = "post",
 
 # --- documents and lines out ------------------------------------------------------------------
 
-DOCUMENT_ROWS = 10_000
+DOCUMENT_ROWS = 1_000
 
 
 def harvest_documents(posts: DataFrame, comments: DataFrame, keys: Sequence[str],
@@ -303,7 +303,8 @@ def harvest_documents(posts: DataFrame, comments: DataFrame, keys: Sequence[str]
 
     One document holds up to ``part_rows`` posts and as many comments; a larger
     group continues in further parts, so no task ever builds an unbounded
-    array. Groups with no rows yield no document.
+    array; a harvest under the usual limits is one document. Groups with no rows
+    yield none.
     """
     keys = list(keys)
 
@@ -325,7 +326,7 @@ def harvest_documents(posts: DataFrame, comments: DataFrame, keys: Sequence[str]
         .unionByName(comments.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("c")))
         .groupBy(*keys).agg(F.sum("p").alias("total_posts"), F.sum("c").alias("total_comments"))
     )
-    stamp = F.lit("") if stamp is None else stamp
+    stamp = run_stamp() if stamp is None else stamp
     return (
         p.join(c, [*keys, "part"], "full").join(totals, keys)
         .select(

@@ -18,9 +18,16 @@ from threadloom.operators.ordering import first_n
 
 
 def annotator_pairs(first: DataFrame, second: DataFrame, labels=("sentiment", "toxicity")) -> DataFrame:
-    """Both annotators' labels side by side: ``<label>_a`` and ``<label>_b`` per segment and id."""
+    """Both annotators' labels side by side: ``<label>_a`` and ``<label>_b`` per segment and id.
+
+    Equal rows of the first side are one row with their number in ``pairs``, so
+    an id that is repeated on both sides does not multiply.
+    """
     keys = [*SEGMENT, "id"]
-    a = first.select(*keys, *[F.col(n).alias(f"{n}_a") for n in labels])
+    a = (
+        first.groupBy(*keys, *[F.col(n).alias(f"{n}_a") for n in labels])
+        .agg(F.count(F.lit(1)).alias("pairs"))
+    )
     b = second.select(*keys, *[F.col(n).alias(f"{n}_b") for n in labels])
     return a.join(b, keys)
 
@@ -47,8 +54,9 @@ def pair_agreement(pairs: DataFrame) -> DataFrame:
     aggs = []
     for n in present:
         valid = is_annotated(F.col(f"{n}_a"))
-        aggs.append(F.count_if(valid).alias(f"{n}_rows"))
-        aggs.append(F.count_if(valid & tests[n](F.col(f"{n}_a"), F.col(f"{n}_b"))).alias(f"{n}_hits"))
+        hit = valid & tests[n](F.col(f"{n}_a"), F.col(f"{n}_b"))
+        for name, test in ((f"{n}_rows", valid), (f"{n}_hits", hit)):
+            aggs.append(F.sum(F.when(test, F.col("pairs")).otherwise(0)).alias(name))
     wide = pairs.groupBy(*SEGMENT).agg(*aggs)
     entry = lambda n: F.struct(F.lit(n).alias("label"), F.col(f"{n}_rows").alias("sample_rows"),
                                F.col(f"{n}_hits").alias("matches"))

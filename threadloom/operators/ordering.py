@@ -78,15 +78,27 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], ord_col: str = "ord", out:
     return running_total_before(df, keys, ord_col, F.lit(1), out, None, block, levels)
 
 
+# Catalyst limits groups before the shuffle for ranks below this (its default threshold).
+GROUP_LIMIT = 1000
+SALTS = 256
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order, n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group.
 
     Catalyst turns the rank filter into a group limit before the shuffle, so
     each map task sends at most ``n`` rows per group, however hot the group.
+    For larger ``n``, which it leaves alone, the first ``n`` of each of 256
+    parts of a group are taken first; no task then sees more of a hot group
+    than its part, or ``256 * n`` rows.
     """
-    order = order if isinstance(order, (list, tuple)) else [order]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    keys, order = list(keys), list(order) if isinstance(order, (list, tuple)) else [order]
     name = rank or "__rn"
+    if n >= GROUP_LIMIT:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(SALTS)))
+        within = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))
+        df = salted.withColumn(name, within).where(F.col(name) <= n).drop("__salt", name)
+    w = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
 

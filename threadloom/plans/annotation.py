@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.operators.annotate import (
-    Model, annotate_corpus, annotate_rows, audit_rows, call_annotator, row_requests,
+    Model, annotate_all, annotate_corpus, annotate_rows, audit_rows, call_annotator, row_requests,
 )
 from threadloom.operators.batching import assign_batches, corpus_prompts, gather_requests, post_payload
 from threadloom.operators.resolve import coverage, last_labels, resolve_slice, resolve_sweep
@@ -259,6 +259,18 @@ def _(spark, sf):
     return annotate_rows(b.payload(spark, sf), Model("groq", rules.failing_by_id)).labels
 
 
+@query("annotate_all_models", f"""WITH {b.PAYLOAD}, placed AS (
+    SELECT *, row_number() OVER (PARTITION BY community, kind ORDER BY ord) AS nth FROM payload)
+  SELECT community, kind, id, ord, 'groq' AS model, {_RULE} AS sentiment, {_TOX} AS toxicity FROM placed
+  UNION ALL
+  SELECT community, kind, id, ord, 'gemini', CASE WHEN nth <= 45 THEN {_RULE} ELSE 'Skipped' END,
+         CASE WHEN nth <= 45 THEN {_TOX} ELSE 'Skipped' END FROM placed""")
+def _(spark, sf):
+    ship_package(spark)
+    models = [Model("groq", rules.by_length), Model.slice("gemini", rules.by_length)]
+    return annotate_all(b.payload(spark, sf), models)[0].drop("topics")
+
+
 @query("annotate_not_run", f"""WITH {b.PAYLOAD}
   SELECT community, kind, id, ord, 'gemini' AS model, 'Skipped' AS sentiment, 'Skipped' AS toxicity,
          'Skipped' AS topics FROM payload""")

@@ -127,3 +127,8 @@ def open_sessions(spark: SparkSession, table: str, mode: str = "loose") -> tuple
     """What an interrupt would leave unsaved: records after each source's last marker."""
     last = _batch_path(table, _last_batch(spark, table))
     return _split(spark.read.parquet(last).where("not complete"), mode)
+
+
+def flush_open(spark: SparkSession, table: str, documents: str, mode: str = "loose") -> None:
+    """Write what is still open as documents, as an interrupted harvest saves its buffer."""
+    write_documents(harvest_documents(*open_sessions(spark, table, mode), SESSION), documents)
