@@ -106,3 +106,12 @@ def test_millis(frame):
 def test_run_stamp_is_injectable(frame):
     rows = frame([(datetime.datetime(2026, 7, 29, 23, 57, 1),)], "t timestamp_ntz")
     assert rows.select(dates.run_stamp(F.col("t"))).first()[0] == "20260729_235701"
+
+
+def test_micros_of_naive_times(frame):
+    times = [datetime.datetime(1970, 1, 1), datetime.datetime(2024, 2, 29, 23, 59, 59, 999999),
+             datetime.datetime(1969, 12, 31, 23, 59, 58, 500000)]
+    rows = frame([(t,) for t in times], "t timestamp_ntz")
+    zero = datetime.datetime(1970, 1, 1)
+    assert [r[0] for r in rows.select(dates.ts_to_micros(F.col("t"))).collect()] == [
+        (t - zero) // datetime.timedelta(microseconds=1) for t in times]

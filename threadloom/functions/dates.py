@@ -41,6 +41,15 @@ def epoch_to_ts(epoch: Column) -> Column:
     )
 
 
+def ts_to_micros(ts: Column) -> Column:
+    """TIMESTAMP_NTZ -> microseconds since 1970."""
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda name: F.extract(F.lit(name), since).cast("bigint")
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    seconds = F.extract(F.lit("SECOND"), since).cast("decimal(8,6)")
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
 def ts_to_text(ts: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss``, fractions of a second cut off."""
     return F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19)

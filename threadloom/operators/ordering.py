@@ -24,8 +24,9 @@ def floor_div(name: str, n: int) -> Column:
 
 
 def _running(keys: Sequence[str], order: Sequence[str], value: str) -> Column:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(w), F.lit(0).cast("bigint"))
+    """Sum of the earlier rows. A frame up to the current row is far cheaper than one that ends before it."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum(value).over(w) - F.col(value)
 
 
 def running_total_before(
@@ -47,7 +48,7 @@ def running_total_before(
     so sparse that one group may have more than some ten million blocks.
     """
     keys = list(keys)
-    rows = df.withColumns({_BLOCK: floor_div(ord_col, block), _VALUE: value.cast("bigint")})
+    rows = df.withColumns({_BLOCK: floor_div(ord_col, block), _VALUE: F.coalesce(value.cast("bigint"), F.lit(0))})
     sums = rows.groupBy(*keys, _BLOCK).agg(F.sum(_VALUE).alias(_VALUE))
     if levels > 1:
         offsets = running_total_before(

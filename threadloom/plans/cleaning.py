@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions.dates import (
-    epoch_to_text, millis_to_epoch, standard_date_text, ts_to_text, whole_number,
+    epoch_to_text, millis_to_epoch, standard_date_text, ts_to_micros, ts_to_text, whole_number,
 )
 from threadloom.operators.clean import (
     clean_comments, clean_posts, cleaning_metrics, harmonize_comments, harmonize_posts,
@@ -112,10 +112,13 @@ def _(spark, sf):
 # --- dates, over events --------------------------------------------------------------------
 
 
+def _event_micros():
+    """Event time in microseconds; a naive time cast to naive is unchanged."""
+    return ts_to_micros(F.col("ts").cast("timestamp_ntz"))
+
+
 def _event_seconds():
-    """Event time as whole Unix seconds, whichever timestamp type the table has."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return F.floor(micros / 1_000_000).cast("bigint")
+    return F.floor(_event_micros() / 1_000_000).cast("bigint")
 
 
 _TS = "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')"
@@ -135,7 +138,7 @@ def _(spark, sf):
          ELSE CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) END AS created_epoch FROM events""")
 def _(spark, sf):
     e = b.table(spark, sf, "events")
-    ms = F.when(F.col("event_id") % 7 != 0, F.unix_millis(F.col("ts").cast("timestamp")))
+    ms = F.when(F.col("event_id") % 7 != 0, F.floor(_event_micros() / 1000).cast("bigint"))
     return e.select("event_id", millis_to_epoch(ms).alias("created_epoch"))
 
 
