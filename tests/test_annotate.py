@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators.annotate import Model, annotate_corpus, annotate_rows, call_annotator
+from threadloom.operators.annotate import Model, annotate_corpus, annotate_rows, audit_rows, call_annotator
 from threadloom.operators.batching import assign_batches, corpus_prompts, gather_requests, slice_batch
 from threadloom.operators.resolve import coverage, resolve_slice
 from threadloom.plans import rules
@@ -128,3 +128,6 @@ def test_row_past_the_slice_is_skipped_although_its_id_was_labelled(frame):
 def test_audit_text_is_one_line(rows):
     audit = annotate_rows(rows.limit(5), Model("m", rules.by_length)).audit
     assert audit.where(F.col("prompt_used").contains("\n")).count() == 0
+    called = annotate_rows(rows.limit(5), Model("m", rules.by_length)).responses
+    kept = audit_rows(called, "m", flatten=False)
+    assert kept.where(F.col("prompt_used").contains("\n")).count() == kept.count() > 0

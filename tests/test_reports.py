@@ -121,23 +121,26 @@ def test_missing_documents_are_an_empty_frame(spark, tmp_path):
     assert read_annotations(spark, str(tmp_path)).count() == 0
 
 
-def python_report(subreddit, mode, stamp, posts, comments):
-    """The report text for one document, line by line."""
-    out = f"=== HARVEST REPORT: r/{subreddit} [{mode.upper()}] - {stamp} ===\n\n"
-    if posts:
-        out += "--- POSTS ---\n"
-    for p in posts:
-        out += f"[{p['post ID']}] {p['title']}\nAuthor: {p['author']} | Score: {p['score/upvotes']} | Comments: {p['number of comments']}\n"
-        out += f"URL: {p['URL/permalink']}\n"
-        if p["body/self-text"]:
-            out += f"Body: {p['body/self-text']}\n"
-        out += "-" * 50 + "\n"
-    if comments:
-        out += "\n--- COMMENTS ---\n"
-    for c in comments:
-        out += f"[{c['comment ID']}] Post: {c['parent post ID']} | Author: {c['author']} | Score: {c['score/upvotes']}\n"
-        out += f"Text: {c['comment text']}\n" + "-" * 50 + "\n"
-    return out
+REPORT = """\
+=== HARVEST REPORT: r/demo [POST] - s ===
+
+--- POSTS ---
+[t3_a] T
+Author: None | Score: 4 | Comments: 2
+URL: u
+{rule}
+[t3_c] T
+Author: None | Score: 4 | Comments: 2
+URL: u
+Body: body
+{rule}
+
+--- COMMENTS ---
+[t1_b] Post: t3_a | Author: bob | Score: None
+Text: two
+lines "q"
+{rule}
+""".format(rule="-" * 50)
 
 
 def test_harvest_report_file(spark, tmp_path):
@@ -148,7 +151,7 @@ def test_harvest_report_file(spark, tmp_path):
     write_report(lines, str(tmp_path / "out"), ["section", "ord"], ["k"])
     folder = tmp_path / "out" / "k=k1"
     text = "".join((folder / f).read_text() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
-    assert text == python_report("demo", "post", "s", posts, [RAW_COMMENT])
+    assert text == REPORT
     nothing = harvest_report(document_posts(read.where("false"), "k"), document_comments(read.where("false"), "k"),
                              ["k"], F.lit("demo"), "post", F.lit("s"))
     assert nothing.count() == 0

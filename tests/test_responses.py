@@ -75,20 +75,13 @@ def test_position_fills_unmatched_members(frame):
     assert aligned(frame, None, ["a"]) == [("a", U, U, U)]
 
 
-def python_align(items, members):
-    """The two matching rules, written out for one batch."""
-    found, named = {m: (U, U, U) for m in members}, set()
-    label = lambda it: tuple(str(it.get(k, U)) for k in ("sentiment", "toxicity", "topics"))
-    for it in items:
-        if isinstance(it, dict) and str(it.get("id", "")).strip() in found:
-            m = str(it["id"]).strip()
-            found[m] = label(it)
-            named.add(m)
-    if len(items) == len(members):
-        for m, it in zip(members, items):
-            if isinstance(it, dict) and (m not in named or found[m] == (U, U, U)):
-                found[m] = label(it)
-    return [(m, *found[m]) for m in members]
+def expected_labels(items, members, place):
+    """What one member gets: its own last item, unless that says nothing and its place has one."""
+    read = lambda it: tuple(str(it[k]) if k in it else U for k in ("sentiment", "toxicity", "topics"))
+    own = [read(it) for it in items if isinstance(it, dict) and str(it.get("id", "")).strip() == members[place]]
+    by_key = own[-1] if own else (U, U, U)
+    placed = items[place] if len(items) == len(members) else None
+    return read(placed) if by_key == (U, U, U) and isinstance(placed, dict) else by_key
 
 
 ITEM = st.one_of(
@@ -108,7 +101,9 @@ def test_align_matches_the_rules(spark, batches):
     for r in align(decode_items(df), ["b"]).collect():
         got.setdefault(r.b, []).append((r.pos, (r.id, r.sentiment, r.toxicity, r.topics)))
     for k, (items, n) in enumerate(batches):
-        assert [v for _, v in sorted(got[k])] == python_align(items, list("abcd")[:n])
+        members = list("abcd")[:n]
+        assert [v for _, v in sorted(got[k])] == [
+            (m, *expected_labels(items, members, i)) for i, m in enumerate(members)]
 
 
 def test_macro(frame):

@@ -101,19 +101,24 @@ def call_annotator(requests: DataFrame, model: Model, parallelism: int | None =
     )
 
 
-def audit_rows(called: DataFrame, model: str, identifiers=None) -> DataFrame:
-    """One audit row per attempt, in the five-column layout of the audit sheet."""
+def audit_rows(called: DataFrame, model: str, identifiers: str | None = None,
+               flatten: bool = True) -> DataFrame:
+    """One audit row per attempt, in the five-column layout of the audit sheet.
+
+    ``flatten`` puts every text on one line; without it texts stay as they are.
+    """
+    shown = flatten_newlines if flatten else lambda c: c
     ids = (
         F.concat(F.lit("['"), F.array_join("members", "', '"), F.lit("']"))
         if identifiers is None else F.lit(identifiers)
     )
     a = called.select(ids.alias("ids"), "prompt", F.explode("attempts").alias("a"))
     return a.select(
-        flatten_newlines(F.col("ids")).alias("input_text_identifiers"),
-        flatten_newlines(F.col("prompt")).alias("prompt_used"),
+        shown(F.col("ids")).alias("input_text_identifiers"),
+        shown(F.col("prompt")).alias("prompt_used"),
         F.lit(model).alias("model_api_used"),
-        flatten_newlines(F.coalesce("a.output", F.lit(""))).alias("generated_output"),
-        F.coalesce(flatten_newlines(F.col("a.error")), F.lit("None")).alias("errors_encountered"),
+        shown(F.coalesce("a.output", F.lit(""))).alias("generated_output"),
+        F.coalesce(shown(F.col("a.error")), F.lit("None")).alias("errors_encountered"),
     )
 
 

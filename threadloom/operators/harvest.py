@@ -15,7 +15,7 @@ from threadloom.constants import (
 )
 from threadloom.functions.bind import bind
 from threadloom.functions.dates import millis_to_epoch, run_stamp, whole_number
-from threadloom.functions.text import non_empty, utrim
+from threadloom.functions.text import non_empty, target_name, utrim
 from threadloom.operators.ordering import first_n, floor_div, running_total_before, with_ordinal
 
 # --- raw records -> frames -------------------------------------------------------
@@ -265,11 +265,17 @@ def capped_harvest(posts: DataFrame, comments: DataFrame, post_limit: int = FEED
 
 def select_harvest(posts: DataFrame, comments: DataFrame, mode: str = "post",
                    post_id: str | None = None, sort: str = "hot",
-                   include_comments: bool = False, seed: int | None = None) -> Harvest:
+                   include_comments: bool = False, seed: int | None = None,
+                   target: str | None = None) -> Harvest:
     """The rows a harvest with these options returns, for one community.
 
-    ``post`` without an id (or with ``n``) takes a random post of the feed.
+    ``target`` picks the community by a name as a user types it (``r/Gaming``);
+    without it the frames hold one community already. ``post`` without an id (or
+    with ``n``) takes a random post of the feed.
     """
+    if target is not None:
+        wanted_name = F.lower("community") == target_name(F.lit(target))
+        posts, comments = posts.where(wanted_name), comments.where(wanted_name)
     mode = mode.lower().strip()
     if mode not in HARVEST_MODES:
         raise ValueError(f"mode must be one of {HARVEST_MODES}, not {mode!r}")

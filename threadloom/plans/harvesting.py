@@ -190,6 +190,15 @@ def _(spark, sf):
     return chosen.comments.select("comment_id", "post_id", "text")
 
 
+@query("harvest_select_target", f"""WITH {b.POSTS}, {b.COMMENTS}
+  SELECT 'posts' AS kind, post_id AS id FROM posts WHERE community = 'en'
+  UNION ALL SELECT 'comments', comment_id FROM comments WHERE community = 'en'""")
+def _(spark, sf):
+    both = select_harvest(b.posts(spark, sf), b.comments(spark, sf), "both", target=" r/EN ")
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    return row(both.posts, "posts", "post_id").unionByName(row(both.comments, "comments", "comment_id"))
+
+
 @query("harvest_random")
 def _(spark, sf):
     chosen = select_harvest(b.posts(spark, sf), b.comments(spark, sf), "post", sort="top",

@@ -30,15 +30,22 @@ def read_lines(spark: SparkSession, path, source: Column | None = None) -> DataF
     return number_lines(raw)
 
 
-# Rows of the split table that may be broadcast: some 200 bytes each, so under 10 MB.
-BROADCAST_SPLITS = 50_000
+# Size up to which the table of file splits is broadcast.
+BROADCAST_BYTES = 10 << 20
 
 
 def _few_splits(raw: DataFrame) -> bool:
-    """Whether the number of file splits is known and small, from the file listing alone."""
-    files = len(raw.inputFiles())
+    """Whether the split table is known to be small, from the file listing alone.
+
+    A file has one split per scan task at most plus one, and a row is its path,
+    its source name and four numbers.
+    """
     tasks = raw._jdf.queryExecution().toRdd().getNumPartitions()
-    return 0 < files and files + tasks <= BROADCAST_SPLITS
+    if tasks * 64 > BROADCAST_BYTES:
+        return False
+    files = raw.inputFiles()
+    width = 2 * max(map(len, files), default=0) + 64
+    return bool(files) and (len(files) + tasks) * width <= BROADCAST_BYTES
 
 
 def number_lines(raw: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def write_segments(df: DataFrame, path: str, keys: Sequence[str] = SEGMENT, fmt:
     Rows are rebalanced by segment first: a segment gets few files, and a
     segment with a large share of the rows is split over many tasks.
     """
-    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    writer = df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt)
+    (writer.options(header=True, quote='"', escape='"', emptyValue="") if fmt == "csv" else writer).save(path)
 
 
 def write_annotations(annotations: DataFrame, macro: DataFrame, folder: str, fmt: str = "parquet") -> None:

@@ -56,10 +56,11 @@ def _batch_path(table: str, n: int) -> str:
 
 
 def _last_batch(spark: SparkSession, table: str, below: int | None = None) -> int | None:
-    found = [int(m.group(1)) for p in matching_files(spark, f"{table}/batch=*")
-             if (m := re.search(r"batch=(\d+)$", p)) and exists(spark, f"{p}/_SUCCESS")]
-    found = [n for n in found if below is None or n < below]
-    return max(found) if found else None
+    """Number of the newest finished batch, or of the newest before ``below``."""
+    found = (re.search(r"batch=(\d+)$", p) for p in matching_files(spark, f"{table}/batch=*"))
+    numbers = sorted((int(m.group(1)) for m in found if m), reverse=True)
+    return next((n for n in numbers if (below is None or n < below)
+                 and exists(spark, f"{_batch_path(table, n)}/_SUCCESS")), None)
 
 
 def _carried(spark: SparkSession, table: str, n: int) -> DataFrame:
@@ -82,7 +83,8 @@ def harvest_batch(lines: DataFrame, batch_id: int, table: str, mode: str = "loos
     numbered = number_lines(lines.withColumn("seq", F.monotonically_increasing_id()))
     kinds = line_kinds(numbered, mode).where("kind is not null")
     place = F.col("line_no") + F.lit(batch_id * LINES_PER_BATCH)
-    rows = stage_table(kinds.withColumn("line_no", place), "lines").withColumn(
+    # one folder, rewritten by each batch; readers of the table pass over it
+    rows = stage_table(kinds.withColumn("line_no", place), "lines", f"{table}/_lines").withColumn(
         "closed_before", F.lit(0).cast("bigint"))
     before = _last_batch(spark, table, batch_id)
     if before is not None:
