@@ -16,7 +16,7 @@ from threadloom.plans import bindings as b
 from threadloom.plans import rules
 from threadloom.plans.harvesting import _POST_COLUMNS
 from threadloom.plans.registry import query
-from threadloom.session import new_path, ship_package
+from threadloom.session import new_path, ship_package, stage_table
 from threadloom.sources.documents import read_documents, read_feed_posts
 from threadloom.sources.logs import read_lines
 from threadloom.sources.sheets import read_annotations, read_comments, read_posts
@@ -98,8 +98,8 @@ _SHEETS = f"""WITH {b.SWEEP}
 def _(spark, sf):
     """Posts sheets carry the usual headers, comments sheets the drifted ones."""
     folder = new_path(spark, "sheets")
-    rows = b.sweep(spark, sf).withColumns({
-        "id": F.concat_ws(":", "community", "id"), "topics": F.concat(F.lit("len "), F.length("topics"))})
+    rows = stage_table(b.sweep(spark, sf).withColumns({
+        "id": F.concat_ws(":", "community", "id"), "topics": F.concat(F.lit("len "), F.length("topics"))}), "labels")
     names = {"sentiment": "Sentiment", "toxicity": "Toxicity", "topics": "Topic"}
     for kind, key in (("posts", "post ID"), ("comments", "comment ID")):
         for label, drifted in names.items():
@@ -113,7 +113,7 @@ def _(spark, sf):
   SELECT community, kind, 'groq' AS model, id, toxicity FROM sweep""")
 def _(spark, sf):
     folder = new_path(spark, "annotations")
-    ann = b.sweep(spark, sf).withColumn("model", F.lit("groq"))
+    ann = stage_table(b.sweep(spark, sf).drop("ord").withColumn("model", F.lit("groq")), "labels")
     macro = ann.groupBy("community", "kind", "model").agg(
         F.min("id").alias("summary"), F.max("id").alias("patterns"))
     write_annotations(ann, macro, folder)
