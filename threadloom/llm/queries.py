@@ -1,4 +1,4 @@
 """Imports each operator module, which registers its query."""
 
-from threadloom.llm import mixing, sharding  # noqa: F401
+from threadloom.llm import byte_bpe, mixing, sharding, token_counts  # noqa: F401
 from threadloom.llm.registry import ORACLES, QUERIES  # noqa: F401
