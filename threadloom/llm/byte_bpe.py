@@ -19,96 +19,86 @@ from threadloom.llm.registry import documents, query
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-class RankQueue:
-    """Positions by rank. Two levels of bits tell the lowest rank that has any: find-first-set in the summary, then
-    in the word of 256 ranks. Positions of one rank are a plain list; whoever takes it skips the stale ones."""
-
-    __slots__ = ("summary", "bits", "buckets")
-
-    def __init__(self):
-        self.summary, self.bits, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 8
-        self.bits[word] = self.bits.get(word, 0) | 1 << (rank & 255)
-        self.summary |= 1 << word
-
-    def lowest(self) -> int:
-        """The lowest rank with positions, or -1."""
-        if not self.summary:
-            return -1
-        word = (self.summary & -self.summary).bit_length() - 1
-        bits = self.bits[word]
-        return word << 8 | (bits & -bits).bit_length() - 1
-
-    def take(self, rank: int) -> list[int]:
-        """All positions of ``rank``, leftmost first; the rank is then empty."""
-        word = rank >> 8
-        left = self.bits[word] & ~(1 << (rank & 255))
-        self.bits[word] = left
-        if not left:
-            self.summary &= ~(1 << word)
-        bucket = self.buckets.pop(rank)
-        bucket.sort()
-        return bucket
-
-
 class ByteBpe:
     """Encoder and decoder for a rank file: lines of base64 bytes and rank."""
 
     def __init__(self, content: bytes, pattern: str):
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, content.splitlines())}
         self.tokens = {r: t for t, r in self.ranks.items()}
+        self.words = [0] * ((max(self.ranks.values()) >> 8) + 1)  # all zero between calls
         self.matches = regex.compile(pattern).findall
         self.first = Memo(self._ids, 20_000)
-        self.later = Memo(lambda piece: self._ids(" " + piece))
+        self.later = Memo(lambda piece: self._ids(" " + piece), 600_000)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one match: always merge the pair of lowest rank, the leftmost of equals."""
-        rank_of = self.ranks.get
-        if (whole := rank_of(piece)) is not None:
+        """Ids of one match: always merge the pair of lowest rank, the leftmost of equals.
+
+        The queue holds, per rank, the list of positions whose pair had that rank when it was noted. Two levels of
+        bits tell which ranks have a list: ``words[w]`` has a bit per rank of 256, ``summary`` a bit per word that
+        isn't zero; find-first-set in both gives the lowest rank. Positions whose pair has changed since are stale and
+        skipped. All steps are written out here, as calls would cost more than they do.
+        """
+        ranks, words = self.ranks, self.words
+        if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
+        rank_of, n, summary, lists = ranks.get, len(piece), 0, {}
         ends, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that starts here; before[n] is unused
-        pair = [-1] * n  # rank of the pair whose left symbol starts here
-        queue = RankQueue()
-        for i in range(n - 1):
-            if (r := rank_of(piece[i:i + 2])) is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while (rank := queue.lowest()) >= 0:
-            waiting = queue.take(rank)
+        pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of the pair whose left symbol starts here
+        pair.append(-1)
+        for i, r in enumerate(pair):
+            if r >= 0:
+                if r in lists:
+                    lists[r].append(i)
+                else:
+                    lists[r] = [i]
+                    words[r >> 8] |= 1 << (r & 255)
+                    summary |= 1 << (r >> 8)
+        while summary:
+            w = (summary & -summary).bit_length() - 1
+            bits = words[w]
+            rank = w << 8 | (bits & -bits).bit_length() - 1
+            words[w] = bits = bits & bits - 1
+            if not bits:
+                summary &= summary - 1
+            waiting = lists.pop(rank)
+            if len(waiting) > 1:
+                waiting.sort()
             for at, i in enumerate(waiting):
                 if pair[i] != rank:
-                    continue  # stale
+                    continue
                 middle = ends[i]
-                end = ends[middle]
-                ends[i], pair[middle], pair[i] = end, -1, -1
-                lower = False
+                ends[i] = end = ends[middle]
+                pair[middle] = pair[i] = -1
+                lowest = rank
                 if end < n:
                     before[end] = i
-                    if (r := rank_of(piece[i:ends[end]])) is not None:
+                    if (r := rank_of(piece[i:ends[end]], -1)) >= 0:
                         pair[i] = r
-                        queue.push(r, i)
-                        lower = r < rank
+                        if r in lists:
+                            lists[r].append(i)
+                        else:
+                            lists[r] = [i]
+                            words[r >> 8] |= 1 << (r & 255)
+                            summary |= 1 << (r >> 8)
+                        lowest = min(lowest, r)
                 if (p := before[i]) >= 0:
-                    r = rank_of(piece[p:end])
-                    pair[p] = -1 if r is None else r
-                    if r is not None:
-                        queue.push(r, p)
-                        lower |= r < rank
-                if lower:  # the rest waits until the lower rank is done
-                    for later in waiting[at + 1:]:
-                        queue.push(rank, later)
+                    pair[p] = r = rank_of(piece[p:end], -1)
+                    if r >= 0:
+                        if r in lists:
+                            lists[r].append(p)
+                        else:
+                            lists[r] = [p]
+                            words[r >> 8] |= 1 << (r & 255)
+                            summary |= 1 << (r >> 8)
+                        lowest = min(lowest, r)
+                if lowest < rank and at + 1 < len(waiting):  # the rest waits until the lower rank is done
+                    lists[rank] = waiting[at + 1:]
+                    words[w] |= 1 << (rank & 255)
+                    summary |= 1 << w
                     break
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i:ends[i]]])
+            out.append(ranks[piece[i:ends[i]]])
             i = ends[i]
         return out
 
