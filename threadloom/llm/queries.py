@@ -1,4 +1,4 @@
 """Imports each operator module, which registers its query."""
 
-from threadloom.llm import byte_bpe, language_id, line_rules, mixing, sharding, token_counts, token_files  # noqa: F401
+from threadloom.llm import byte_bpe, jaccard_join, language_id, line_rules, mixing, sharding, token_counts, token_files  # noqa: F401
 from threadloom.llm.registry import ORACLES, QUERIES  # noqa: F401
