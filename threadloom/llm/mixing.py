@@ -98,11 +98,12 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
                     **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
     _, plan = mix_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
-    plan = plan.select(F.col("source").alias("__source"), F.struct("epochs", "cut_key", "cut_id").alias("__plan"))
-    joined = docs.join(plan, docs[source_col].eqNullSafe(plan["__source"]))
-    times = times_taken(random_key(F.col(id_col), seed), F.col(id_col), "__plan")
-    return joined.withColumn("__times", times).where("__times > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    # The row travels as one struct, so its column names can't clash with those of the plan.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("name"))
+    joined = rows.join(plan.alias("b"), F.col("name").eqNullSafe(F.col("b.source")))
+    times = times_taken(random_key(F.col("id"), seed), F.col("id"), "b")
+    return joined.select("row", times.alias("times")).where("times > 0").select(
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 MIX_SQL = r"""

@@ -31,7 +31,7 @@ LOOSE = {
     "card": r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-HINTS = {"email": ("@", "at)", "at]"), "phone": ("+", "-", ".", " ")}  # a text without any has no match
+HINTS = {"email": ("@", "at)", "at]"), "phone": ("+",)}  # a text without any has no match
 BASE_FORM, FAILED_FORM, LOOSE_FORM = 0, 1, 2
 # Gazetteers and cue words of the context labeler.
 DOMAIN_ENDS = ("com org net edu gov mil int info biz io co us uk de fr es it nl be ch at pl se no fi dk pt eu ca au "
@@ -116,7 +116,7 @@ def _described(text: Column, c: Column) -> Column:
         "card": vote(_valid("card", match)), "phone": vote(F.char_length(number).between(9, 15))})
     gazetteer = by_kind({
         "email": vote(F.lower(match).rlike(rf"(?:\.|dot ?[\])] ?)(?:{ends})$")),
-        "ip": F.when(c["form"] == LOOSE_FORM, 0).otherwise(vote(match.rlike("^0*(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\\."))),
+        "ip": F.when(c["form"] == LOOSE_FORM, 0).otherwise(vote(match.rlike(r"^0*(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\."))),
         "card": vote(number.rlike("^[3-6]")), "phone": vote(number.rlike("^1?[2-9]|^[1-9][0-9]{10}"))})
     cue = by_kind({k: left.rlike(v) for k, v in CUES.items()})
     context = F.when(cue, 1).when(left.rlike(COUNTER_CUES), -1).otherwise(0)
@@ -133,34 +133,35 @@ def _described(text: Column, c: Column) -> Column:
         side(after).cast("int").alias("after"), F.least(F.floor(F.char_length(number) / 4), F.lit(5)).cast("int").alias("digits"))
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "__candidates") -> DataFrame:
-    """``docs`` with an array of candidate spans: base matches, those that fail their check, and other forms.
+def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, candidates): the row as a struct, and its candidate spans: base matches, valid or not, and other forms.
 
     Candidates of other forms that touch a valid base span are left out.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = bind(docs, **{f"__base_{k}": _matches(text, BASE[k], HINTS.get(k, ())[:1]) for k in KINDS},
-              **{f"__loose_{k}": _matches(text, LOOSE[k], HINTS["email"][1:] if k == "email" else ()) for k in KINDS})
+    text = F.col("text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = bind(rows, **{f"base_{k}": _matches(text, BASE[k], HINTS.get(k, ())[:1]) for k in KINDS},
+              **{f"loose_{k}": _matches(text, LOOSE[k], HINTS["email"][1:] if k == "email" else ()) for k in KINDS})
 
     def base(i: int, kind: str) -> Column:
-        return F.transform(f"__base_{kind}", lambda s: _candidate(
+        return F.transform(f"base_{kind}", lambda s: _candidate(
             i, s, F.when(_valid(kind, s["match"]), BASE_FORM).otherwise(FAILED_FORM)))
 
     def other(i: int, kind: str) -> Column:
-        return F.transform(f"__loose_{kind}", lambda s: _candidate(i, s, F.lit(LOOSE_FORM)))
+        return F.transform(f"loose_{kind}", lambda s: _candidate(i, s, F.lit(LOOSE_FORM)))
 
-    df = bind(df, __base=F.concat(*[base(i, k) for i, k in enumerate(KINDS)]))
-    valid = F.filter("__base", lambda b: b["form"] == BASE_FORM)
+    df = bind(df, base=F.concat(*[base(i, k) for i, k in enumerate(KINDS)]))
+    valid = F.filter("base", lambda b: b["form"] == BASE_FORM)
     loose = F.concat(*[other(i, k) for i, k in enumerate(KINDS)])
     free = F.filter(loose, lambda s: ~F.exists(valid, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = bind(df.withColumn("__free", free), __all=F.concat("__base", "__free"))
-    return df.withColumn(out, F.transform("__all", lambda c: _described(text, c))).select(*docs.columns, out)
+    df = bind(df, every=F.concat("base", free))
+    return df.select("row", F.transform("every", lambda c: _described(text, c)).alias("candidates"))
 
 
-def pattern_counts(candidates: DataFrame, column: str = "__candidates") -> list[Row]:
+def pattern_counts(candidates: DataFrame) -> list[Row]:
     """How often each pattern of kind, votes and shape occurs. Summed before the shuffle; bounded by the patterns."""
     names = ["kind", *SHAPES]
-    return candidates.select(F.inline(column)).groupBy(*names).agg(F.count("*").alias("n")).collect()
+    return candidates.select(F.inline("candidates")).groupBy(*names).agg(F.count("*").alias("n")).collect()
 
 
 def estimate(counts: list[Row]) -> dict[int, dict[tuple, float]]:
@@ -238,13 +239,13 @@ def find_spans(docs: DataFrame, text_col: str = "text", out: str = "pii", weight
     if weights is None:
         weights = train(pattern_counts(with_candidates(docs.select(text_col), text_col)))
     least = math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY))
-    good = F.filter("__candidates", lambda c: (c["form"] == BASE_FORM) | (
+    good = F.filter("candidates", lambda c: (c["form"] == BASE_FORM) | (
         F.lit(bool(weights)) & (c["format"] == 1) & (_score(c, weights) >= least)))
     spans = F.array_sort(F.array_distinct(F.transform(good, lambda c: F.struct(
         c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
         (c["form"] == BASE_FORM).alias("base")))))
-    found = with_candidates(docs.select(*[c for c in docs.columns if c != out]), text_col)
-    return bind(found, **{out: spans}).drop("__candidates")
+    found = bind(with_candidates(docs, text_col), spans=spans)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out], F.col("spans").alias(out))
 
 
 def redacted(text: Column, spans: Column) -> Column:
