@@ -209,7 +209,7 @@ def _linked(groups: Iterator[pa.RecordBatch] | pa.Table, percent: int) -> pa.Tab
 
 def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, links): sets to compare are brought together in blocks, each block split into tasks of bounded size."""
-    meet = _candidates(classes, percent)
+    meet = stage_table(_candidates(classes, percent), "jaccard-meet")
     hub = meet.groupBy("token").agg(F.min("rep").alias("b"))
     edges = meet.join(hub, "token").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     blocks = components(edges, "jaccard-blocks").select(F.col("id").alias("rep"), F.col("component").alias("block"))
@@ -227,7 +227,8 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
 
     columns = ["rep", "n", "copies", "block", "parts", "part"]
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    sets = placed.join(texts, "rep").select(*columns, "text").dropDuplicates(["rep"]).mapInArrow(
+    # A few texts of all are wanted, but how many grows with the input: shuffled by id at every size, never broadcast.
+    sets = placed.hint("merge").join(texts, "rep").select(*columns, "text").dropDuplicates(["rep"]).mapInArrow(
         with_sets, "rep long, n long, copies long, block long, parts int, part int, shingles binary")
     sets = stage_table(sets, "jaccard-sets")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
