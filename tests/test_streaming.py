@@ -128,9 +128,3 @@ def test_shared_folder_is_the_clusters_own(spark):
     assert os.path.isdir(local) and session.shared_folder(Settings("local[2]")) == local
     staged = session.stage_table(spark.range(3), "numbers")
     assert staged.count() == 3 and session.shared_folder(spark) in staged.inputFiles()[0]
-
-
-def test_small_inputs_are_spread_and_large_ones_are_not(spark):
-    assert session.spread(spark.range(0, 10, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    big = spark.range(0, 100, 1, 64)
-    assert session.spread(big) is big

@@ -33,6 +33,7 @@ CORPUS_ROWS = 25
 MAX_ATTEMPTS = 3
 
 UNKNOWN = "Unknown"
+MISSING_ID = "nan"
 SKIPPED = "Skipped"
 DEFAULT_SUMMARY = "No summary generated."
 DEFAULT_PATTERNS = "No patterns identified."
@@ -95,6 +96,7 @@ RAW_COMMENT = _strings(RAW_COMMENT_FIELDS)
 
 DATASET_DOCUMENT = T.StructType([
     T.StructField("subreddit", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("metadata", T.StructType([
         T.StructField("subreddit", T.StringType()),
         T.StructField("mode", T.StringType()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from threadloom.constants import DEFAULT_TARGET
+from threadloom.constants import DEFAULT_TARGET, MISSING_ID
 
 
 # The characters that Python's str.strip() takes as white space (fixed values).
@@ -61,7 +61,8 @@ def comment_text(text: Column) -> Column:
 
 
 def id_text(c: Column) -> Column:
-    return utrim(c.cast("string"))
+    """An id as text; a missing one reads ``nan``, so that its row keeps its place in prompts and lists."""
+    return F.coalesce(utrim(c.cast("string")), F.lit(MISSING_ID))
 
 
 def target_name(c: Column) -> Column:

@@ -245,14 +245,13 @@ def capped_harvest(posts: DataFrame, comments: DataFrame, post_limit: int = FEED
     """Feed posts and their comments under the harvest limits.
 
     A post's comments are taken only while the posts before it brought fewer
-    than ``stop_total``. The comment limit per post comes first: with it no
-    post, however busy, is more than ``per_post`` rows per map task.
+    than ``stop_total``. Only comments of feed posts are ranked; the limit per
+    post then leaves at most ``per_post`` rows of a busy one per map task.
     """
     feed = feed_posts(posts, limit=post_limit)
-    taken = first_n(comments, ["post_id"], F.col("ord"), per_post)
     asked = feed.where("num_comments > 0").select(
         F.col("community").alias("feed"), "post_id", F.col("ord").alias("post_ord"))
-    gathered = taken.join(asked, "post_id")
+    gathered = first_n(comments.join(asked, "post_id"), ["feed", "post_id", "post_ord"], F.col("ord"), per_post)
     # from here on a feed has at most post_limit * per_post rows
     earlier_posts = (
         Window.partitionBy("feed").orderBy("post_ord")
@@ -265,13 +264,14 @@ def capped_harvest(posts: DataFrame, comments: DataFrame, post_limit: int = FEED
 
 def select_harvest(posts: DataFrame, comments: DataFrame, mode: str = "post",
                    post_id: str | None = None, sort: str = "hot",
-                   include_comments: bool = False, seed: int | None = None,
-                   target: str | None = None) -> Harvest:
+                   include_comments: bool = False, seed: int = 0,
+                   target: str | None = None, feed_limit: int = FEED_POST_LIMIT) -> Harvest:
     """The rows a harvest with these options returns, for one community.
 
     ``target`` picks the community by a name as a user types it (``r/Gaming``);
     without it the frames hold one community already. ``post`` without an id (or
-    with ``n``) takes a random post of the feed.
+    with ``n``) takes a random post among the first ``feed_limit`` of the feed:
+    the first by a hash of ``seed`` and id, so a seed names one choice.
     """
     if target is not None:
         wanted_name = F.lower("community") == target_name(F.lit(target))
@@ -290,8 +290,8 @@ def select_harvest(posts: DataFrame, comments: DataFrame, mode: str = "post",
     if wanted and wanted.lower() != "n":
         chosen = posts.where(F.col("post_id") == wanted)
     else:
-        feed = posts.orderBy(*feed_order(sort)).limit(FEED_POST_LIMIT)
-        chosen = feed.orderBy(F.rand(seed)).limit(1)
+        feed = posts.orderBy(*feed_order(sort)).limit(feed_limit)
+        chosen = feed.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("post_id", F.lit("")))), "ord").limit(1)
     if not include_comments:
         return Harvest(chosen, none)
     return Harvest(chosen, comments.join(chosen.select("post_id"), "post_id", "left_semi"))
@@ -304,61 +304,72 @@ DOCUMENT_ROWS = 1_000
 
 def harvest_documents(posts: DataFrame, comments: DataFrame, keys: Sequence[str],
                       mode: str = "both", stamp: Column | None = None,
-                      part_rows: int = DOCUMENT_ROWS) -> DataFrame:
+                      part_rows: int = DOCUMENT_ROWS, subreddit: str | None = None) -> DataFrame:
     """Nested documents ``keys, part, metadata, posts, comments`` with whole totals.
 
     One document holds up to ``part_rows`` posts and as many comments; a larger
     group continues in further parts, so no task ever builds an unbounded
     array; a harvest under the usual limits is one document. Groups with no rows
-    yield none.
+    yield none; rows with missing keys are a group like any other. The metadata
+    name the community, the first of ``keys`` unless ``subreddit`` names a column.
     """
     keys = list(keys)
 
-    def numbered(df, fields):
-        record = raw_struct(fields).alias("record")
-        cols = df.select(*keys, "ord", record)
+    def numbered(df, fields, kind, name):
+        cols = df.select(*keys, "ord", F.lit(kind).alias("kind"), raw_struct(fields).alias(name),
+                         F.col(subreddit or keys[0]).cast("string").alias("__named"))
         placed = with_ordinal(cols, keys)
-        return placed.withColumn("part", floor_div("ord0", part_rows))
-
-    def arrays(df, name, schema):
-        placed = df.groupBy(*keys, "part").agg(
-            F.array_sort(F.collect_list(F.struct("ord0", "record"))).alias("rows"))
-        return placed.select(*keys, "part", F.col("rows.record").alias(name))
-
-    p = arrays(numbered(posts, RAW_POST_FIELDS), "posts", RAW_POST)
-    c = arrays(numbered(comments, RAW_COMMENT_FIELDS), "comments", RAW_COMMENT)
-    totals = (
-        posts.select(*keys, F.lit(1).alias("p"), F.lit(0).alias("c"))
-        .unionByName(comments.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("c")))
-        .groupBy(*keys).agg(F.sum("p").alias("total_posts"), F.sum("c").alias("total_comments"))
-    )
+        return placed.withColumn("part", floor_div("ord0", part_rows)).drop("ord")
+
+    rows = numbered(posts, RAW_POST_FIELDS, "post", "post").unionByName(
+        numbered(comments, RAW_COMMENT_FIELDS, "comment", "comment"), allowMissingColumns=True)
+
+    def records(kind):
+        mine = F.when(F.col("kind") == kind, F.struct("ord0", kind))
+        return F.transform(F.array_sort(F.collect_list(mine)), lambda r: r[kind])
+
+    def count(kind):
+        return F.count_if(F.col("kind") == kind)
+
+    parts = rows.groupBy(*keys, "part").agg(
+        records("post").alias("posts"), records("comment").alias("comments"), F.min("__named").alias("__named"),
+        count("post").alias("__posts"), count("comment").alias("__comments"))
+    group = Window.partitionBy(*keys)  # a group has one row per part
     stamp = run_stamp() if stamp is None else stamp
-    return (
-        p.join(c, [*keys, "part"], "full").join(totals, keys)
-        .select(
-            *keys, "part",
-            F.struct(
-                F.col(keys[0]).cast("string").alias("subreddit"),
-                F.lit(mode).alias("mode"),
-                stamp.alias("timestamp"),
-                "total_posts", "total_comments",
-            ).alias("metadata"),
-            F.coalesce("posts", F.array()).alias("posts"),
-            F.coalesce("comments", F.array()).alias("comments"),
-        )
-    )
+    return parts.select(
+        *keys, "part",
+        F.struct(
+            F.min("__named").over(group).alias("subreddit"),
+            F.lit(mode).alias("mode"),
+            stamp.alias("timestamp"),
+            F.sum("__posts").over(group).alias("total_posts"), F.sum("__comments").over(group).alias("total_comments"),
+        ).alias("metadata"),
+        "posts", "comments")
+
+
+PART_PLACES = 1 << 32
+
+
+def _place() -> Column:
+    """``ord`` of a record: its part, then its place in the array."""
+    return F.coalesce("part", F.lit(0)).cast("bigint") * PART_PLACES + F.col("pos")
+
+
+def _with_part(documents: DataFrame) -> DataFrame:
+    return documents if "part" in documents.columns else documents.withColumn("part", F.lit(0))
 
 
 def document_posts(documents: DataFrame, *extra) -> DataFrame:
-    """Posts of dataset documents; a missing list is an empty one. ``ord`` is the array position."""
-    rows = documents.select(*extra, F.posexplode(F.coalesce("posts", F.array())).alias("pos", "record"))
-    return posts_from_raw(rows, "record", *extra, F.col("pos").cast("bigint").alias("ord"))
+    """Posts of dataset documents; a missing list is an empty one. ``ord`` goes by part and array position."""
+    rows = _with_part(documents).select(
+        *extra, "part", F.posexplode(F.coalesce("posts", F.array())).alias("pos", "record"))
+    return posts_from_raw(rows, "record", *extra, _place().alias("ord"))
 
 
 def document_comments(documents: DataFrame, *extra) -> DataFrame:
-    rows = documents.select(*extra,
-                            F.posexplode(F.coalesce("comments", F.array())).alias("pos", "record"))
-    return comments_from_raw(rows, "record", *extra, F.col("pos").cast("bigint").alias("ord"))
+    rows = _with_part(documents).select(
+        *extra, "part", F.posexplode(F.coalesce("comments", F.array())).alias("pos", "record"))
+    return comments_from_raw(rows, "record", *extra, _place().alias("ord"))
 
 
 def export_lines(posts: DataFrame, comments: DataFrame) -> DataFrame:

@@ -28,8 +28,11 @@ def annotator_pairs(first: DataFrame, second: DataFrame, labels=("sentiment", "t
         first.groupBy(*keys, *[F.col(n).alias(f"{n}_a") for n in labels])
         .agg(F.count(F.lit(1)).alias("pairs"))
     )
-    b = second.select(*keys, *[F.col(n).alias(f"{n}_b") for n in labels])
-    return a.join(b, keys)
+    b = second.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(n).alias(f"{n}_b") for n in labels])
+    same = (F.col("id") == F.col("__id"))
+    for k in SEGMENT:  # a missing community is a segment of its own
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(b, same).drop(*[f"__{k}" for k in keys])
 
 
 def sentiment_agrees(a: Column, b: Column) -> Column:
@@ -68,15 +71,20 @@ def pair_agreement(pairs: DataFrame) -> DataFrame:
 
 def model_agreement(annotations: DataFrame, first: str = SLICE_MODEL,
                     second: str = SWEEP_MODEL) -> DataFrame:
-    """Agreement of two models of the annotations table.
+    """Agreement of two models of the annotations table, for each segment that both have rows of.
 
     The fill labels of the first model are dropped before the join when both of
-    its labels are fills: such a row can count for neither rate.
+    its labels are fills: such a row can count for neither rate. Segments come
+    from the unfiltered table, as pairs that weigh nothing: one whose first model
+    was skipped, or whose models share no id, keeps its rows with a NULL rate.
     """
+    present = annotations.groupBy(*SEGMENT).agg(
+        F.bool_or(F.col("model") == first).alias("a"), F.bool_or(F.col("model") == second).alias("b"))
+    segments = present.where("a and b").select(*SEGMENT, F.lit(0).cast("bigint").alias("pairs"))
     a = annotations.where((F.col("model") == first)
                           & (is_annotated(F.col("sentiment")) | is_annotated(F.col("toxicity"))))
     b = annotations.where(F.col("model") == second)
-    return pair_agreement(annotator_pairs(a, b))
+    return pair_agreement(annotator_pairs(a, b).unionByName(segments, allowMissingColumns=True))
 
 
 def sentiment_counts(annotations: DataFrame) -> DataFrame:

@@ -37,15 +37,15 @@ def running_total_before(
     out: str,
     total: str | None = None,
     block: int = BLOCK,
-    levels: int = 1,
+    levels: int = 2,
 ) -> DataFrame:
     """Add ``out``: sum of ``value`` over the earlier rows of the same ``keys``.
 
     ``total`` names a further column for the sum over the whole group. The
     block offsets travel as extra rows of their own block, so there is no join,
     the rows are shuffled once, and NULL keys group like any other key.
-    ``levels=2`` builds the offsets in blocks as well; use it when ``ord`` is
-    so sparse that one group may have more than some ten million blocks.
+    The offsets are built in blocks as well (``levels=2``), so a group with very
+    many blocks, as a sparse ``ord`` makes, does not meet in one task either.
     """
     keys = list(keys)
     rows = df.withColumns({_BLOCK: floor_div(ord_col, block), _VALUE: F.coalesce(value.cast("bigint"), F.lit(0))})
@@ -74,31 +74,27 @@ def running_total_before(
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], ord_col: str = "ord", out: str = "ord0",
-                 block: int = BLOCK, levels: int = 1) -> DataFrame:
+                 block: int = BLOCK, levels: int = 2) -> DataFrame:
     """0-based position of each row within ``keys`` by ``ord_col``."""
     return running_total_before(df, keys, ord_col, F.lit(1), out, None, block, levels)
 
 
-# Catalyst limits groups before the shuffle for ranks below this (its default threshold).
-GROUP_LIMIT = 1000
 SALTS = 256
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order, n: int, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group.
+    """The first ``n`` rows of each group, for any ``n``.
 
-    Catalyst turns the rank filter into a group limit before the shuffle, so
-    each map task sends at most ``n`` rows per group, however hot the group.
-    For larger ``n``, which it leaves alone, the first ``n`` of each of 256
-    parts of a group are taken first; no task then sees more of a hot group
-    than its part, or ``256 * n`` rows.
+    The first ``n`` of each of 256 parts of a group are taken first, by the input
+    partition a row comes from, so no task sees more of a hot group than a part
+    of it, or ``256 * n`` rows. Catalyst moreover limits groups before a shuffle
+    where ``n`` is small, which makes the first step cheap.
     """
     keys, order = list(keys), list(order) if isinstance(order, (list, tuple)) else [order]
     name = rank or "__rn"
-    if n >= GROUP_LIMIT:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(SALTS)))
-        within = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))
-        df = salted.withColumn(name, within).where(F.col(name) <= n).drop("__salt", name)
+    salted = df.withColumn("__salt", F.spark_partition_id() % SALTS)
+    within = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))
+    df = salted.withColumn(name, within).where(F.col(name) <= n).drop("__salt", name)
     w = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)

@@ -84,7 +84,7 @@ def agreement_report(agreement: DataFrame) -> DataFrame:
     kind = F.initcap("kind")
     icon = F.when(F.col("label") == "sentiment", AUDIT_LABELS["sentiment"][0]).otherwise(
         AUDIT_LABELS["toxicity"][0])
-    lead = F.concat(icon, F.lit(" "), F.col("community"), F.lit(" "), kind, F.lit(" -> "),
+    lead = F.concat(icon, F.lit(" "), _shown("community"), F.lit(" "), kind, F.lit(" -> "),
                     F.initcap("label"), F.lit(" Agreement Rate: "))
     rate = F.concat(percent(F.col("agreement_pct"), 2), F.lit(" (Sample Window: "),
                     F.col("sample_rows").cast("string"), F.lit(" rows)"))

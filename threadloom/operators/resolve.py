@@ -17,7 +17,12 @@ def last_labels(aligned: DataFrame) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, on: list[str], fill: str) -> DataFrame:
-    out = rows.join(labels.select(*on, *LABELS), on, "left")
+    """Keys match as they are, missing ones too: a row without a community gets its labels back."""
+    named = labels.select(*[F.col(k).alias(f"__{k}") for k in on], *LABELS)
+    same = F.lit(True)
+    for k in on:
+        same = same & rows[k].eqNullSafe(named[f"__{k}"])
+    out = rows.join(named, same, "left")
     return out.select(*rows.columns, *[F.coalesce(n, F.lit(fill)).alias(n) for n in LABELS])
 
 
@@ -30,9 +35,9 @@ def resolve_slice(rows: DataFrame, labels: DataFrame, n: int = SLICE_ROWS,
                   fill: str = SKIPPED) -> DataFrame:
     """Labels only for the first ``n`` rows of a segment; all others get ``Skipped``,
     even if their id was labelled."""
-    head = first_n(rows, SEGMENT, F.col("ord"), n)
-    known = head.join(labels.select(*KEYS, *LABELS), KEYS)
-    return _labelled(rows, known, [*SEGMENT, "ord"], fill)
+    head = first_n(rows.select(*KEYS, "ord"), SEGMENT, [F.col("ord"), F.col("id")], n).distinct()
+    known = _labelled(head, labels, KEYS, fill)
+    return _labelled(rows, known, [*KEYS, "ord"], fill)
 
 
 def coverage(resolved: DataFrame) -> DataFrame:

@@ -55,12 +55,12 @@ def _(spark, sf):
     return assign_batches(b.payload(spark, sf).drop("text"), mode="partition", block=64)
 
 
-@query("row_prompts", f"""WITH {_BATCHED}
+@query("row_prompts", f"""WITH {_BATCHED.replace(b.PAYLOAD, b.GAPPY_PAYLOAD)}
   SELECT community, kind, batch_no, string_agg(id, ',' ORDER BY pos) AS members,
          'Items:' || chr(10) || string_agg('ID: ' || id || ' | Text: ' || text || chr(10), '' ORDER BY pos) AS prompt
   FROM batched GROUP BY community, kind, batch_no""")
 def _(spark, sf):
-    r = gather_requests(assign_batches(b.payload(spark, sf)), header="Items:\n")
+    r = gather_requests(assign_batches(b.gappy_payload(spark, sf)), header="Items:\n")
     return r.withColumn("members", F.array_join("members", ","))
 
 
@@ -78,7 +78,7 @@ def _(spark, sf):
 
 def _answers(spark, sf):
     """One answer per document in eight shapes, by ``doc_id`` modulo 8."""
-    d = b.spread_table(spark, sf, "documents", "doc_id", "lang")
+    d = b.table(spark, sf, "documents").select("doc_id", "lang")
     i = F.concat(F.lit("t3_"), F.col("doc_id").cast("string"))
     c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     shapes = [
@@ -292,7 +292,7 @@ def _(spark, sf):
     """Audit content; the answer and the error trace are reduced to their presence."""
     ship_package(spark)
     model = Model("groq", rules.failing_by_id)
-    requests = gather_requests(assign_batches(b.payload(spark, sf)), header="Label: ")
+    requests = gather_requests(assign_batches(b.gappy_payload(spark, sf)), header="Label: ")
     # the first item starts in the header's line, so the rule must see a line start
     requests = requests.withColumn("shown", F.col("prompt")).withColumn(
         "prompt", F.replace("prompt", F.lit("Label: "), F.lit("Label:\n")))

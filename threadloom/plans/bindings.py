@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.bind import bind
-from threadloom.session import spread
-
 
 EPOCH0 = 1_700_000_000
 LOGS = 16
@@ -20,15 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """Some columns of a table, over all cores; for queries with costly work per row."""
-    return spread(table(spark, sf, name).select(*columns))
-
-
-def posts(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
+def posts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    if costly:
-        d = spread(d)
     key = F.col("doc_id").cast("string")
     return d.select(
         F.concat(F.lit("t3_"), key).alias("post_id"),
@@ -52,11 +43,9 @@ POSTS = f"""posts AS (
   FROM documents)"""
 
 
-def comments(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
+def comments(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as comments; the community is that of the parent post."""
     c = table(spark, sf, "conversations")
-    if costly:
-        c = spread(c)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "lang")
     thread = F.col("conv_id").cast("string")
     return c.join(d, "conv_id", "left").select(
@@ -84,10 +73,28 @@ COMMENTS = f"""comments AS (
   FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id)"""
 
 
-def payload(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
+def gappy_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts of which some have no community and some no id."""
+    k = F.col("ord")
+    return posts(spark, sf).withColumns({"community": F.when(k % 11 != 0, F.col("community")),
+                                         "post_id": F.when(k % 13 != 0, F.col("post_id"))})
+
+
+def gappy_comments(spark: SparkSession, sf: str) -> DataFrame:
+    return comments(spark, sf).withColumn("community", F.when(F.col("ord") % 11 != 0, F.col("community")))
+
+
+GAPPY = f"""{POSTS}, {COMMENTS}, gappy_posts AS (
+  SELECT * REPLACE (CASE WHEN ord % 11 <> 0 THEN community END AS community,
+                    CASE WHEN ord % 13 <> 0 THEN post_id END AS post_id) FROM posts),
+gappy_comments AS (
+  SELECT * REPLACE (CASE WHEN ord % 11 <> 0 THEN community END AS community) FROM comments)"""
+
+
+def payload(spark: SparkSession, sf: str) -> DataFrame:
     from threadloom.operators.batching import comment_payload, post_payload
 
-    return post_payload(posts(spark, sf, costly)).unionByName(comment_payload(comments(spark, sf, costly)))
+    return post_payload(posts(spark, sf)).unionByName(comment_payload(comments(spark, sf)))
 
 
 PAYLOAD = f"""{POSTS}, {COMMENTS}, payload AS (
@@ -97,6 +104,19 @@ PAYLOAD = f"""{POSTS}, {COMMENTS}, payload AS (
   SELECT community, 'comments', comment_id, coalesce(text, ''), ord FROM comments)"""
 
 
+def gappy_payload(spark: SparkSession, sf: str) -> DataFrame:
+    from threadloom.operators.batching import comment_payload, post_payload
+
+    return post_payload(gappy_posts(spark, sf)).unionByName(comment_payload(gappy_comments(spark, sf)))
+
+
+GAPPY_PAYLOAD = f"""{GAPPY}, payload AS (
+  SELECT community, 'posts' AS kind, coalesce(post_id, 'nan') AS id,
+         coalesce(title, '') || ' ' || coalesce(body, '') AS text, ord FROM gappy_posts
+  UNION ALL
+  SELECT community, 'comments', comment_id, coalesce(text, ''), ord FROM gappy_comments)"""
+
+
 def _case(n: Column, *values: str | None) -> Column:
     out = F.when(n == 0, values[0])
     for i, v in enumerate(values[1:], 1):
@@ -104,9 +124,9 @@ def _case(n: Column, *values: str | None) -> Column:
     return out
 
 
-def sweep(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
+def sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Rule labels of every post and comment; every word of a text is one of its topics."""
-    rows, n = payload(spark, sf, costly), F.col("n")
+    rows, n = payload(spark, sf), F.col("n")
     return bind(rows, text=F.col("text"), n=F.length("text")).select(
         "community", "kind", "id", "ord",
         _case(n % 7, " positive ", "NEGATIVE", "Neutral", "Mixed", None, "Positive", "negative")
@@ -154,6 +174,31 @@ LABELLED = """labelled AS (
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 
 
+def two_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotations of a slice and a sweep model, with the segments that are easily lost.
+
+    The slice model skipped all comments, labels of the language ``es`` carry
+    other ids than the sweep's, and posts of ``fr`` have no community.
+    """
+    columns = ["community", "kind", "id", "ord", "sentiment", "toxicity"]
+    full = sweep(spark, sf).select(*columns)
+    skipped = full.where("kind = 'comments'").withColumns({"sentiment": F.lit("Skipped"), "toxicity": F.lit("Skipped")})
+    first = labelled(spark, sf).select(*columns).withColumn(
+        "id", F.when(F.col("community") == "es", F.concat("id", F.lit("x"))).otherwise(F.col("id"))).unionByName(skipped)
+    both = first.withColumn("model", F.lit("slice")).unionByName(full.withColumn("model", F.lit("sweep")))
+    return both.withColumn("community", F.when((F.col("community") != "fr") | (F.col("kind") != "posts"),
+                                               F.col("community")))
+
+
+TWO_MODELS = """first_model AS (
+  SELECT CASE WHEN community <> 'fr' THEN community END AS community, kind,
+         CASE WHEN community = 'es' THEN id || 'x' ELSE id END AS id, sentiment, toxicity FROM labelled
+  UNION ALL SELECT community, kind, id, 'Skipped', 'Skipped' FROM sweep WHERE kind = 'comments'),
+second_model AS (
+  SELECT CASE WHEN community <> 'fr' OR kind <> 'posts' THEN community END AS community, kind, id, sentiment, toxicity
+  FROM sweep)"""
+
+
 def feed_posts(spark: SparkSession, sf: str) -> DataFrame:
     """API-shaped posts with missing and blank fields."""
     p, k = posts(spark, sf), F.col("ord")
@@ -189,7 +234,7 @@ def noisy_lines(spark: SparkSession, sf: str) -> DataFrame:
     from threadloom.constants import RAW_COMMENT_FIELDS, RAW_POST_FIELDS
     from threadloom.operators.harvest import raw_json
 
-    p = posts(spark, sf, costly=True)
+    p = posts(spark, sf)
     post = F.concat(F.lit("POST_ROW:"), raw_json(RAW_POST_FIELDS))
     as_comment = p.withColumns({
         "comment_id": F.concat(F.lit("t1_"), "ord"), "parent_id": F.col("post_id"), "text": F.col("body")})
@@ -215,7 +260,7 @@ def _case_columns(n: Column, *values: Column) -> Column:
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     """All events as lines of sixteen console logs: purchases end a session, views are
     posts, clicks and signups are comments, errors are noise."""
-    e = spread_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
     k = F.col("event_id").cast("string")
     raw = lambda prefix, key: F.concat(
         F.lit(f'{prefix}{{"{key}":"e'), k, F.lit('","score/upvotes":'),

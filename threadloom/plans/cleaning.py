@@ -147,7 +147,7 @@ def _(spark, sf):
          WHEN 2 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:00')
          WHEN 4 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at FROM events""")
 def _(spark, sf):
-    e, k = b.spread_table(spark, sf, "events", "event_id", "ts"), F.col("event_id") % 6
+    e, k = b.table(spark, sf, "events").select("event_id", "ts"), F.col("event_id") % 6
     f = lambda fmt: F.date_format("ts", fmt)
     text = (F.when(k == 0, f("yyyy-MM-dd HH:mm:ss")).when(k == 1, f("yyyy-MM-dd HH:mm"))
             .when(k == 2, f("yyyy-MM-dd")).when(k == 3, f("dd-MM-yyyy HH:mm"))
@@ -173,7 +173,7 @@ def _(spark, sf):
     CASE WHEN event_id % 4 = 0 THEN NULL ELSE {_TS} END AS created_at,
     CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS text FROM events""")
 def _(spark, sf):
-    e = b.spread_table(spark, sf, "events", "event_id", "ts", "event_type")
+    e = b.table(spark, sf, "events").select("event_id", "ts", "event_type")
     k = F.col("event_id")
     return harmonize_comments(e.select(
         "event_id",

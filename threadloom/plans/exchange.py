@@ -39,31 +39,35 @@ def _(spark, sf):
     return read_posts(spark, path).drop("file", "ord")
 
 
-@query("optional_source", f"""WITH {b.COMMENTS}
-  SELECT community, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM comments GROUP BY community""")
+@query("optional_source", f"""WITH {b.COMMENTS} SELECT comment_id, community, text, score FROM comments""")
 def _(spark, sf):
     path = new_path(spark, "comments-csv")
     c = b.comments(spark, sf).withColumn("created_at", F.lit(""))
     write_csv(c, path, sheet_headers("comments"))
     present = read_comments(spark, path)
     missing = read_comments(spark, path + "-missing")
-    both = present.unionByName(missing, allowMissingColumns=True)
-    return both.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    return present.unionByName(missing, allowMissingColumns=True).select("comment_id", "community", "text", "score")
 
 
-@query("json_document_round_trip", f"""WITH {b.POSTS} SELECT {_POST_COLUMNS} FROM posts""")
-def _(spark, sf):
+_PLACED = """(row_number() OVER (PARTITION BY community ORDER BY ord) - 1) // 100 * 4294967296
+         + (row_number() OVER (PARTITION BY community ORDER BY ord) - 1) % 100 AS ord"""
+
+
+def _documents_read(spark, sf):
     path = new_path(spark, "documents")
     write_documents(harvest_documents(b.posts(spark, sf), b.comments(spark, sf), ["community"], part_rows=100), path)
-    return document_posts(read_documents(spark, f"{path}/*.json", multi_line=False)).drop("ord")
+    return read_documents(spark, f"{path}/*.json", multi_line=False)
+
+
+@query("json_document_round_trip", f"""WITH {b.POSTS} SELECT {_POST_COLUMNS}, {_PLACED} FROM posts""")
+def _(spark, sf):
+    return document_posts(_documents_read(spark, sf))
 
 
 @query("json_document_comments", f"""WITH {b.COMMENTS}
-  SELECT comment_id, post_id, parent_id, community, text, author, created_epoch, score FROM comments""")
+  SELECT comment_id, post_id, parent_id, community, text, author, created_epoch, score, {_PLACED} FROM comments""")
 def _(spark, sf):
-    path = new_path(spark, "documents")
-    write_documents(harvest_documents(b.posts(spark, sf), b.comments(spark, sf), ["community"], part_rows=100), path)
-    return document_comments(read_documents(spark, f"{path}/*.json", multi_line=False)).drop("ord")
+    return document_comments(_documents_read(spark, sf))
 
 
 @query("log_file_round_trip", f"""WITH {b.POSTS}
@@ -109,15 +113,27 @@ def _(spark, sf):
     return read_annotations(spark, folder).select("kind", "id", "sentiment", "toxicity", "topics")
 
 
-@query("segment_tables", f"""WITH {b.SWEEP}
-  SELECT community, kind, 'groq' AS model, id, toxicity FROM sweep""")
+@query("segment_tables", f"""WITH {b.SWEEP}, macro AS (
+    SELECT community, kind, min(id) AS summary, max(id) AS patterns FROM sweep GROUP BY community, kind)
+  SELECT 'sentiment' AS sheet, community, kind, 'groq' AS model, id, sentiment AS value FROM sweep
+  UNION ALL SELECT 'toxicity', community, kind, 'groq', id, toxicity FROM sweep
+  UNION ALL SELECT 'topics', community, kind, 'groq', id, topics FROM sweep
+  UNION ALL SELECT 'summary', community, kind, 'groq', NULL, summary FROM macro
+  UNION ALL SELECT 'patterns', community, kind, 'groq', NULL, patterns FROM macro""")
 def _(spark, sf):
     folder = new_path(spark, "annotations")
-    ann = stage_table(b.sweep(spark, sf).drop("ord").withColumn("model", F.lit("groq")), "labels")
+    ann = b.sweep(spark, sf).drop("ord").withColumn("model", F.lit("groq"))
     macro = ann.groupBy("community", "kind", "model").agg(
         F.min("id").alias("summary"), F.max("id").alias("patterns"))
     write_annotations(ann, macro, folder)
-    return spark.read.parquet(f"{folder}/toxicity").select("community", "kind", "model", "id", "toxicity")
+    sheets = [spark.read.parquet(f"{folder}/{name}").select(
+        F.lit(name).alias("sheet"), "community", "kind", "model",
+        (F.col("id") if name in ("sentiment", "toxicity", "topics") else F.lit(None).cast("string")).alias("id"),
+        F.col(name).alias("value")) for name in ("sentiment", "toxicity", "topics", "summary", "patterns")]
+    out = sheets[0]
+    for sheet in sheets[1:]:
+        out = out.unionByName(sheet)
+    return out
 
 
 @query("audit_append", """SELECT source AS input_text_identifiers, count(*) * 2 AS n FROM documents GROUP BY source""")

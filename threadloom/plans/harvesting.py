@@ -199,10 +199,11 @@ def _(spark, sf):
     return row(both.posts, "posts", "post_id").unionByName(row(both.comments, "comments", "comment_id"))
 
 
-@query("harvest_random")
+@query("harvest_random", f"""WITH {b.POSTS},
+  feed AS (SELECT * FROM posts ORDER BY score DESC NULLS LAST, ord LIMIT 100)
+  SELECT post_id, community, score FROM feed ORDER BY md5('7:' || post_id), ord LIMIT 1""")
 def _(spark, sf):
-    chosen = select_harvest(b.posts(spark, sf), b.comments(spark, sf), "post", sort="top",
-                            include_comments=True, seed=7)
+    chosen = select_harvest(b.posts(spark, sf), b.comments(spark, sf), "post", sort="top", seed=7)
     return chosen.posts.select("post_id", "community", "score")
 
 
@@ -211,27 +212,27 @@ def _(spark, sf):
 _PART = 100
 
 
-@query("harvest_document", f"""WITH {b.POSTS}, {b.COMMENTS},
-  p AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY ord) - 1 AS nth FROM posts),
-  c AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY ord) - 1 AS nth FROM comments),
+@query("harvest_document", f"""WITH {b.GAPPY},
+  p AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY ord) - 1 AS nth FROM gappy_posts),
+  c AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY ord) - 1 AS nth FROM gappy_comments),
   pd AS (SELECT community, CAST(floor(nth / {_PART}) AS BIGINT) AS part,
-                string_agg(post_id, ',' ORDER BY ord) AS post_ids, count(*) AS n_posts,
+                coalesce(string_agg(post_id, ',' ORDER BY ord), '') AS post_ids, count(*) AS n_posts,
                 string_agg(title, chr(10) ORDER BY ord) AS titles FROM p GROUP BY 1, 2),
   cd AS (SELECT community, CAST(floor(nth / {_PART}) AS BIGINT) AS part,
                 string_agg(comment_id, ',' ORDER BY ord) AS comment_ids, count(*) AS n_comments,
                 string_agg(text, chr(10) ORDER BY ord) AS texts FROM c GROUP BY 1, 2),
-  tp AS (SELECT community, count(*) AS n FROM posts GROUP BY 1),
-  tc AS (SELECT community, count(*) AS n FROM comments GROUP BY 1)
+  tp AS (SELECT community, count(*) AS n FROM gappy_posts GROUP BY 1),
+  tc AS (SELECT community, count(*) AS n FROM gappy_comments GROUP BY 1)
   SELECT coalesce(pd.community, cd.community) AS community, coalesce(pd.part, cd.part) AS part,
          coalesce(pd.community, cd.community) AS subreddit, 'both' AS mode, '20240101_000000' AS timestamp,
          coalesce(tp.n, 0) AS total_posts, coalesce(tc.n, 0) AS total_comments,
          coalesce(post_ids, '') AS post_ids, coalesce(titles, '') AS titles,
          coalesce(comment_ids, '') AS comment_ids, coalesce(texts, '') AS texts
-  FROM pd FULL JOIN cd ON cd.community = pd.community AND cd.part = pd.part
-  LEFT JOIN tp ON tp.community = coalesce(pd.community, cd.community)
-  LEFT JOIN tc ON tc.community = coalesce(pd.community, cd.community)""")
+  FROM pd FULL JOIN cd ON cd.community IS NOT DISTINCT FROM pd.community AND cd.part = pd.part
+  LEFT JOIN tp ON tp.community IS NOT DISTINCT FROM coalesce(pd.community, cd.community)
+  LEFT JOIN tc ON tc.community IS NOT DISTINCT FROM coalesce(pd.community, cd.community)""")
 def _(spark, sf):
-    docs = harvest_documents(b.posts(spark, sf), b.comments(spark, sf), ["community"], "both",
+    docs = harvest_documents(b.gappy_posts(spark, sf), b.gappy_comments(spark, sf), ["community"], "both",
                              F.lit("20240101_000000"), _PART)
     joined = lambda rows, field, sep: F.array_join(F.transform(rows, lambda r: r[field]), sep)
     return docs.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.operators.metrics import (
-    annotator_pairs, pair_agreement, sentiment_distribution, top_topics, topic_rows,
+    model_agreement, sentiment_distribution, top_topics, topic_rows,
     toxicity_prevalence,
 )
 from threadloom.operators.narrative import narrative_matrix
@@ -50,29 +50,33 @@ def _(spark, sf):
 _BUCKET = """CASE WHEN lower(trim({0})) IN ('low', 'non-toxic', 'nontoxic', 'safe') THEN 'safe'
   WHEN lower(trim({0})) IN ('medium', 'high', 'toxic') THEN 'toxic' ELSE lower(trim({0})) END"""
 
-_PAIRS = f"""{b.SWEEP}, {b.LABELLED}, pairs AS (
-    SELECT a.community, a.kind, a.id, a.sentiment AS sa, s.sentiment AS sb,
-           a.toxicity AS ta, s.toxicity AS tb
-    FROM labelled a JOIN sweep s ON s.community = a.community AND s.kind = a.kind AND s.id = a.id),
+_PAIRS = f"""{b.SWEEP}, {b.LABELLED}, {b.TWO_MODELS}, segments AS (
+    SELECT community, kind FROM first_model INTERSECT SELECT community, kind FROM second_model),
+  pairs AS (
+    SELECT g.community, g.kind, a.id, a.sentiment AS sa, s.sentiment AS sb,
+           a.toxicity AS ta, s.toxicity AS tb, a.id IS NOT NULL AS paired
+    FROM segments g LEFT JOIN (first_model a JOIN second_model s
+      ON s.community IS NOT DISTINCT FROM a.community AND s.kind = a.kind AND s.id = a.id)
+    ON g.community IS NOT DISTINCT FROM a.community AND g.kind = a.kind),
   rates AS (
     SELECT community, kind, 'sentiment' AS label,
            CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS sample_rows,
            CAST(sum(CASE WHEN ok AND hit THEN 1 ELSE 0 END) AS BIGINT) AS matches
-    FROM (SELECT *, coalesce(lower(sa) NOT IN ('skipped', 'unknown'), true) AS ok,
+    FROM (SELECT *, paired AND coalesce(lower(sa) NOT IN ('skipped', 'unknown'), true) AS ok,
                  coalesce(lower(trim(sa)) = lower(trim(sb)), false) AS hit FROM pairs) x
     GROUP BY community, kind
     UNION ALL
     SELECT community, kind, 'toxicity',
            CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT),
            CAST(sum(CASE WHEN ok AND hit THEN 1 ELSE 0 END) AS BIGINT)
-    FROM (SELECT *, coalesce(lower(ta) NOT IN ('skipped', 'unknown'), true) AS ok,
+    FROM (SELECT *, paired AND coalesce(lower(ta) NOT IN ('skipped', 'unknown'), true) AS ok,
                  ({_BUCKET.format('ta')}) IS NOT DISTINCT FROM ({_BUCKET.format('tb')}) AS hit
           FROM pairs) x
     GROUP BY community, kind)"""
 
 
 def _agreement(spark, sf):
-    return pair_agreement(annotator_pairs(b.labelled(spark, sf), b.sweep(spark, sf)))
+    return model_agreement(b.two_models(spark, sf), "slice", "sweep")
 
 
 for _label in ("sentiment", "toxicity"):
@@ -81,16 +85,17 @@ for _label in ("sentiment", "toxicity"):
             "agreement_pct", F.round("agreement_pct", 6))
 
     query(f"model_agreement_{_label}", f"""WITH {_PAIRS}
-      SELECT *, round(matches * 100.0 / sample_rows, 6) AS agreement_pct FROM rates
+      SELECT *, round(matches * 100.0 / nullif(sample_rows, 0), 6) AS agreement_pct FROM rates
       WHERE label = '{_label}'""")(_one)
 
 
 @query("agreement_report_lines", f"""WITH {_PAIRS}
   SELECT community, kind, label,
-         CASE WHEN label = 'sentiment' THEN '📊 ' ELSE '💀 ' END || community || ' Posts -> '
+         CASE WHEN label = 'sentiment' THEN '📊 ' ELSE '💀 ' END || coalesce(community, 'None') || CASE kind WHEN 'posts' THEN ' Posts' ELSE ' Comments' END || ' -> '
          || CASE WHEN label = 'sentiment' THEN 'Sentiment' ELSE 'Toxicity' END || ' Agreement Rate: '
-         || printf('%.2f', matches * 100.0 / sample_rows) || '% (Sample Window: '
-         || sample_rows || ' rows)' AS line
+         || CASE WHEN sample_rows = 0 THEN 'Insufficient valid data pairs.'
+                 ELSE printf('%.2f', matches * 100.0 / sample_rows) || '% (Sample Window: '
+                      || sample_rows || ' rows)' END AS line
   FROM rates""")
 def _(spark, sf):
     return agreement_report(_agreement(spark, sf))
@@ -125,13 +130,13 @@ _TOKENS = rf"""{b.SWEEP}, cells AS (
   SELECT community, topic, CAST(n AS BIGINT) AS n, CAST(rank AS BIGINT) AS rank
   FROM ranked WHERE rank <= 10""")
 def _(spark, sf):
-    return top_topics(b.sweep(spark, sf, costly=True))
+    return top_topics(b.sweep(spark, sf))
 
 
 @query("topic_frequencies", f"""WITH {_TOKENS}
   SELECT community, topic, CAST(n AS BIGINT) AS n FROM freq""")
 def _(spark, sf):
-    return topic_rows(b.sweep(spark, sf, costly=True)).groupBy("community", "topic").agg(F.count(F.lit(1)).alias("n"))
+    return topic_rows(b.sweep(spark, sf)).groupBy("community", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("segment_union", f"""WITH {b.SWEEP}

@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
         app = spark.sparkContext.applicationId
         if app not in _local_folders:
@@ -74,14 +74,3 @@ def ship_package(spark: SparkSession) -> None:
     target = os.path.join(tempfile.mkdtemp(prefix="threadloom-py-"), "threadloom")
     spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "threadloom"))
     _shipped.add(app)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input has no more splits than cores; else ``df`` itself.
-
-    For costly per-row work on a small file, whose one row group would keep a
-    single core busy. An input with more splits than cores is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if 0 < splits <= cores else df

@@ -30,38 +30,18 @@ def read_lines(spark: SparkSession, path, source: Column | None = None) -> DataF
     return number_lines(raw)
 
 
-# Size up to which the table of file splits is broadcast.
-BROADCAST_BYTES = 10 << 20
-
-
-def _few_splits(raw: DataFrame) -> bool:
-    """Whether the split table is known to be small, from the file listing alone.
-
-    A file has one split per scan task at most plus one, and a row is its path,
-    its source name and four numbers.
-    """
-    tasks = raw._jdf.queryExecution().toRdd().getNumPartitions()
-    if tasks * 64 > BROADCAST_BYTES:
-        return False
-    files = raw.inputFiles()
-    width = 2 * max(map(len, files), default=0) + 64
-    return bool(files) and (len(files) + tasks) * width <= BROADCAST_BYTES
-
-
 def number_lines(raw: DataFrame) -> DataFrame:
     """``source, file, split, seq, value`` -> ``source, line_no, value``, 1-based.
 
     ``seq`` counts up inside a file split, so only the line counts of the splits
-    must be added up: one narrow row per split, however long the log. With few
-    splits their table is broadcast and no line moves; with many, the lines are
-    shuffled by split, which bounds every group by the split size.
+    must be added up: one narrow row per split, however long the log. Adaptive
+    execution broadcasts their table when it is small, and no line moves; else the
+    lines are shuffled by split, which bounds every group by the split size.
     """
     where = ["source", "file", "split"]
     splits = raw.groupBy(*where).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source").orderBy("file", "split").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = splits.select(*where, "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    if _few_splits(raw):
-        starts = F.broadcast(starts)
     return raw.join(starts, where).select(
         "source", (F.col("start") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value")

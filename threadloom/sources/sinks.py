@@ -12,6 +12,7 @@ from threadloom.constants import (
 )
 from threadloom.functions.dates import ts_to_text
 from threadloom.operators.harvest import export_lines
+from threadloom.session import stage_table
 
 
 def write_csv(df: DataFrame, path: str, raw_names: dict[str, str] | None = None) -> None:
@@ -47,8 +48,12 @@ def write_segments(df: DataFrame, path: str, keys: Sequence[str] = SEGMENT, fmt:
 
 
 def write_annotations(annotations: DataFrame, macro: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """The result sheets: five tables, each partitioned by community, kind and model."""
+    """The result sheets: five tables, each partitioned by community, kind and model.
+
+    Both inputs are written once before, as each feeds several tables.
+    """
     keys = [*SEGMENT, "model"]
+    annotations, macro = stage_table(annotations, "annotations"), stage_table(macro, "macro")
     for name in ("sentiment", "toxicity", "topics"):
         write_segments(annotations.select(*keys, "id", name), f"{folder}/{name}", keys, fmt)
     for name in ("summary", "patterns"):

@@ -113,7 +113,7 @@ def harvest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str
         batch = harvest_batch(lines, batch_id, table, mode)
         if documents:
             posts, comments = _split(batch.where("complete"), mode)
-            write_documents(harvest_documents(posts, comments, SESSION), _batch_path(documents, batch_id))
+            write_documents(harvest_documents(posts, comments, SESSION, subreddit="community"), _batch_path(documents, batch_id))
 
     w = stream_lines(spark, folder, source, files_per_trigger).writeStream.foreachBatch(process)
     w = w.option("checkpointLocation", checkpoint)
@@ -133,4 +133,4 @@ def open_sessions(spark: SparkSession, table: str, mode: str = "loose") -> tuple
 
 def flush_open(spark: SparkSession, table: str, documents: str, mode: str = "loose") -> None:
     """Write what is still open as documents, as an interrupted harvest saves its buffer."""
-    write_documents(harvest_documents(*open_sessions(spark, table, mode), SESSION), documents)
+    write_documents(harvest_documents(*open_sessions(spark, table, mode), SESSION, subreddit="community"), documents)
