@@ -160,7 +160,9 @@ def test_harvest_report_file(spark, tmp_path):
 def test_export_log_has_banners_around_sections(frame, spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"posts": [RAW_POST], "comments": [RAW_COMMENT]}))
     read = read_documents(spark, f"{tmp_path}/d.json")
-    lines = [r.line for r in export_log(document_posts(read), document_comments(read)).orderBy("section", "ord").collect()]
+    lines = [r.line for r in export_log(document_posts(read), document_comments(read), F.lit("demo")).orderBy("section", "ord").collect()]
+    assert lines[0] == f"{'=' * 20} START STREAM HARVEST: r/demo {'=' * 20}" and "END STREAM HARVEST" in lines[-1]
+    lines = lines[1:-1]
     assert [l.strip().split(":")[0] for l in lines] == [
         "###--- START_POSTS_EXPORT ---###", "POST_ROW", "###--- END_POSTS_EXPORT ---###",
         "###--- START_COMMENTS_EXPORT ---###", "COMMENT_ROW", "###--- END_COMMENTS_EXPORT ---###"]

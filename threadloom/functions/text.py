@@ -42,13 +42,15 @@ def title_case(c: Column) -> Column:
     return F.replace(F.initcap(marked), F.lit(WORD_MARK), F.lit(""))
 
 
-def topic_tokens(c: Column) -> Column:
-    """Comma-separated topic text -> array of title-cased tokens, blanks dropped.
+def raw_topics(c: Column) -> Column:
+    """Comma-separated topic text -> array of the texts between commas, as they are written."""
+    return F.split(F.translate(c, "[]\"'", ""), ",")
 
-    The cell is title-cased as a whole: commas and blanks bound words anyway.
-    """
-    parts = F.split(title_case(F.translate(c, "[]\"'", "")), ",")
-    return F.filter(F.transform(parts, utrim), lambda t: t != "")
+
+def topic_tokens(c: Column) -> Column:
+    """Comma-separated topic text -> array of title-cased tokens, blanks dropped."""
+    tokens = F.transform(raw_topics(c), lambda t: utrim(title_case(t)))
+    return F.filter(tokens, lambda t: t != "")
 
 
 def post_text(title: Column, body: Column) -> Column:

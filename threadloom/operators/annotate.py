@@ -67,25 +67,21 @@ def _attempts(annotate: Annotator, prompt: str, limit: int):
 def call_annotator(requests: DataFrame, model: Model, parallelism: int | None = None) -> DataFrame:
     """Add ``response``, ``attempts`` and ``status`` (ok | failed | unavailable) per prompt.
 
-    ``parallelism`` is the number of tasks that call at the same time. Once an
-    annotator reports that its quota is used up, the rest of its task is not
-    tried (``unavailable``). A retried task calls again; stage the result before
-    using it twice.
+    ``parallelism`` is the number of tasks that call at the same time. A request
+    whose annotator reports that its quota is used up is ``unavailable``; each
+    request is tried by itself, so no outcome depends on which others share its
+    task. A retried task calls again; stage the result before using it twice.
     """
     annotate, limit = model.annotate, model.max_attempts
     if parallelism:
         requests = requests.repartition(parallelism)
 
     def run(frames):
-        used_up = False
         for pdf in frames:
             responses, attempts, status = [], [], []
             for prompt in pdf["prompt"]:
-                if used_up:
-                    text, tries, state = None, [], "unavailable"
-                else:
-                    text, tries, used_up = _attempts(annotate, prompt, limit)
-                    state = "ok" if text is not None else "unavailable" if used_up else "failed"
+                text, tries, used_up = _attempts(annotate, prompt, limit)
+                state = "ok" if text is not None else "unavailable" if used_up else "failed"
                 responses.append(text)
                 attempts.append(tries)
                 status.append(state)

@@ -372,12 +372,12 @@ def document_comments(documents: DataFrame, *extra) -> DataFrame:
     return comments_from_raw(rows, "record", *extra, _place().alias("ord"))
 
 
-def export_lines(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Prefixed JSON lines, ``section`` 0 for posts and 1 for comments, in ``ord`` order."""
+def export_lines(posts: DataFrame, comments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Prefixed JSON lines after their ``keys``; ``section`` 0 for posts and 1 for comments, in ``ord`` order."""
     return posts.select(
-        F.lit(0).alias("section"), "ord",
+        *keys, F.lit(0).alias("section"), "ord",
         F.concat(F.lit(POST_PREFIX), raw_json(RAW_POST_FIELDS)).alias("value"),
     ).unionByName(comments.select(
-        F.lit(1).alias("section"), "ord",
+        *keys, F.lit(1).alias("section"), "ord",
         F.concat(F.lit(COMMENT_PREFIX), raw_json(RAW_COMMENT_FIELDS)).alias("value"),
     ))

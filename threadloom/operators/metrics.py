@@ -13,7 +13,7 @@ from threadloom.functions.bind import bind
 from threadloom.functions.labels import (
     audit_toxicity, chart_toxicity, compare_key, is_annotated, sentiment_label,
 )
-from threadloom.functions.text import topic_tokens
+from threadloom.functions.text import raw_topics, title_case, utrim
 from threadloom.operators.ordering import first_n
 
 
@@ -127,30 +127,30 @@ def toxicity_prevalence(annotations: DataFrame) -> DataFrame:
     )
 
 
-def topic_rows(annotations: DataFrame, stop_words=TOPIC_STOP_WORDS) -> DataFrame:
-    """One row per topic token that is not a stop word: ``community, topic, place``.
+def topic_counts(annotations: DataFrame, stop_words=TOPIC_STOP_WORDS) -> DataFrame:
+    """``community, topic, n, place`` for each topic token that is not a stop word.
 
     ``place`` orders tokens as they first appear: posts before comments, then by
     row, then inside the cell. It is one decimal so that the minimum per token
-    stays in the hash aggregation before the shuffle.
+    stays in the hash aggregation before the shuffle. Tokens are counted as they
+    are written first; only distinct ones are brought to title case.
     """
-    cells = bind(annotations.where(F.col("topics").isNotNull()).select("community", "kind", "ord", "topics"),
-                 topics=topic_tokens(F.col("topics")))
-    tokens = cells.select("community", "kind", "ord", F.posexplode("topics").alias("pos", "topic"))
+    cells = annotations.where(F.col("topics").isNotNull()).select(
+        "community", "kind", "ord", F.posexplode(raw_topics(F.col("topics"))).alias("pos", "raw"))
     kind_no = F.when(F.col("kind") == "posts", 0).otherwise(1)
     place = (
         kind_no.cast("decimal(1,0)") * F.lit(Decimal(10 ** 29))
         + F.col("ord").cast("decimal(19,0)") * F.lit(Decimal(10 ** 10))
         + F.col("pos").cast("decimal(10,0)")
     ).cast("decimal(38,0)")
-    return (
-        tokens.where(~F.lower("topic").isin(*stop_words))
-        .select("community", "topic", place.alias("place"))
-    )
+    written = cells.select("community", "raw", place.alias("place")).groupBy("community", "raw").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    titled = written.withColumn("topic", utrim(title_case(F.col("raw"))))
+    return titled.where((F.col("topic") != "") & ~F.lower("topic").isin(*stop_words)).groupBy(
+        "community", "topic").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 
 
 def top_topics(annotations: DataFrame, k: int = TOPIC_LIMIT, stop_words=TOPIC_STOP_WORDS) -> DataFrame:
     """The ``k`` most frequent topics per community; ties go to the earlier first use."""
-    freq = topic_rows(annotations, stop_words).groupBy("community", "topic").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    freq = topic_counts(annotations, stop_words)
     return first_n(freq, ["community"], [F.desc("n"), F.asc("place")], k, rank="rank").drop("place")

@@ -278,7 +278,7 @@ def _(spark, sf):
     return annotate_rows(b.payload(spark, sf), Model.slice("gemini", None)).labels
 
 
-@query("audit_log", f"""WITH {_BATCHED}, b AS (
+@query("audit_log", f"""WITH {_BATCHED.replace(b.PAYLOAD, b.GAPPY_PAYLOAD)}, b AS (
     SELECT community, kind, batch_no, '[''' || string_agg(id, ''', ''' ORDER BY pos) || ''']' AS ids,
            length(min(CASE WHEN pos = 0 THEN id END)) % 3 = 0 AS lost,
            replace(trim('Label: ' || string_agg('ID: ' || id || ' | Text: ' || text || chr(10), '' ORDER BY pos),

@@ -9,9 +9,10 @@ from threadloom.functions.dates import ts_to_text
 from threadloom.operators.annotate import Model, audit_rows, call_annotator, row_requests
 from threadloom.operators.clean import clean_posts
 from threadloom.operators.harvest import (
-    comments_from_raw, document_comments, document_posts, export_lines, harvest_documents, parse_log,
+    comments_from_raw, document_comments, document_posts, harvest_documents, marker_sessions, parse_log,
     posts_from_raw, project_posts,
 )
+from threadloom.operators.ordering import with_ordinal
 from threadloom.plans import bindings as b
 from threadloom.plans import rules
 from threadloom.plans.harvesting import _POST_COLUMNS
@@ -21,7 +22,7 @@ from threadloom.sources.documents import read_documents, read_feed_posts
 from threadloom.sources.logs import read_lines
 from threadloom.sources.sheets import read_annotations, read_comments, read_posts
 from threadloom.sources.sinks import (
-    append_audit, sheet_headers, write_annotations, write_csv, write_documents, write_report,
+    append_audit, export_log, sheet_headers, write_annotations, write_csv, write_documents, write_report,
 )
 from threadloom.streaming.harvest import (
     append_stream, finished_sessions, harvest_stream, open_sessions, stream_lines, stream_records,
@@ -70,16 +71,33 @@ def _(spark, sf):
     return document_comments(_documents_read(spark, sf))
 
 
+def _exported(spark, sf):
+    """All posts and comments as console logs, one per community, read as numbered lines."""
+    path = new_path(spark, "logs")
+    lines = export_log(b.posts(spark, sf), b.comments(spark, sf), F.col("community"), ["community"])
+    write_report(lines, path, ["section", "ord"], ["community"])
+    return read_lines(spark, path, F.regexp_extract(F.col("_metadata.file_path"), "community=([^/]+)/", 1))
+
+
 @query("log_file_round_trip", f"""WITH {b.POSTS}
-  SELECT community AS source, row_number() OVER (PARTITION BY community ORDER BY ord) AS ord,
+  SELECT community AS source, row_number() OVER (PARTITION BY community ORDER BY ord) AS nth,
          post_id, title, body, author, created_epoch, score, num_comments, permalink FROM posts""")
 def _(spark, sf):
-    path = new_path(spark, "logs")
-    p = b.posts(spark, sf)
-    lines = export_lines(p, b.comments(spark, sf).limit(0)).join(p.select("ord", "community"), "ord")
-    write_report(lines.withColumnRenamed("value", "line"), path, ["ord"], ["community"])
-    source = F.regexp_extract(F.col("_metadata.file_path"), "community=([^/]+)/", 1)
-    return parse_log(read_lines(spark, path, source)).posts.drop("community")
+    posts = with_ordinal(parse_log(_exported(spark, sf)).posts.drop("community"), ["source"], "ord", out="nth")
+    return posts.withColumn("nth", F.col("nth") + 1).drop("ord")
+
+
+@query("log_file_sessions", f"""WITH {b.POSTS}, {b.COMMENTS}, records AS (
+    SELECT community, 0 AS section, ord, post_id AS id, title AS text FROM posts
+    UNION ALL SELECT community, 1, ord, comment_id, text FROM comments)
+  SELECT community AS source, 0 AS session_no, CASE section WHEN 0 THEN 'post' ELSE 'comment' END AS kind, id, text,
+         row_number() OVER (PARTITION BY community ORDER BY section, ord) - 1 AS nth FROM records""")
+def _(spark, sf):
+    """Posts and comments of the export come back in order, all within one finished session."""
+    rows = marker_sessions(_exported(spark, sf))
+    return with_ordinal(rows, ["source"], "line_no", out="nth").select(
+        "source", "session_no", "kind", F.coalesce("post.post ID", "comment.comment ID").alias("id"),
+        F.coalesce("post.title", "comment.comment text").alias("text"), "nth")
 
 
 @query("feed_dump_round_trip", f"""WITH {b.POSTS}

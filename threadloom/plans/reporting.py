@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.operators.metrics import (
-    model_agreement, sentiment_distribution, top_topics, topic_rows,
+    model_agreement, sentiment_distribution, top_topics, topic_counts,
     toxicity_prevalence,
 )
 from threadloom.operators.narrative import narrative_matrix
@@ -136,7 +136,7 @@ def _(spark, sf):
 @query("topic_frequencies", f"""WITH {_TOKENS}
   SELECT community, topic, CAST(n AS BIGINT) AS n FROM freq""")
 def _(spark, sf):
-    return topic_rows(b.sweep(spark, sf)).groupBy("community", "topic").agg(F.count(F.lit(1)).alias("n"))
+    return topic_counts(b.sweep(spark, sf)).drop("place")
 
 
 @query("segment_union", f"""WITH {b.SWEEP}

@@ -12,6 +12,7 @@ from threadloom.constants import (
     ANNOTATIONS, MACRO, NA_TOKENS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, SEGMENT,
 )
 from threadloom.functions.dates import whole_number
+from threadloom.operators.ordering import with_ordinal
 from threadloom.sources.paths import csv_header, matching_files
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -121,10 +122,12 @@ def read_annotations(spark: SparkSession, folder: str, strict: bool = False) ->
         one = read_labels(spark, folder, sheet, strict).withColumn("sheet", F.lit(sheet))
         stacked = one if stacked is None else stacked.unionByName(one)
     keys = [*SEGMENT, "model", "id"]
+    # the nth row of an id in one sheet belongs to its nth row in the others
+    stacked = with_ordinal(stacked, ["sheet", *keys], "ord", out="nth")
     pick = lambda s: F.max(F.when(F.col("sheet") == s, F.col("value"))).alias(s)
     # the place in the topics sheet orders first appearances; other sheets stand in without one
     place = F.coalesce(F.min(F.when(F.col("sheet") == "topics", F.col("ord"))), F.min("ord"))
-    return stacked.groupBy(*keys).agg(*[pick(s) for s in LABEL_SHEETS], place.alias("ord"))
+    return stacked.groupBy(*keys, "nth").agg(*[pick(s) for s in LABEL_SHEETS], place.alias("ord")).drop("nth")
 
 
 def read_macro(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from threadloom.constants import (
-    COMMENT_PREFIX, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, SECTION_END, SECTION_START, SEGMENT,
+    BANNER_RULE, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, SECTION_END, SECTION_START, SEGMENT,
 )
 from threadloom.functions.dates import ts_to_text
 from threadloom.operators.harvest import export_lines
@@ -83,14 +83,22 @@ def write_report(lines: DataFrame, path: str, order: Sequence[str], keys: Sequen
     (writer.partitionBy(*keys) if keys else writer).text(path)
 
 
-def export_log(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """All lines of a console export, ``section, ord, line``: banners and prefixed JSON."""
-    spark = posts.sparkSession
-    banners = [(-1, "\n" + SECTION_START.format("POSTS")), (1, SECTION_END.format("POSTS") + "\n"),
-               (2, SECTION_START.format("COMMENTS")), (4, SECTION_END.format("COMMENTS") + "\n")]
-    fixed = spark.createDataFrame([(s, 0, t) for s, t in banners],
-                                  "section int, ord bigint, line string")
-    records = export_lines(posts, comments).select(
-        F.when(F.col("value").startswith(COMMENT_PREFIX), 3).otherwise(0).alias("section"),
-        "ord", F.col("value").alias("line"))
+def export_log(posts: DataFrame, comments: DataFrame, target: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """All lines of a console export, ``keys, section, ord, line``: banners and prefixed JSON.
+
+    Each group of ``keys`` is one session between a start and an end banner that
+    name ``target``, so the export has finished sessions when it is read again.
+    """
+    keys = list(keys)
+    banner = lambda word: F.concat(
+        F.lit(f"{BANNER_RULE} {word} STREAM HARVEST: r/"), F.coalesce(target, F.lit("")), F.lit(f" {BANNER_RULE}"))
+    texts = [(-2, banner("START")), (-1, F.lit("\n" + SECTION_START.format("POSTS"))),
+             (1, F.lit(SECTION_END.format("POSTS") + "\n")), (2, F.lit(SECTION_START.format("COMMENTS"))),
+             (4, F.lit(SECTION_END.format("COMMENTS") + "\n")), (5, banner("END"))]
+    groups = posts.select(*keys).unionByName(comments.select(*keys)).distinct() if keys else (
+        posts.sparkSession.range(1).select())
+    fixed = groups.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(s).alias("section"), F.lit(0).cast("bigint").alias("ord"), t.alias("line")) for s, t in texts])))
+    records = export_lines(posts, comments, keys).select(
+        *keys, F.when(F.col("section") == 1, 3).otherwise(0).alias("section"), "ord", F.col("value").alias("line"))
     return fixed.unionByName(records)
