@@ -3,8 +3,9 @@ read back through the library's own sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from threadloom.constants import DATASET_DOCUMENT
 from threadloom.functions.dates import ts_to_text
 from threadloom.operators.annotate import Model, audit_rows, call_annotator, row_requests
 from threadloom.operators.clean import clean_posts
@@ -25,9 +26,12 @@ from threadloom.sources.sinks import (
     append_audit, export_log, sheet_headers, write_annotations, write_csv, write_documents, write_report,
 )
 from threadloom.streaming.harvest import (
-    append_stream, finished_sessions, harvest_stream, open_sessions, stream_lines, stream_records,
+    append_stream, finished_sessions, flush_open, harvest_stream, open_sessions, stream_lines, stream_records,
 )
 
+_SESSION_DOCUMENT = T.StructType([
+    T.StructField("source", T.StringType()), T.StructField("session_no", T.LongType()),
+    *[f for f in DATASET_DOCUMENT.fields if f.name in ("posts", "comments")]])
 _AT = "strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(created_epoch), '%Y-%m-%d %H:%M:%S')"
 
 
@@ -212,14 +216,14 @@ def _(spark, sf):
     return comments_from_raw(spark.read.parquet(out).where("kind = 'comment'"), "comment")
 
 
-def _run_session_stream(spark, sf):
+def _run_session_stream(spark, sf, documents=None):
     """Two deliveries of the same logs: sessions open at the end of the first go on in the second."""
     logs, tbl, cp = (new_path(spark, n) for n in ("logs", "sessions", "checkpoint"))
     lines = b.event_lines(spark, sf)
     middle = lines.agg(F.max("line_no")).first()[0] // 2
     for delivery in (lines.where(F.col("line_no") <= middle), lines.where(F.col("line_no") > middle)):
         _write_logs(delivery, logs)
-        harvest_stream(spark, logs, tbl, cp, _log_source()).awaitTermination()
+        harvest_stream(spark, logs, tbl, cp, _log_source(), documents=documents).awaitTermination()
     return tbl
 
 
@@ -241,6 +245,29 @@ def _(spark, sf):
     return _session_rows(*open_sessions(spark, _run_session_stream(spark, sf)))
 
 
+def _document_rows(docs):
+    at = "source", "session_no"
+    rows = lambda name, key: docs.select(*at, F.explode(name).alias("r")).select(*at, F.col("r")[key].alias("id"))
+    return rows("posts", "post ID").unionByName(rows("comments", "comment ID"))
+
+
+@query("stream_documents", f"""WITH {b.EVENT_SESSIONS}
+  SELECT source, session_no, id FROM sessions WHERE complete""")
+def _(spark, sf):
+    """Each session that a batch closes becomes documents of that batch, lines of earlier batches included."""
+    out = new_path(spark, "documents")
+    _run_session_stream(spark, sf, out)
+    return _document_rows(spark.read.schema(_SESSION_DOCUMENT).json(f"{out}/batch=*"))
+
+
+@query("stream_flush_open", f"""WITH {b.EVENT_SESSIONS}
+  SELECT source, session_no, id FROM sessions WHERE NOT complete""")
+def _(spark, sf):
+    out = new_path(spark, "documents")
+    flush_open(spark, _run_session_stream(spark, sf), out)
+    return _document_rows(spark.read.schema(_SESSION_DOCUMENT).json(out))
+
+
 @query("stream_audit", f"""WITH {b.PAYLOAD}, placed AS (
     SELECT *, row_number() OVER (PARTITION BY community, kind ORDER BY ord) - 1 AS nth FROM payload)
   SELECT '[''' || string_agg(id, ''', ''' ORDER BY nth) || ''']' AS input_text_identifiers,

@@ -3,11 +3,12 @@
 Spark's file source reads each new file once and whole, so a growing log must
 be rotated into files (a precondition, not checked).
 
-Session state is a table, not Python objects: each micro-batch writes its
-lines with session number and ``complete`` flag to ``<table>/batch=<n>`` and
-the next one takes over the open lines and one closed-session count per
-source from there. A busy source is spread over tasks like any other data, and
-a repeated batch overwrites its own folder with the same rows.
+Each line is written once, with its session number, to ``<table>/batch=<n>``.
+What a batch hands on is one row per source in ``<table>/_state``: how many
+sessions are closed, and the first batch with lines of the open one. A session
+is finished if its number is below the closed count, which is decided when the
+table is read. A busy source is spread over tasks like any other data, and a
+repeated batch overwrites its own folders with the same rows.
 """
 
 from __future__ import annotations
@@ -55,44 +56,60 @@ def _batch_path(table: str, n: int) -> str:
     return f"{table}/batch={n}"
 
 
-def _last_batch(spark: SparkSession, table: str, below: int | None = None) -> int | None:
-    """Number of the newest finished batch, or of the newest before ``below``."""
-    found = (re.search(r"batch=(\d+)$", p) for p in matching_files(spark, f"{table}/batch=*"))
-    numbers = sorted((int(m.group(1)) for m in found if m), reverse=True)
-    return next((n for n in numbers if (below is None or n < below)
-                 and exists(spark, f"{_batch_path(table, n)}/_SUCCESS")), None)
+def _state_path(table: str, n: int) -> str:
+    return f"{table}/_state/batch={n}"
 
 
-def _carried(spark: SparkSession, table: str, n: int) -> DataFrame:
-    """Open lines of batch ``n`` and one row per source with its closed sessions."""
-    before = spark.read.parquet(_batch_path(table, n))
-    state = before.groupBy("source").agg(F.max("closed").alias("closed_before")).select(
-        "source", F.lit(-1).cast("bigint").alias("line_no"), F.lit("state").alias("kind"), "closed_before")
-    still_open = before.where(~F.col("complete") & F.col("kind").isin("post", "comment"))
-    return still_open.select("source", "line_no", "value", "kind").unionByName(
-        state, allowMissingColumns=True)
+def _last_state(spark: SparkSession, table: str) -> tuple[int, DataFrame]:
+    """Number and state of the newest finished batch; for readers of the table."""
+    found = (re.search(r"batch=(\d+)/_SUCCESS$", p) for p in matching_files(spark, f"{table}/_state/batch=*/_SUCCESS"))
+    last = max(int(m.group(1)) for m in found if m)
+    return last, spark.read.parquet(_state_path(table, last))
 
 
 def harvest_batch(lines: DataFrame, batch_id: int, table: str, mode: str = "loose") -> DataFrame:
-    """One micro-batch: number its lines, assign sessions, write ``batch=<id>``; returns it.
+    """One micro-batch: number its lines, assign sessions, write lines and state; returns the new state.
 
     The numbered lines are staged, so the log files are not read again for the
-    session counts, which then scan three narrow columns.
+    session counts, which then scan three narrow columns. Earlier lines are not
+    read at all: the state of the batch before is enough.
     """
     spark = lines.sparkSession
     numbered = number_lines(lines.withColumn("seq", F.monotonically_increasing_id()))
     kinds = line_kinds(numbered, mode).where("kind is not null")
     place = F.col("line_no") + F.lit(batch_id * LINES_PER_BATCH)
     # one folder, rewritten by each batch; readers of the table pass over it
-    rows = stage_table(kinds.withColumn("line_no", place), "lines", f"{table}/_lines").withColumn(
-        "closed_before", F.lit(0).cast("bigint"))
-    before = _last_batch(spark, table, batch_id)
-    if before is not None:
-        rows = rows.unionByName(_carried(spark, table, before), allowMissingColumns=True)
-    out = assign_sessions(rows, closed_before=F.coalesce("closed_before", F.lit(0))).drop("closed_before")
-    path = _batch_path(table, batch_id)
-    out.write.mode("overwrite").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    rows = stage_table(kinds.withColumn("line_no", place), "lines", f"{table}/_lines").withColumns(
+        {"closed_before": F.lit(0).cast("bigint"), "open_since": F.lit(None).cast("bigint")})
+    if exists(spark, f"{_state_path(table, batch_id - 1)}/_SUCCESS"):
+        rows = rows.unionByName(spark.read.parquet(_state_path(table, batch_id - 1)).select(
+            "source", F.lit(-1).cast("bigint").alias("line_no"), F.lit("state").alias("kind"),
+            F.col("closed").alias("closed_before"), "open_since"), allowMissingColumns=True)
+    placed = assign_sessions(rows, closed_before=F.col("closed_before")).drop("complete")
+    placed = stage_table(placed, "batch", _batch_path(table, batch_id))
+    opens = F.bool_or(F.col("kind").isin("post", "comment") & (F.col("session_no") == F.col("closed")))
+    state = placed.groupBy("source").agg(
+        F.max("closed").alias("closed"), F.max("closed_before").alias("closed_before"),
+        F.min("open_since").alias("was_open_since"), opens.alias("opens"))
+    still = F.when(F.col("closed") == F.col("closed_before"), F.col("was_open_since"))
+    since = F.coalesce(still, F.when(F.col("opens"), F.lit(batch_id).cast("bigint")))
+    return stage_table(state.withColumn("open_since", since).drop("opens"), "state", _state_path(table, batch_id))
+
+
+def _lines_of(spark: SparkSession, table: str, first: int, last: int, state: DataFrame) -> DataFrame:
+    """Lines of the batches ``first`` to ``last`` with the state of their source in the struct ``now``."""
+    paths = [_batch_path(table, n) for n in range(first, last + 1)]
+    now = state.select(F.col("source").alias("of"), F.struct(*state.columns).alias("now"))
+    return spark.read.parquet(*paths).where(F.col("kind").isin("post", "comment")).join(
+        now, F.col("source").eqNullSafe(F.col("of"))).select("source", "line_no", "value", "kind", "session_no", "now")
+
+
+def _just_finished(spark: SparkSession, table: str, batch_id: int, state: DataFrame) -> DataFrame:
+    """Lines of the sessions that this batch closed; reads back to the first batch with lines of one of them."""
+    closing = state.where("closed > closed_before")
+    first = closing.agg(F.min("was_open_since")).first()[0]
+    rows = _lines_of(spark, table, batch_id if first is None else first, batch_id, closing)
+    return rows.where("session_no >= now.closed_before and session_no < now.closed")
 
 
 def _split(rows: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
@@ -110,9 +127,9 @@ def harvest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str
     """Start the session stream. Finished sessions appear in ``table`` and, with
     ``documents``, as JSON documents in ``<documents>/batch=<n>``."""
     def process(lines: DataFrame, batch_id: int) -> None:
-        batch = harvest_batch(lines, batch_id, table, mode)
+        state = harvest_batch(lines, batch_id, table, mode)
         if documents:
-            posts, comments = _split(batch.where("complete"), mode)
+            posts, comments = _split(_just_finished(spark, table, batch_id, state), mode)
             write_documents(harvest_documents(posts, comments, SESSION, subreddit="community"), _batch_path(documents, batch_id))
 
     w = stream_lines(spark, folder, source, files_per_trigger).writeStream.foreachBatch(process)
@@ -122,13 +139,16 @@ def harvest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str
 
 def finished_sessions(spark: SparkSession, table: str, mode: str = "loose") -> tuple[DataFrame, DataFrame]:
     """(posts, comments) of all finished sessions, keyed by ``source, session_no``."""
-    return _split(spark.read.parquet(table).where("complete"), mode)
+    last, state = _last_state(spark, table)
+    return _split(_lines_of(spark, table, 0, last, state).where("session_no < now.closed"), mode)
 
 
 def open_sessions(spark: SparkSession, table: str, mode: str = "loose") -> tuple[DataFrame, DataFrame]:
     """What an interrupt would leave unsaved: records after each source's last marker."""
-    last = _batch_path(table, _last_batch(spark, table))
-    return _split(spark.read.parquet(last).where("not complete"), mode)
+    last, state = _last_state(spark, table)
+    first = state.agg(F.min("open_since")).first()[0]
+    rows = _lines_of(spark, table, last if first is None else first, last, state)
+    return _split(rows.where("session_no = now.closed"), mode)
 
 
 def flush_open(spark: SparkSession, table: str, documents: str, mode: str = "loose") -> None:
