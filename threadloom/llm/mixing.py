@@ -98,12 +98,13 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
                     **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
     _, plan = mix_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
-    # The row travels as one struct, so its column names can't clash with those of the plan.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("name"))
-    joined = rows.join(plan.alias("b"), F.col("name").eqNullSafe(F.col("b.source")))
-    times = times_taken(random_key(F.col("id"), seed), F.col("id"), "b")
-    return joined.select("row", times.alias("times")).where("times > 0").select(
-        "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+    # Columns travel as c0, c1, ..., so that their names can't clash with those of the plan.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, source = (F.col(names[docs.columns.index(c)]) for c in (id_col, source_col))
+    joined = docs.toDF(*names).join(plan.alias("b"), source.eqNullSafe(F.col("b.source")))
+    times = times_taken(random_key(doc_id, seed), doc_id, "b")
+    return joined.select(*names, times.alias("times")).where("times > 0").select(
+        *names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).drop("copy").toDF(*docs.columns)
 
 
 MIX_SQL = r"""

@@ -134,12 +134,14 @@ def _described(text: Column, c: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, candidates): the row as a struct, and its candidate spans: base matches, valid or not, and other forms.
+    """The columns of ``docs`` as c0, c1, ... (so that no name can clash) and ``candidates``: spans that may be
+    personal data: base matches, valid or not, and other forms.
 
     Candidates of other forms that touch a valid base span are left out.
     """
     text = F.col("text")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.coalesce(names[docs.columns.index(text_col)], F.lit("")))
     df = bind(rows, **{f"base_{k}": _matches(text, BASE[k], HINTS.get(k, ())[:1]) for k in KINDS},
               **{f"loose_{k}": _matches(text, LOOSE[k], HINTS["email"][1:] if k == "email" else ()) for k in KINDS})
 
@@ -155,7 +157,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     loose = F.concat(*[other(i, k) for i, k in enumerate(KINDS)])
     free = F.filter(loose, lambda s: ~F.exists(valid, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     df = bind(df, every=F.concat("base", free))
-    return df.select("row", F.transform("every", lambda c: _described(text, c)).alias("candidates"))
+    return df.select(*names, F.transform("every", lambda c: _described(text, c)).alias("candidates"))
 
 
 def pattern_counts(candidates: DataFrame) -> list[Row]:
@@ -245,7 +247,8 @@ def find_spans(docs: DataFrame, text_col: str = "text", out: str = "pii", weight
         c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
         (c["form"] == BASE_FORM).alias("base")))))
     found = bind(with_candidates(docs, text_col), spans=spans)
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out], F.col("spans").alias(out))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != out],
+                        F.col("spans").alias(out))
 
 
 def redacted(text: Column, spans: Column) -> Column:
