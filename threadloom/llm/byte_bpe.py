@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.arrow_rows import Memo, built_once, file_broadcast, slices
-from threadloom.llm.chunks import words
+from threadloom.llm.chunks import PieceEncoder
 from threadloom.llm.registry import documents, query
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,8 +27,7 @@ class ByteBpe:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.words = [0] * ((max(self.ranks.values()) >> 8) + 1)  # all zero between calls
         self.matches = regex.compile(pattern).findall
-        self.first = Memo(self._ids, 20_000)
-        self.later = Memo(lambda piece: self._ids(" " + piece), 600_000)
+        self.pieces = PieceEncoder(Memo(self._ids, 20_000).__getitem__, lambda p: [self._ids(" " + x) for x in p])
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match: always merge the pair of lowest rank, the leftmost of equals.
@@ -108,12 +107,12 @@ class ByteBpe:
             out.extend(self.merge(match.encode()))
         return out.tobytes()
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        return self.pieces.encode_all(texts)
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        pieces = words(text)
-        if pieces is None:
-            return self._ids(text)
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -132,7 +131,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built_once(ByteBpe, content.value, pattern)
         for rows, texts in slices(batches, text_col):
-            ids = [bpe.encode(t) if t else b"" for t in texts]
+            ids = bpe.encode_all([t or "" for t in texts])
             lengths = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
             values = np.frombuffer(b"".join(ids), np.int32)

@@ -15,18 +15,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.ans import TokenFile, encode_file
 from threadloom.llm.arrow_rows import Memo, built_once, file_broadcast, slices
-from threadloom.llm.chunks import words
+from threadloom.llm.chunks import PieceEncoder
 from threadloom.llm.prefix_sums import PART, sums_before
 from threadloom.llm.registry import documents, query
 from threadloom.session import new_path, stage_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+PIECES_A_CALL = 256
 FILE_IDS = 2 << 20  # a file is closed at the end of the document that passes this
 
 
-class PieceEncoder:
-    """The tokenizers library, asked once per piece between single spaces."""
+class LibraryEncoder:
+    """The tokenizers library, asked for pieces between single spaces that are not known yet, many at a time."""
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
@@ -35,17 +36,28 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first = Memo(self._ids, 20_000)
-        self.later = Memo(lambda piece: self._ids(" " + piece))
+        self.pieces = PieceEncoder(Memo(self._ids, 20_000).__getitem__, self._later)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        pieces = None if any(s in text for s in self.special) else words(text)
-        if pieces is None:
-            return self._ids(text)
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+    def _later(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a space: laid end to end as one text, told apart by the places of the tokens."""
+        out = {p: self._ids(" " + p) for p in pieces if p.strip() != p or not p}
+        whole = [p for p in pieces if p not in out]
+        for at in range(0, len(whole), PIECES_A_CALL):
+            some = whole[at:at + PIECES_A_CALL]
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(p) + 1 for p in some])
+            bounds = 4 * np.searchsorted([o[0] for o in found.offsets], starts)
+            ids = np.array(found.ids, np.uint32).tobytes()
+            out.update((p, ids[a:b]) for p, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        return [out[p] for p in pieces]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        special = [any(s in t for s in self.special) for t in texts]
+        plain = iter(self.pieces.encode_all([t for t, s in zip(texts, special, strict=True) if not s]))
+        return [self._ids(t) if s else next(plain) for t, s in zip(texts, special, strict=True)]
 
 
 def _put(folder: str, name: str, content: bytes) -> None:
@@ -76,7 +88,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     end = np.array([end_id], np.uint32).tobytes()
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = built_once(PieceEncoder, content.value)
+        encoder = built_once(LibraryEncoder, content.value)
         part, number = TaskContext.get().partitionId(), 0
         ids, lengths, names, held = [], [], [], 0
 
@@ -89,8 +101,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
                 ["file", PART, "number", "n_docs", "n_ids"])
 
         for rows, texts in slices(batches):
-            for name, text in zip(rows.column("doc_id").to_pylist(), texts, strict=True):
-                one = (encoder.encode(text) if text else b"") + end
+            encoded = encoder.encode_all([t or "" for t in texts])
+            for name, one in zip(rows.column("doc_id").to_pylist(), encoded, strict=True):
+                one += end
                 ids.append(one)
                 names.append(name)
                 lengths.append(len(one) // 4)
