@@ -122,7 +122,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
                      text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with a column ``out``: the ids of the whole text, array<int>.
 
-    Each match of ``pattern`` is encoded by itself; special strings are ordinary text. NULL and empty texts have no
+    Each match of ``pattern``, which must cut before single spaces (see ``chunks``), is encoded by itself; special
+    strings are ordinary text. NULL and empty texts have no
     ids. A column named ``out`` is replaced; all other columns stay as they are. Rows are independent: no shuffle.
     """
     content = file_broadcast(docs.sparkSession, vocabulary)

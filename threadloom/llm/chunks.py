@@ -16,6 +16,7 @@ OTHER_SPACE = ("\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u
                "\u2028\u2029\u202f\u205f\u3000")
 ASCII_SPACE = OTHER_SPACE[:4]
 RUNS = ("  ", "\n ", " \n")
+MARKS = frozenset(".,;:!?")
 LONGEST = 64  # characters of a piece whose result is kept
 
 
@@ -41,12 +42,11 @@ class PieceEncoder:
 
     def __init__(self, first: Callable[[str], bytes], later: Callable[[list[str]], list[bytes]], most: int = 300_000):
         self.first, self.later, self.most = first, later, most
-        self.marks = {m: first(m) for m in ".,;:!?"}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _marked(self, piece: str) -> bool:
-        return piece[-1:] in self.marks and piece[-2:-1].isalpha()
+        return piece[-1:] in MARKS and piece[-2:-1].isalpha()
 
     def _learn(self, wanted: set[str]) -> None:
         young, old = self.young, self.old
@@ -65,7 +65,7 @@ class PieceEncoder:
         young.update(zip(plain + extra, self.later(plain + extra), strict=True))
         for piece in marked:
             base = piece[:-1]
-            young[piece] = (young[base] if base in young else old[base]) + self.marks[piece[-1]]
+            young[piece] = (young[base] if base in young else old[base]) + self.first(piece[-1])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [words(t) for t in texts]
