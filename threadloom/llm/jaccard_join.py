@@ -26,7 +26,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_word_hashes = Memo(xxhash.xxh3_64_intdigest, 500_000)
+_word_hashes = Memo(xxhash.xxh3_64_intdigest, 250_000)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
