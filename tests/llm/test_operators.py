@@ -131,6 +131,17 @@ def test_pii_finds_what_base_matches_swallow(spark):
     assert got[101] == got[102] == set()
 
 
+def test_pii_finds_masked_addresses_alone_in_a_text(spark):
+    marks = [f"{a}{b}{m}{c}{d}" for a in ("[", " [", " (") for b in ("", " ") for m in ("at",) for c in ("", " ")
+             for d in ("]", ")", "] ", ") ")]
+    dots = [".", " [ dot ] ", "(dot)", " (dot ) "]
+    rows = [(i, f"write to jane{m}example{dots[i % 4]}com") for i, m in enumerate(marks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.with_candidates(docs).collect():
+        assert [(c.kind, c.start, c.end) for c in r.candidates] == [(0, 9, len(r.c1))], r.c1
+    assert {r.text for r in pii.redact(docs).collect()} == {"write to <EMAIL>"}
+
+
 def test_pii_of_long_runs(spark):
     rows = [(0, "1" * 20_000), (1, "a" * 20_000 + "@"), (2, "a@b" + ".c" * 20_000), (3, "1.2.3.4 " * 2000)]
     got = {r.doc_id: len(r.pii) for r in pii.find_spans(

@@ -31,7 +31,9 @@ LOOSE = {
     "card": r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-HINTS = {"email": ("@", "at)", "at]"), "phone": ("+",)}  # a text without any has no match
+# Texts without any of these have no match: of the base patterns, and of the other forms.
+HINTS = {"email": ("@",), "phone": ("+",)}
+LOOSE_HINTS = {"email": ("at)", "at]", "at )", "at ]")}
 BASE_FORM, FAILED_FORM, LOOSE_FORM = 0, 1, 2
 # Gazetteers and cue words of the context labeler.
 DOMAIN_ENDS = ("com org net edu gov mil int info biz io co us uk de fr es it nl be ch at pl se no fi dk pt eu ca au "
@@ -142,8 +144,8 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("text")
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("text", F.coalesce(names[docs.columns.index(text_col)], F.lit("")))
-    df = bind(rows, **{f"base_{k}": _matches(text, BASE[k], HINTS.get(k, ())[:1]) for k in KINDS},
-              **{f"loose_{k}": _matches(text, LOOSE[k], HINTS["email"][1:] if k == "email" else ()) for k in KINDS})
+    df = bind(rows, **{f"base_{k}": _matches(text, BASE[k], HINTS.get(k, ())) for k in KINDS},
+              **{f"loose_{k}": _matches(text, LOOSE[k], LOOSE_HINTS.get(k, ())) for k in KINDS})
 
     def base(i: int, kind: str) -> Column:
         return F.transform(f"base_{kind}", lambda s: _candidate(
