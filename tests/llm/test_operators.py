@@ -109,6 +109,22 @@ def test_jaccard_of_near_copies(spark, monkeypatch, width, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == want
 
 
+def test_jaccard_of_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " end"
+    rows = [(3, near, "x")] + [(7, a, "x"), (7, b, "x")] * 2 + [(9, c, "z"), (9, c, "y"), (9, c, "z"), (9, c + " ", "x")]
+    rows += [(None, a, "x")] * 2 + [(11, "", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string").repartition(3)
+    got = jaccard_join.jaccard_classes(docs, 5, 80).where("n_shingles > 0 and doc_id is not null").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == [
+        (3, 37, 3, 2), (7, 36, 3, 2), (7, 36, 3, 2), (7, 36, 7, 1), (7, 36, 7, 1)] + [(9, 36, 9, 3)] * 4
+    kept = [tuple(r) for r in jaccard_join.keep_one(docs, width=5, percent=80).collect()]
+    nines = [r for r in kept if r[0] == 9]
+    assert len(nines) == 1 and nines[0] in [(9, c, "y"), (9, c + " ", "x")]
+    assert sorted((str(r) for r in kept if r[0] != 9)) == sorted(
+        map(str, [(3, near, "x"), (7, b, "x")] + [(None, a, "x")] * 2 + [(11, "", "x")] * 2))
+
+
 def test_pii(docs, rows):
     by_id = dict((r[0], r[1]) for r in rows)
     for r in pii.find_spans(docs.drop("size")).collect():

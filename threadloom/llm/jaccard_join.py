@@ -16,6 +16,7 @@ from threadloom.session import ship_package, stage_table
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 GROUP_TOKENS = 400_000  # shingles of one side of a tree join task
+SALTS = 64  # copies of a component's row
 CELLS = 1 << 24  # of the table of probes and shingles that are traversed together
 
 
@@ -62,7 +63,8 @@ def _deep(n, percent: int):
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document: id, set size, 128-bit signature of the set, and the first shingles of the global order."""
+    """Per document: id, hash of the text, set size, 128-bit signature of the set, and the first shingles of the
+    global order."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             sets = [shingle_set(t, width) for t in texts]
@@ -70,13 +72,13 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             kept = [s[:min(n, _spare(n, percent) + _deep(n, percent))] for s, n in zip(sets, sizes)]
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                rows.column("doc_id"), pa.array(sizes, pa.int64()),
+                rows.column("doc_id"), rows.column("hash"), pa.array(sizes, pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept).view(np.int64)))],
-                ["doc_id", "n", "signature", "prefix"])
+                ["doc_id", "hash", "n", "signature", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        found, "doc_id long, n long, signature binary, prefix array<long>")
+    return docs.select("doc_id", "hash", "text").mapInArrow(
+        found, "doc_id long, hash long, n long, signature binary, prefix array<long>")
 
 
 def _spare_col(n: Column, percent: int) -> Column:
@@ -213,7 +215,7 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     hub = meet.groupBy("token").agg(F.min("rep").alias("b"))
     edges = meet.join(hub, "token").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     blocks = components(edges, "jaccard-blocks").select(F.col("id").alias("rep"), F.col("component").alias("block"))
-    members = stage_table(blocks.join(classes.select("rep", "n", "copies"), "rep"), "jaccard-members")
+    members = stage_table(blocks.join(classes.select("rep", "n", "copies", "doc_id", "hash"), "rep"), "jaccard-members")
     weight = members.groupBy("block").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("parts"))
     # A block of p parts is p * (p + 1) / 2 tasks: each part with itself and with each later one.
     placed = members.join(weight, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -226,9 +228,9 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
                  pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], [*kept, "shingles"])
 
     columns = ["rep", "n", "copies", "block", "parts", "part"]
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    # A few texts of all are wanted, but how many grows with the input: shuffled by id at every size, never broadcast.
-    sets = placed.hint("merge").join(texts, "rep").select(*columns, "text").dropDuplicates(["rep"]).mapInArrow(
+    # A few texts of all are wanted, but how many grows with the input: shuffled by id and hash at every size, never
+    # broadcast.
+    sets = placed.hint("merge").join(docs.select("doc_id", "hash", "text"), ["doc_id", "hash"]).select(*columns, "text").dropDuplicates(["rep"]).mapInArrow(
         with_sets, "rep long, n long, copies long, block long, parts int, part int, shingles binary")
     sets = stage_table(sets, "jaccard-sets")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -240,46 +242,86 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         lambda table: _linked(table, percent), "a long, b long, links long")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and the text's hash: rows that share an id are told apart by their texts."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.col(text_col)).alias("hash"))
+
+
+def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that can link (doc_id, hash, n, component, component_id, n_links), and the others (doc_id, n).
+
+    A class of equal sets has a number of its own, ``rep``, fixed when it is written: an id does not name a class, as
+    rows may share an id but not a text. ``component`` is the smallest such number, ``component_id`` the smallest id.
+    """
+    prefixes = stage_table(_prefixes(docs, width, percent), "jaccard-prefixes")
+    full = prefixes.where("n > 0 and doc_id is not null")
+    by_set = full.groupBy("n", "signature").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("hash", "doc_id").alias("hash"), F.count("*").alias("copies"))
+    by_set = stage_table(by_set.withColumn("rep", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = by_set.join(full.select("doc_id", "n", "signature", "prefix").dropDuplicates(["doc_id", "n", "signature"]),
+                          ["doc_id", "n", "signature"])
+    linked = stage_table(_class_links(docs, classes, width, percent), "jaccard-links")
+    found = components(linked.select("a", "b"), "jaccard-found").withColumnRenamed("id", "rep")
+    counted = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    smallest = found.join(by_set.select("rep", "doc_id"), "rep").groupBy("component").agg(
+        F.min("doc_id").alias("component_id"))
+    # One row per component meets all its classes: copied, so that those of a large component go to many tasks.
+    named = found.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(
+        smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["component", "salt"]).select(
+        "rep", "component", "component_id")
+    of_class = stage_table(by_set.join(named, "rep", "left").join(counted, "rep", "left").select(
+        "n", "signature", F.coalesce("component", "rep").alias("component"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-named")
+    rows = full.select("doc_id", "hash", "n", "signature").join(of_class, ["n", "signature"]).drop("signature")
+    return rows, prefixes.where("n = 0 or doc_id is null").select("doc_id", "n")
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links) and n_links (documents it links to).
 
     Two documents link if 100 * |A & B| >= percent * |A | B| for their sets of ``width``-word shingles. Equal sets
-    are one class, represented by its smallest id; only classes are compared. See ``_candidates`` for what is
-    compared and ``tree_join`` for how. Shingles are 64-bit hashes.
+    are one class; only classes are compared. See ``_candidates`` for what is compared and ``tree_join`` for how.
+    Shingles, and the texts of one id, are told apart by 64-bit hashes.
 
     A NULL, empty or blank text has no shingles, is its own component and links to nothing, nor does a document with
-    a NULL id (its component is NULL). Repeated rows are documents of their own that share an id and a component; if rows
-    share an id but not a text, one of the texts is compared for all. An empty table gives no rows. Other columns are
-    not read.
+    a NULL id (its component is NULL). Every row is a document of its own, also if rows share an id, with a text or
+    without. An empty table gives no rows. Other columns are not read.
     """
     ship_package(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prefixes = stage_table(_prefixes(docs, width, percent), "jaccard-prefixes")
-    full = prefixes.where("n > 0 and doc_id is not null")
-    by_set = full.groupBy("n", "signature").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = stage_table(full.select("doc_id", "n", "signature").join(by_set, ["n", "signature"]), "jaccard-members")
-    classes = member.where("doc_id = rep").select("doc_id", "rep", "n", "copies").distinct().join(
-        full.select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"]), ["doc_id", "n"])
-    linked = stage_table(_class_links(docs, classes, width, percent), "jaccard-links")
-    found = components(linked.select("a", "b"), "jaccard-found")
-    counted = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    of_class = member.select("doc_id", "n", "rep", "copies").join(
-        found.select(F.col("id").alias("rep"), "component"), "rep", "left").join(counted, "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    empty = prefixes.where("n = 0 or doc_id is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-        F.lit(0).cast("long").alias("n_links"))
-    return of_class.union(empty).withColumnRenamed("doc_id", id_col)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each component; columns unchanged. NULL ids stay."""
-    classes = jaccard_classes(docs, id_col=id_col, **options).where(f"`{id_col}` <> component_id")
-    return docs.join(stage_table(classes.select(id_col).distinct(), "jaccard-dropped"), id_col, "left_anti").select(
-        *docs.columns)
+    rows, others = _members(_keyed(docs, id_col, text_col), width, percent)
+    empty = others.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                          F.lit(0).cast("long").alias("n_links"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(
+        empty).withColumnRenamed("doc_id", id_col)
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """One row of each component, one with its smallest id; columns unchanged. Rows with a NULL id or no words stay.
+
+    Rows that share that id are told apart by the hash of the text, then by their other columns. Texts are joined
+    with the keys of the rows to drop; only of rows repeated in full or in part, the first is sought.
+    """
+    ship_package(docs.sparkSession)
+    rows, _ = _members(_keyed(docs, id_col, text_col), width, percent)
+    keys = stage_table(rows.groupBy("doc_id", "hash").agg(
+        F.first("component").alias("component"), F.count("*").alias("n")), "jaccard-keys")
+    chosen = keys.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select("k.*")
+    # Columns travel as c0, c1, ..., so that their names can't clash with the keys.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    wide = docs.toDF(*names).withColumns({"doc_id": doc_id.cast("long"), "hash": F.xxhash64(text)})
+    # Left of each key: no row (not chosen), one of several, or the only one (not listed).
+    many = keys.join(chosen, ["doc_id", "hash"], "left_semi").where("n > 1").select("doc_id", "hash")
+    dropped = keys.join(chosen, ["doc_id", "hash"], "left_anti").select("doc_id", "hash")
+    many, gone = stage_table(many, "jaccard-many"), stage_table(dropped.union(many), "jaccard-dropped")
+    ordered = [n for n, f in zip(names, docs.schema.fields) if "map<" not in f.dataType.simpleString()]
+    first = wide.join(many, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(
+        F.min_by(F.struct(*names), F.struct(*ordered)).alias("row")).select("row.*")
+    return wide.join(gone, ["doc_id", "hash"], "left_anti").select(*names).union(first).toDF(*docs.columns)
 
 
 JACCARD_SQL = r"""
