@@ -77,6 +77,23 @@ def test_mixing(docs, rows):
     assert sum(len(words(r.text)) for r in many.collect()) == sum(taken.values())
 
 
+def test_mixing_of_shared_ids(spark):
+    """Sources whose rows share one id or have none, and a source of equal rows, are cut within a document of the target."""
+    rows = [(None, f"w{i} a b c", "a") for i in range(60)] + [(5, f"v{i} a b c", "b") for i in range(61)]
+    rows += [(None, "x y z", "c")] * 67 + [(i, "one two", "d") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    target, taken, many = {}, defaultdict(int), defaultdict(int)
+    got = mixing.mix(docs, weights=(5, 7, 9)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        target[r.source_size] = r.target
+        taken[r.source_size] += r.taken
+    assert len(target) == 4 and all(abs(taken[n] - target[n]) <= 4 for n in target), (taken, target)
+    for r in mixing.mixed_documents(docs, weights=(5, 7, 9)).collect():
+        many[r.source] += len(words(r.text))
+    assert sorted(many.values()) == sorted(taken.values())
+
+
 def test_jaccard(spark, docs, rows):
     got = jaccard_join.jaccard_classes(docs, 4, 85).collect()
     assert len(got) == len(rows)

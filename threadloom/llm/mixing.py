@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.llm.prefix_sums import range_parts, sums_before
+from threadloom.llm.prefix_sums import PART, range_parts, sums_before
 from threadloom.llm.registry import documents, query
 from threadloom.session import stage_table
 
@@ -54,56 +54,86 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
              source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The sizes of all documents, and per source what to take of it.
 
-    Within a source documents stand in random order. Its target is met by whole epochs, then by the documents up to
-    the cut: those whose middle lies within the words still to take. The cut is a position in the random order
-    (``cut_key``, ``cut_id``), so whether a document is taken again depends on its own row and one row of its
-    source: texts are never shuffled. Documents with equal ids of one source are taken alike.
+    Within a source documents stand in random order, those that share an id in the order of their texts' hashes. Its
+    target is met by whole epochs, then by the documents up to the cut: those whose middle lies within the words
+    still to take. The cut is a position (``cut_key``, ``cut_id``, ``cut_hash``) and how many of the equal rows there
+    are taken (``cut_taken`` of ``cut_rows``), so whether a document is taken again depends on its own row and one
+    row of its source: texts are never shuffled, but for equal rows that the cut parts.
 
     Empty and NULL texts have size 0; NULL sources are one source; a source without words has target 0; NULL ids
     sort first; an empty table gives empty frames. Only the three named columns are read.
     """
     sizes = stage_table(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("key")), "mix-sizes")
+        word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("key"),
+        F.xxhash64(F.col(text_col)).alias("hash")), "mix-sizes")
     targets = stage_table(source_targets(sizes, weights, share, max_epochs), "mix-targets")
     named = sizes.withColumns({"nosource": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
-    order = ["key", "doc_id"]
-    parts = range_parts(named.select("nosource", "name", *order, "size"), ["nosource", "name", *order], "mix-ranges")
-    before = sums_before(parts, ["nosource", "name"], order, {"before": F.col("size")})
+    order = ["key", "doc_id", "hash", "size"]
+    places = stage_table(named.groupBy("nosource", "name", *order).agg(F.count("*").alias("rows")), "mix-places")
+    parts = range_parts(places, ["nosource", "name", *order], "mix-ranges")
+    before = sums_before(parts, ["nosource", "name"], order, {"before": F.col("size") * F.col("rows")})
+    # The nth of equal rows, from 0, is taken if 2 * (before + n * size) + size <= 2 * rest.
+    fit = F.floor((2 * F.col("rest") - 2 * F.col("before") - F.col("size")) / (2 * F.col("size"))) + 1
     taken = before.withColumn("source", F.when(~F.col("nosource"), F.col("name"))).alias("a").join(
         targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).where(
         2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).where(F.col("size") > 0)
-    cuts = taken.groupBy(F.col("a.source").alias("cut_source")).agg(F.max(F.struct("key", "doc_id")).alias("cut"))
+    cuts = taken.groupBy(F.col("a.source").alias("cut_source")).agg(F.max(F.struct(
+        "key", "doc_id", "hash", F.least(fit, F.col("rows")).cast("long").alias("taken"), "rows")).alias("cut"))
     plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(
-        *targets.columns, F.col("cut.key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"))
+        *targets.columns, F.col("cut.key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"),
+        F.col("cut.hash").alias("cut_hash"), F.col("cut.taken").alias("cut_taken"), F.col("cut.rows").alias("cut_rows"))
     return sizes, stage_table(plan, "mix-plan")
 
 
-def times_taken(key: Column, doc_id: Column, plan: str) -> Column:
-    """How often a document is taken, given the plan's row of its source: whole epochs, and one more up to the cut."""
-    cut_key, cut_id = F.col(f"{plan}.cut_key"), F.col(f"{plan}.cut_id")
-    up_to = (key < cut_key) | ((key == cut_key) & (doc_id.isNull() | (doc_id <= cut_id)))
-    return F.col(f"{plan}.epochs") + F.coalesce(up_to, F.lit(False)).cast("long")
+def with_times(rows: DataFrame, plan: DataFrame, key: Column, doc_id: Column, text_hash: Column,
+               source: Column) -> DataFrame:
+    """``rows`` and ``times``, how often each is taken: whole epochs, and one more up to the cut of its source.
+
+    ``rows`` has columns c0, c1, ..., besides which the plan's row of the source is joined. Equal rows that the cut
+    parts are written and numbered, by the task that wrote them; most plans part none.
+    """
+    cut_key, cut_id, cut_hash = F.col("b.cut_key"), F.col("b.cut_id"), F.col("b.cut_hash")
+    smaller = F.coalesce((doc_id.isNull() & cut_id.isNotNull()) | (doc_id < cut_id), F.lit(False))
+    same = doc_id.eqNullSafe(cut_id)
+    below = (key < cut_key) | ((key == cut_key) & (smaller | (same & (text_hash < cut_hash))))
+    at_cut = F.coalesce((key == cut_key) & same & (text_hash == cut_hash), F.lit(False))
+    parted = at_cut & (F.col("b.cut_taken") < F.col("b.cut_rows"))
+    joined = rows.join(plan.alias("b"), source.eqNullSafe(F.col("b.source")))
+    once_more = (F.coalesce(below, F.lit(False)) | at_cut).cast("long")
+    whole = joined.where(~parted).select(*rows.columns, (F.col("b.epochs") + once_more).alias("times"))
+    if not plan.where("cut_taken < cut_rows").head(1):
+        return whole
+    tied = stage_table(joined.where(parted).select(
+        *rows.columns, F.col("b.source").isNull().alias("nosource"), F.coalesce("b.source", F.lit("")).alias("name"),
+        "b.epochs", "b.cut_taken", F.monotonically_increasing_id().alias("seq"),
+        F.spark_partition_id().alias(PART)), "mix-tied")
+    placed = sums_before(tied, ["nosource", "name"], ["seq"], {"place": F.lit(1).cast("long")})
+    return whole.union(placed.select(
+        *rows.columns, (F.col("epochs") + (F.col("place") < F.col("cut_taken")).cast("long")).alias("times")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: words taken of each document, repeats counted. See ``mix_plan``."""
     sizes, plan = mix_plan(docs, **options)
-    return sizes.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * times_taken(F.col("key"), F.col("doc_id"), "b")).alias("taken"))
+    rows = sizes.join(plan.select(F.col("source").alias("of"), "source_size", "target"),
+                      F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "size", "source_size", "target", "key", "hash", "source")
+    rows = rows.toDF(*[f"c{i}" for i in range(7)])
+    timed = with_times(rows, plan, F.col("c4"), F.col("c0"), F.col("c5"), F.col("c6"))
+    return timed.select(F.col("c0").alias("doc_id"), F.col("c1").alias("size"), F.col("c2").alias("source_size"),
+                        F.col("c3").alias("target"), (F.col("c1") * F.col("times")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source",
-                    **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
-    _, plan = mix_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
+    _, plan = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     # Columns travel as c0, c1, ..., so that their names can't clash with those of the plan.
     names = [f"c{i}" for i in range(len(docs.columns))]
-    doc_id, source = (F.col(names[docs.columns.index(c)]) for c in (id_col, source_col))
-    joined = docs.toDF(*names).join(plan.alias("b"), source.eqNullSafe(F.col("b.source")))
-    times = times_taken(random_key(doc_id, seed), doc_id, "b")
-    return joined.select(*names, times.alias("times")).where("times > 0").select(
+    doc_id, text, source = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col, source_col))
+    timed = with_times(docs.toDF(*names), plan, random_key(doc_id, seed), doc_id, F.xxhash64(text), source)
+    return timed.where("times > 0").select(
         *names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).drop("copy").toDF(*docs.columns)
 
 
