@@ -201,6 +201,29 @@ def test_annotation_sheets(spark, sheets):
     assert strict == {"posts"}
 
 
+def test_sheets_of_many_files_keep_the_order_of_their_rows(spark, tmp_path):
+    """Parts of different lengths in each sheet, read in any order: rows of a NULL or repeated id stay together."""
+    ids = [("", "7", "7", str(i))[i % 4] for i in range(60)]
+    for sheet, label, widths in (("Sentiment", "sentiment", (1, 900, 30)), ("Toxicity", "toxicity", (900, 30, 1)),
+                                 ("Topics", "topics", (30, 1, 900))):
+        folder = tmp_path / f"All_Posts_Groq_{sheet}.csv"
+        folder.mkdir()
+        for part in range(3):
+            lines = [f"{ids[i]},row {i} {'x' * widths[part]}" for i in range(part * 20, part * 20 + 20)]
+            (folder / f"part-{part:05}.csv").write_text(f"post ID,{label}\n" + "\n".join(lines) + "\n")
+    got = read_annotations(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.id or "", *(v.split()[1] for v in (r.sentiment, r.toxicity, r.topics))) for r in got] == [
+        (ids[i], str(i), str(i), str(i)) for i in range(60)]
+
+
+def test_tables_under_several_headers_share_one_order(spark, tmp_path):
+    (tmp_path / "a_posts.csv").write_text("post_id,title\n" + "\n".join(f"a{i},t" for i in range(9)) + "\n")
+    (tmp_path / "b_posts.csv").write_text("post_id,title,body\n" + "\n".join(f"b{i},{'t' * 500},u" for i in range(9)) + "\n")
+    (tmp_path / "c_posts.csv").write_text("post_id,title\n" + "\n".join(f"c{i},{'t' * 900}" for i in range(9)) + "\n")
+    got = {r.ord: r.post_id for r in read_posts(spark, f"{tmp_path}/*_posts.csv").collect()}
+    assert got == {9 * k + i: f"{c}{i}" for k, c in enumerate("abc") for i in range(9)}
+
+
 def test_sheet_agreement_end_to_end(spark, sheets):
     got = {r.label: (r.matches, r.sample_rows) for r in model_agreement(read_annotations(spark, str(sheets))).collect()}
     assert got == {"sentiment": (1, 1), "toxicity": (0, 1)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from threadloom.constants import (
@@ -34,11 +34,24 @@ def missing_tokens_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, files, header, pandas_na: bool = True) -> DataFrame:
-    """Files that share ``header``, every column as text, plus ``file``."""
+    """Files that share ``header``, every column as text, plus ``file`` and ``seq``, which counts up inside a file."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
     df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(files)
     values = missing_tokens_to_null(df) if pandas_na else df
-    return values.select(*[f"`{h}`" for h in header], F.col("_metadata.file_path").alias("file"))
+    return values.select(*[f"`{h}`" for h in header], F.col("_metadata.file_path").alias("file"),
+                         F.monotonically_increasing_id().alias("seq"))
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """``ord`` instead of ``seq``: the place of a row, by file name and line, whatever tasks the files were read by.
+
+    Such files are never split, so only their row counts must be added up: one narrow row per file.
+    """
+    files = df.groupBy("file").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return df.join(starts, "file").select(
+        *[F.col(f"`{c}`") for c in df.columns if c != "seq"], (F.col("start") + F.col("seq") - F.col("first")).alias("ord"))
 
 
 def lower_headers(df: DataFrame) -> DataFrame:
@@ -97,7 +110,7 @@ def read_labels(spark: SparkSession, folder: str, sheet: str, strict: bool = Fal
     ``strict`` reads only sheets whose label column has the exact usual name,
     so a sheet with another header is left out.
     """
-    frames = []
+    frames = []  # with ``file`` and ``seq``: rows are numbered over all headers
     for header, files in by_header(spark, sheet_files(spark, folder).get(sheet, [])).items():
         df = read_csv(spark, files, header)
         names = {c: HEADER_VARIANTS.get(c.lower(), c.lower()) for c in header}
@@ -107,8 +120,8 @@ def read_labels(spark: SparkSession, folder: str, sheet: str, strict: bool = Fal
         key = id_column(header)
         frames.append(df.select(
             *_segment(SHEET_NAME, _SHEET_PARTS), F.col(f"`{key}`").alias("id"),
-            F.col(f"`{label}`").alias("value"), F.monotonically_increasing_id().alias("ord")))
-    return _union(frames, LABEL_ROW, spark)
+            F.col(f"`{label}`").alias("value"), "file", "seq"))
+    return with_place(_union(frames, LABEL_ROW, spark)).drop("file") if frames else _union(frames, LABEL_ROW, spark)
 
 
 def read_annotations(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
@@ -142,8 +155,7 @@ def read_macro(spark: SparkSession, folder: str) -> DataFrame:
             df = lower_headers(read_csv(spark, group, header))
             if column not in df.columns:
                 continue
-            rows = df.select(*_segment(SHEET_NAME, _SHEET_PARTS), F.col(column).alias("value"),
-                             F.monotonically_increasing_id().alias("ord"))
+            rows = with_place(df.select(*_segment(SHEET_NAME, _SHEET_PARTS), F.col(column).alias("value"), "file", "seq"))
             keys = [*SEGMENT, "model"]
             if "pattern_no" in df.columns:
                 # one row per pattern: a handful per segment by construction of the sheet
@@ -168,18 +180,18 @@ def _read_table(spark, pattern, fields, pandas_na) -> DataFrame:
     for header, files in by_header(spark, matching_files(spark, pattern)).items():
         df = read_csv(spark, files, header, pandas_na)
         columns = [names.get(h.lower(), h.lower()) for h in header]
-        renamed = df.toDF(*columns, "file")
+        renamed = df.toDF(*columns, "file", "seq")
         renamed = renamed.withColumnsRenamed({"created_epoch": "created_at"})
         community = _segment(TABLE_NAME, {"community": 1})[0]
         if "community" not in renamed.columns:
             renamed = renamed.withColumn("community", community)
         counts = {c: whole_number(F.col(c)) for c in ("score", "num_comments") if c in renamed.columns}
-        frames.append(renamed.withColumns(counts).withColumn("ord", F.monotonically_increasing_id()))
+        frames.append(renamed.withColumns(counts))
     empty = T.StructType([T.StructField(
         "created_at" if n == "created_epoch" else n,
         T.LongType() if n in ("score", "num_comments") else T.StringType()) for n in fields.values()]
         + [T.StructField("file", T.StringType()), T.StructField("ord", T.LongType())])
-    return _union(frames, empty, spark)
+    return with_place(_union(frames, empty, spark)) if frames else _union(frames, empty, spark)
 
 
 def read_posts(spark: SparkSession, pattern: str, pandas_na: bool = True) -> DataFrame:
