@@ -16,7 +16,7 @@ def test_query_matches_sql(name, spark, oracle_con):
     assert oracle.differences(QUERIES[name](spark, SMALL), oracle_con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op13_whitening"}))
 def test_query_has_a_row_per_document(name, spark):
     rows = QUERIES[name](spark, SMALL).select("doc_id").collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(rows))) and len(rows) == 200
@@ -25,7 +25,7 @@ def test_query_has_a_row_per_document(name, spark):
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry_module.queries())
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [
-        f"op{i}" for i in range(1, 11)]
+        f"op{i}" for i in range(1, 14)]
 
 
 def test_held_out_accuracy(spark):
