@@ -36,7 +36,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(normalise(F.col(text_col)), F.lit("")).alias("text"))
     most = max(docs.count() // (HOT_PER_PARTITION * parts), 1)
     frequent = narrow.groupBy(F.xxhash64("text").alias("checksum")).count().where(F.col("count") > most)
-    hot = [r.checksum for r in frequent.collect()]
+    hot = [0, *[r.checksum for r in frequent.collect()]]  # never empty: a constant slice would cost one more shuffle
     slice_ = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(parts)).cast("int")
     keyed = narrow.withColumns({"head": F.substring("text", 1, HEAD_CHARS), "checksum": F.xxhash64("text")}).withColumn(
         "slice", F.when(F.col("checksum").isin(hot), slice_).otherwise(F.lit(-1)))
