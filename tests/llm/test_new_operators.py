@@ -128,7 +128,7 @@ def test_merkle_manifest(spark, rows):
     assert merkle_manifest.manifest(spark.createDataFrame(rows, SCHEMA)).where("not verified").count() == 0
 
 
-@pytest.mark.parametrize("sizes", [(1,), (2,), (8,), (9,), (64,), (65,), (1, 1), (1, 9, 130), (1,) * 9 + (3,)])
+@pytest.mark.parametrize("sizes", [(1,), (65,), (1, 8), (1, 9, 130), (1,) * 9 + (3,)])
 def test_merkle_shapes(spark, sizes):
     """One lone row; runs of one; trees of unlike depth; more than eight languages."""
     rows = [(100 * k + i, f"Text {i}", (None, "ü", "z", "a")[k] if k < 4 else f"l{k}", "s", 5, 1, "x", None)

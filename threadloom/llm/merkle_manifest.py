@@ -7,9 +7,9 @@ its siblings are the children of the parent with other intervals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.llm.prefix_sums import range_parts, sums_before
+from threadloom.llm.prefix_sums import PART, range_parts, sums_before
 from threadloom.llm.registry import documents, query
 from threadloom.session import stage_table
 
@@ -37,14 +37,12 @@ def leaf_digest(columns: dict[str, Column]) -> Column:
 
 
 def _levels(leaves: DataFrame, name: str) -> list[DataFrame]:
-    """Level 1 and up of the trees over leaves (tree, lo, digest): tree, lo, hi, digest, children in order.
+    """Level 1 and up of the trees over leaves (tree, leaves, lo, hi, digest): the same columns, bucket, children in order.
 
     A tree with one leaf has no nodes. At most ``FAN`` rows meet under one key.
     """
-    levels, below, width = [], leaves.select("tree", "lo", (F.col("lo") + 1).alias("hi"), "digest"), FAN
-    most = leaves.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    size = below.groupBy("tree").agg(F.max("hi").alias("leaves"))
-    below = below.join(size.where("leaves > 1"), "tree")
+    levels, below, width = [], leaves.where("leaves > 1").select("tree", "leaves", "lo", "hi", "digest"), FAN
+    most = below.agg(F.max("leaves")).first()[0] or 0
     while width < most * FAN:
         runs = below.groupBy("tree", "leaves", F.expr(f"lo div {width}").alias("bucket")).agg(
             F.sort_array(F.collect_list(F.struct("lo", "hi", "digest"))).alias("children"))
@@ -98,11 +96,24 @@ def _paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, carried:
         if above is not None:
             here = here.unionByName(_attach(level.where("hi - lo < leaves"), above, width * FAN, carried).select(*columns))
         above = here
-    single = leaves.join(tops.where("leaves = 1").drop("leaves"), "tree")  # the leaf is the top
+    single = leaves.where("leaves = 1").join(tops.where("leaves = 1").drop("leaves"), "tree")  # the leaf is the top
     columns = [*leaves.columns, "path", *carried]
     if above is None:
         return single.select(*columns)
-    return single.select(*columns).unionByName(_attach(leaves, above, FAN, carried).select(*columns))
+    below = _attach(leaves.where("leaves > 1"), above, FAN, carried)
+    return single.select(*columns).unionByName(below.select(*columns))
+
+
+def _ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their rank ``lo`` within ``tree``, ``hi`` = lo + 1 and the tree's number of ``leaves``.
+
+    A large tree is dealt to many partitions, and its size reaches the rows by tree and partition, never by tree alone.
+    """
+    parts = range_parts(rows, ["tree", *order], name)
+    totals = parts.groupBy("tree", PART).count()
+    sizes = totals.select("tree", PART, F.sum("count").over(Window.partitionBy("tree")).alias("leaves"))
+    ranked = sums_before(parts, ["tree"], ["tree", *order], {"lo": F.lit(1).cast("long")}).join(sizes, ["tree", PART])
+    return stage_table(ranked.withColumn("hi", F.col("lo") + 1).drop(PART), f"{name}-ranked")
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -129,22 +140,16 @@ def manifest(docs: DataFrame, tampered: Column | None = None, changed: dict[str,
     leaves = stage_table(docs.select(*FIELDS).select(
         F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("tree"), "doc_id", leaf_digest(columns).alias("digest"),
         F.when(instead, leaf_digest(columns | (changed or {}))).alias("other")), "merkle-leaves")
-    order = ["tree", "doc_id", "digest"]
-    ranked = stage_table(sums_before(range_parts(leaves, order, "merkle-order"), ["tree"], order,
-                                     {"lo": F.lit(1).cast("long")}).select(
-        "tree", "lo", (F.col("lo") + 1).alias("hi"), "doc_id", "digest", "other"), "merkle-ranked")
+    ranked = _ranked(leaves, ["doc_id", "digest"], "merkle-rows")
     levels = _levels(ranked, "merkle-level")
-    sizes = ranked.groupBy("tree").agg(F.count("*").alias("leaves"))
-    top = ranked.where("lo = 0").join(sizes.where("leaves = 1"), "tree").select("tree", "leaves", "digest")
+    top = ranked.where("leaves = 1").select("tree", "leaves", "digest")
     for level in levels:
         top = top.unionByName(level.where("hi - lo = leaves").select("tree", "leaves", "digest"))
     top = stage_table(top, "merkle-subroots")
 
     # the subroots are the leaves of one more tree
-    subroots = stage_table(sums_before(range_parts(top.withColumnRenamed("tree", "of"), ["of"], "merkle-langs"), [], ["of"],
-                                       {"lo": F.lit(1).cast("long")}).select(
-        F.lit("").alias("tree"), "lo", (F.col("lo") + 1).alias("hi"), "digest", "of", F.col("leaves").alias("of_leaves")),
-        "merkle-forest")
+    of = top.select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("leaves").alias("of_leaves"), "digest")
+    subroots = _ranked(of, ["of"], "merkle-forest")
     upper = _levels(subroots, "merkle-upper")
     root = (upper[-1] if upper else subroots).select("digest").first()
     root_digest = F.lit(bytes(root.digest) if root else b"")
