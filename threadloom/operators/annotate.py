@@ -18,7 +18,7 @@ from threadloom.functions.text import flatten_newlines
 from threadloom.operators.batching import assign_batches, corpus_prompts, gather_requests, slice_batch
 from threadloom.operators.resolve import last_labels, resolve_slice, resolve_sweep
 from threadloom.operators.responses import align, decode_items, decode_macro
-from threadloom.session import stage_table
+from threadloom.session import new_path, stage_table
 
 Annotator = Callable[[str], "str | None"]
 
@@ -35,7 +35,8 @@ class Model:
 
     ``rows=None`` sweeps every row in batches of ``batch``; a number takes that
     many first rows of each segment as one batch. A model with an ``annotate``
-    of None was not run at all.
+    of None was not run at all. With ``waves`` above 1 the requests go out in
+    waves, and none after one that met a used-up quota.
     """
 
     name: str
@@ -43,6 +44,7 @@ class Model:
     rows: int | None = None
     batch: int = SWEEP_BATCH
     max_attempts: int = MAX_ATTEMPTS
+    waves: int = 1
 
     @classmethod
     def slice(cls, name: str, annotate: Annotator | None, rows: int = SLICE_ROWS) -> "Model":
@@ -97,6 +99,40 @@ def call_annotator(requests: DataFrame, model: Model, parallelism: int | None =
     )
 
 
+WAVES = 32
+
+
+def call_in_waves(requests: DataFrame, model: Model, parallelism: int | None = None, waves: int = WAVES,
+                  path: str | None = None) -> DataFrame:
+    """``call_annotator`` in up to ``waves`` waves; once a request of one meets a used-up quota, no further one is sent.
+
+    Each wave is written before its status is read, so no request is made twice and the decision is known to all that
+    follow, on any executor. A request belongs to a wave by a hash of its prompt and members: repeats agree. Requests
+    of the waves that were not sent are ``unavailable`` too, without response or attempts. The first wave is the
+    smallest, each further one as large as all before: an annotator that is used up from the start is asked a
+    ``2 ** (1 - waves)``-th of the requests, or one wave's worth of one request where there are few.
+    """
+    spark = requests.sparkSession
+    path = path or new_path(spark, f"waves-{model.name}")
+    rows = stage_table(requests, "requests", f"{path}/requests")
+    share = F.pmod(F.xxhash64("prompt", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))), F.lit(1 << 62)) / (1 << 62)
+    # doubling shares: wave 0 and 1 have the smallest, the last one half of all
+    wave = F.greatest(F.lit(0), F.lit(waves) + F.ceil(F.log2(share)) - 1)
+    rows = rows.withColumn("__wave", F.coalesce(wave, F.lit(0)).cast("int"))
+    sent = []
+    present = [r["__wave"] for r in rows.select("__wave").distinct().orderBy("__wave").collect()]  # at most ``waves``
+    for at, n in enumerate(present):
+        of_wave = rows.where(F.col("__wave") == n).drop("__wave")
+        done = stage_table(call_annotator(of_wave, model, parallelism), "wave", f"{path}/wave={n}")
+        sent.append(done)
+        if not done.where("status = 'unavailable'").isEmpty():
+            rest = rows.where(F.col("__wave").isin(present[at + 1:])).drop("__wave")
+            sent.append(rest.select("*", F.lit(None).cast("string").alias("response"), F.array().cast(
+                done.schema["attempts"].dataType).alias("attempts"), F.lit("unavailable").alias("status")))
+            break
+    return reduce(DataFrame.unionByName, sent) if sent else call_annotator(requests, model)
+
+
 def audit_rows(called: DataFrame, model: str, identifiers: str | None = None,
                flatten: bool = True) -> DataFrame:
     """One audit row per attempt, in the five-column layout of the audit sheet.
@@ -125,6 +161,12 @@ def row_requests(rows: DataFrame, model: Model, batching: str = "exact") -> Data
     return gather_requests(slice_batch(rows, model.rows))
 
 
+def _called(requests: DataFrame, model: Model, parallelism: int | None, name: str, path: str | None) -> DataFrame:
+    if model.waves > 1:
+        return call_in_waves(requests, model, parallelism, model.waves, path)
+    return stage_table(call_annotator(requests, model, parallelism), f"{name}-{model.name}", path)
+
+
 @dataclass
 class Annotated:
     labels: DataFrame
@@ -143,10 +185,7 @@ def annotate_rows(rows: DataFrame, model: Model, parallelism: int | None = None,
     if model.annotate is None:
         labels = base.select("*", *[F.lit(SKIPPED).alias(n) for n in ("sentiment", "toxicity", "topics")])
         return Annotated(labels.withColumn("model", F.lit(model.name)), None, None)
-    called = stage_table(
-        call_annotator(row_requests(rows, model, batching), model, parallelism),
-        f"responses-{model.name}", responses_path,
-    )
+    called = _called(row_requests(rows, model, batching), model, parallelism, "responses", responses_path)
     # a batch the model never answered leaves its rows to the fill label
     tried = called.where("response <> ''") if model.rows is not None else called
     answered = decode_items(tried.select(*SEGMENT, "batch_no", "members", "response"))
@@ -170,7 +209,7 @@ def annotate_corpus(rows: DataFrame, model: Model, sample: int = CORPUS_ROWS,
         skipped = segments.select(*SEGMENT, F.lit(model.name).alias("model"),
                                   F.lit(SKIPPED).alias("summary"), F.lit(SKIPPED).alias("patterns"))
         return skipped, None
-    called = stage_table(call_annotator(segments, model), f"corpus-{model.name}", responses_path)
+    called = _called(segments, model, None, "corpus", responses_path)
     out = decode_macro(called.select(*SEGMENT, F.lit(model.name).alias("model"), "response"))
     if model.rows is not None:
         nothing = F.coalesce("response", F.lit("")) == ""

@@ -145,7 +145,8 @@ def topic_counts(annotations: DataFrame, stop_words=TOPIC_STOP_WORDS) -> DataFra
     ).cast("decimal(38,0)")
     written = cells.select("community", "raw", place.alias("place")).groupBy("community", "raw").agg(
         F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
-    titled = written.withColumn("topic", utrim(title_case(F.col("raw"))))
+    # bound, or the filters below would take the title case down to every token before they are counted
+    titled = bind(written, topic=utrim(title_case(F.col("raw"))))
     return titled.where((F.col("topic") != "") & ~F.lower("topic").isin(*stop_words)).groupBy(
         "community", "topic").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 

@@ -3,6 +3,7 @@ read back through the library's own sources."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from threadloom.constants import DATASET_DOCUMENT
@@ -11,7 +12,7 @@ from threadloom.operators.annotate import Model, audit_rows, call_annotator, row
 from threadloom.operators.clean import clean_posts
 from threadloom.operators.harvest import (
     comments_from_raw, document_comments, document_posts, harvest_documents, marker_sessions, parse_log,
-    posts_from_raw, project_posts,
+    posts_from_raw, project_comments, project_posts,
 )
 from threadloom.operators.ordering import with_ordinal
 from threadloom.plans import bindings as b
@@ -19,15 +20,18 @@ from threadloom.plans import rules
 from threadloom.plans.harvesting import _POST_COLUMNS
 from threadloom.plans.registry import query
 from threadloom.session import new_path, ship_package, stage_table
-from threadloom.sources.documents import read_documents, read_feed_posts
+from threadloom.sources.documents import read_documents, read_feed_comments, read_feed_posts
 from threadloom.sources.logs import read_lines
 from threadloom.sources.sheets import read_annotations, read_comments, read_posts
 from threadloom.sources.sinks import (
     append_audit, export_log, sheet_headers, write_annotations, write_csv, write_documents, write_report,
 )
+from threadloom.sources.trail import append_stream_once, read_trail
 from threadloom.streaming.harvest import (
     append_stream, finished_sessions, flush_open, harvest_stream, open_sessions, stream_lines, stream_records,
+    tail_harvest,
 )
+from threadloom.streaming.tail import file_system
 
 _SESSION_DOCUMENT = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("session_no", T.LongType()),
@@ -104,15 +108,36 @@ def _(spark, sf):
         F.coalesce("post.title", "comment.comment text").alias("text"), "nth")
 
 
+def _dumped(spark, feed):
+    """A feed dump: files in feed order, each about twice as long as the one before."""
+    path = new_path(spark, "feed")
+    placed = with_ordinal(feed.withColumnRenamed("ord", "at"), [], "at", out="nth")
+    placed.repartitionByRange(32, F.floor(F.log2(F.col("nth") + 1))).sortWithinPartitions("nth").drop(
+        "at", "nth").write.json(path)
+    return f"{path}/*.json"
+
+
 @query("feed_dump_round_trip", f"""WITH {b.POSTS}
-  SELECT post_id, CASE WHEN ord % 5 >= 2 THEN community ELSE 'demo' END AS community, title,
+  SELECT CASE WHEN ord % 13 <> 0 THEN post_id END AS post_id,
+         CASE WHEN ord % 5 >= 2 THEN community ELSE 'demo' END AS community, title,
          CASE WHEN ord % 6 <> 0 THEN body ELSE '' END AS body, author,
          CASE WHEN ord % 7 <> 0 THEN created_epoch ELSE 0 END AS created_epoch, score, num_comments,
-         'https://reddit.com' || permalink AS permalink FROM posts""")
+         'https://reddit.com' || permalink AS permalink, row_number() OVER (ORDER BY ord) - 1 AS ord FROM posts""")
 def _(spark, sf):
-    path = new_path(spark, "feed")
-    b.feed_posts(spark, sf).drop("ord").write.json(path)
-    return project_posts(read_feed_posts(spark, f"{path}/*.json"), "demo").drop("ord")
+    feed = b.feed_posts(spark, sf).withColumn("id", F.when(F.col("ord") % 13 != 0, F.col("id")))
+    return project_posts(read_feed_posts(spark, _dumped(spark, feed)), "demo")
+
+
+@query("feed_dump_comments", f"""WITH {b.COMMENTS}
+  SELECT CASE WHEN ord % 13 <> 0 THEN 't1_' || ord % 7 END AS comment_id, post_id, parent_id,
+         CASE WHEN ord % 5 >= 2 THEN community ELSE 'demo' END AS community, text, author,
+         CASE WHEN ord % 7 <> 0 THEN created_epoch ELSE 0 END AS created_epoch, score,
+         row_number() OVER (ORDER BY ord) - 1 AS ord FROM comments""")
+def _(spark, sf):
+    """Comments with NULL and repeated ids: only their place tells them apart."""
+    repeated = F.concat(F.lit("t1_"), (F.col("ord") % 7).cast("string"))
+    feed = b.feed_comments(spark, sf).withColumn("id", F.when(F.col("ord") % 13 != 0, repeated))
+    return project_comments(read_feed_comments(spark, _dumped(spark, feed)), "demo")
 
 
 _SHEETS = f"""WITH {b.SWEEP}
@@ -158,26 +183,30 @@ def _(spark, sf):
     return out
 
 
-@query("audit_append", """SELECT source AS input_text_identifiers, count(*) * 2 AS n FROM documents GROUP BY source""")
+@query("audit_append", """SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS ord, doc_id,
+  lpad((doc_id % 2)::VARCHAR, 12, '0') AS batch, source AS input_text_identifiers, text AS prompt_used,
+  'groq' AS model_api_used, '' AS generated_output, 'None' AS errors_encountered FROM documents""")
 def _(spark, sf):
+    """Two batches, each appended twice, the second one first; the trail has them once and in order."""
     path = new_path(spark, "audit")
-    d = b.table(spark, sf, "documents")
-    rows = d.select(F.col("source").alias("input_text_identifiers"), F.col("text").alias("prompt_used"),
-                    F.lit("groq").alias("model_api_used"), F.lit("").alias("generated_output"),
-                    F.lit("None").alias("errors_encountered"))
-    append_audit(rows, path)
-    append_audit(rows, path)
-    return spark.read.parquet(path).groupBy("input_text_identifiers").agg(F.count(F.lit(1)).alias("n"))
+    rows = b.table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("input_text_identifiers"), F.col("text").alias("prompt_used"),
+        F.lit("groq").alias("model_api_used"), F.lit("").alias("generated_output"),
+        F.lit("None").alias("errors_encountered"))
+    for n in (1, 0, 1, 0):
+        append_audit(rows.where(F.col("doc_id") % 2 == n), path, n, ["doc_id"])
+    return read_trail(spark, path)
 
 
 @query("report_file_round_trip", f"""WITH {b.POSTS}
-  SELECT community, count(*) AS n FROM posts GROUP BY community""")
+  SELECT community AS source, row_number() OVER (PARTITION BY community ORDER BY ord) AS line_no, post_id AS value
+  FROM posts""")
 def _(spark, sf):
-    """Title lines through the text report sink, one folder per community."""
+    """Lines through the text report sink, one folder per community, read again with their line numbers."""
     path = new_path(spark, "report")
     write_report(b.posts(spark, sf).select("community", "ord", F.col("post_id").alias("line")), path,
                  ["ord"], ["community"])
-    return spark.read.text(path).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return read_lines(spark, path, F.regexp_extract(F.col("_metadata.file_path"), "community=([^/]+)/", 1))
 
 
 # --- streams ---------------------------------------------------------------------------------------
@@ -245,6 +274,65 @@ def _(spark, sf):
     return _session_rows(*open_sessions(spark, _run_session_stream(spark, sf)))
 
 
+def _append_share(lines, folder, n, of):
+    """Let the log files of ``folder`` grow to ``n / of`` of their bytes, wherever in a line that is.
+
+    One task per log, as one process writes a log; a task that is repeated goes on where the file ends.
+    """
+    sizes = lines.groupBy("source").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    rows = lines.join(sizes, "source").repartition("source").sortWithinPartitions("source", "line_no")
+
+    def append(batches):
+        fs, base = file_system(folder)
+        fs.create_dir(base)
+        log = out = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["source"] != log:
+                    if out:
+                        out.close()
+                    log, at, end = r["source"], 0, r["bytes"] * n // of
+                    path = f"{base}/{log}.log"
+                    there = fs.get_file_info(path).size or 0
+                    out = fs.open_append_stream(path)
+                line = r["value"].encode() + b"\n"
+                out.write(line[max(there - at, 0):max(end - at, 0)])
+                at += len(line)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        if out:
+            out.close()
+
+    rows.mapInArrow(append, "n bigint").agg(F.sum("n")).collect()
+
+
+def _run_tail(spark, sf, documents=None, flush=False):
+    """Logs that grow in three steps, each with a half line at its end; the stream starts anew after each."""
+    ship_package(spark)
+    logs, tbl, cp = (new_path(spark, n) for n in ("logs", "sessions", "checkpoint"))
+    lines = stage_table(b.event_lines(spark, sf), "lines")
+    where = dict(source=F.regexp_extract("file", r"/([^/]+)\.log$", 1), documents=documents)
+    for n in (1, 2, 3):
+        _append_share(lines, logs, n, 3)
+        tail_harvest(spark, logs, tbl, cp, **where).awaitTermination()
+    if flush:
+        tail_harvest(spark, logs, tbl, cp, **where, silence_seconds=0).awaitTermination()
+    return tbl
+
+
+@query("stream_growing_logs", f"""WITH {b.EVENT_SESSIONS}
+  SELECT source, session_no, kind, id, score FROM sessions WHERE complete""")
+def _(spark, sf):
+    return _session_rows(*finished_sessions(spark, _run_tail(spark, sf)))
+
+
+@query("stream_silent_logs", f"""WITH {b.EVENT_SESSIONS} SELECT source, session_no, id FROM sessions""")
+def _(spark, sf):
+    """After their silence the logs' open records are documents like those of finished sessions."""
+    out = new_path(spark, "documents")
+    _run_tail(spark, sf, out, flush=True)
+    return _document_rows(spark.read.schema(_SESSION_DOCUMENT).json(f"{out}/batch=*"))
+
+
 def _document_rows(docs):
     at = "source", "session_no"
     rows = lambda name, key: docs.select(*at, F.explode(name).alias("r")).select(*at, F.col("r")[key].alias("id"))
@@ -280,6 +368,7 @@ def _(spark, sf):
     requests = row_requests(b.payload(spark, sf), model)
     requests.write.parquet(inbox)
     arriving = spark.readStream.schema(requests.schema).parquet(inbox)
-    append_stream(audit_rows(call_annotator(arriving, model), model.name), out,
-                  new_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out).select("input_text_identifiers", "model_api_used", "errors_encountered")
+    for _ in range(2):  # the second stream, without a checkpoint, repeats the batch of the first
+        append_stream_once(audit_rows(call_annotator(arriving, model), model.name), out,
+                           new_path(spark, "checkpoint")).awaitTermination()
+    return read_trail(spark, out).select("input_text_identifiers", "model_api_used", "errors_encountered")

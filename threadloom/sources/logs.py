@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions.text import utrim
@@ -31,17 +33,21 @@ def read_lines(spark: SparkSession, path, source: Column | None = None) -> DataF
 
 
 def number_lines(raw: DataFrame) -> DataFrame:
-    """``source, file, split, seq, value`` -> ``source, line_no, value``, 1-based.
+    """``source, file, split, seq, value`` -> ``source, line_no, value``, 1-based."""
+    return number_rows(raw, "line_no", ["source"]).select("source", (F.col("line_no") + 1).alias("line_no"), "value")
+
+
+def number_rows(raw: DataFrame, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``out`` instead of ``file, split, seq``: the 0-based place of a row within ``keys``, by file name, then in the file.
 
     ``seq`` counts up inside a file split, so only the line counts of the splits
     must be added up: one narrow row per split, however long the log. Adaptive
     execution broadcasts their table when it is small, and no line moves; else the
     lines are shuffled by split, which bounds every group by the split size.
     """
-    where = ["source", "file", "split"]
+    where = [*keys, "file", "split"]
     splits = raw.groupBy(*where).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("source").orderBy("file", "split").rowsBetween(
-        Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(*where, "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return raw.join(starts, where).select(
-        "source", (F.col("start") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value")
+    return raw.join(starts, where).withColumn(
+        out, F.col("start") + F.col("seq") - F.col("first")).drop("file", "split", "seq", "first", "start")

@@ -13,6 +13,7 @@ from threadloom.constants import (
 from threadloom.functions.dates import ts_to_text
 from threadloom.operators.harvest import export_lines
 from threadloom.session import stage_table
+from threadloom.sources.trail import append_once
 
 
 def write_csv(df: DataFrame, path: str, raw_names: dict[str, str] | None = None) -> None:
@@ -60,9 +61,9 @@ def write_annotations(annotations: DataFrame, macro: DataFrame, folder: str, fmt
         write_segments(macro.select(*keys, name), f"{folder}/{name}", keys, fmt)
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """Append audit rows to the trail."""
-    audit.write.mode("append").parquet(path)
+def append_audit(audit: DataFrame, path: str, batch: int | str, order: Sequence[str] = ()) -> bool:
+    """Append audit rows to the trail as ``batch``; a batch that is there already is left as it is (False)."""
+    return append_once(audit, path, batch, order)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
