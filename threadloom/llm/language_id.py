@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -19,7 +19,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 100, 4000  # per language: so many documents, those
 DICTIONARY_BYTES = 100 << 10
 BLOCK_BYTES, LEVEL = 1024, 9
 MIN_MARGIN = 0.005
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")  # numeric signs such as one half or a Roman numeral are no letters
 
 
 def plain(text: str) -> bytes:
@@ -30,19 +30,21 @@ def plain(text: str) -> bytes:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """One raw-content dictionary per value of ``lang_col``, from a bounded sample of ``docs``.
 
-    Per language ``SAMPLE_DOCS`` documents in the order of a hash of the id, short ones first; their words up to
-    ``DICTIONARY_BYTES``. Ids are ranked without texts, and a rank limit before the shuffle keeps a common language
-    from gathering in one task. Rows with a NULL text or language are left out. What comes to the driver is bounded
-    by the number of languages.
+    Per language ``SAMPLE_DOCS`` rows in the order of a hash of the id, short ones first, then of a checksum of the
+    text; their words up to ``DICTIONARY_BYTES``. Ids are ranked without texts, and a rank limit before the shuffle
+    keeps a common language from gathering in one task. Repeated rows count once, texts that share an id each by
+    itself. Rows with a NULL text or language are left out. Per language at most ``SAMPLE_DOCS`` texts, cut to
+    ``DICTIONARY_BYTES`` characters, come to the driver.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(
-        F.char_length("text") > SAMPLE_CHARS, F.md5(F.col("id").cast("string")), "id")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+        F.xxhash64(text_col).alias("checksum"))
+    place = [F.char_length("text") > SAMPLE_CHARS, F.md5(F.col("id").cast("string")), F.col("id"), F.col("checksum")]
+    order = Window.partitionBy("lang").orderBy(*place)
     chosen = labelled.withColumn("n", F.row_number().over(order)).where(
-        F.col("n") <= SAMPLE_DOCS).select("id", "lang").distinct()
-    rows = labelled.join(F.broadcast(chosen), ["id", "lang"]).orderBy(  # at most SAMPLE_DOCS rows per language
-        "lang", F.char_length("text") > SAMPLE_CHARS, F.md5(F.col("id").cast("string")), "id", "text")
+        F.col("n") <= SAMPLE_DOCS).select("id", "lang", "checksum").distinct()
+    rows = labelled.join(F.broadcast(chosen), ["id", "lang", "checksum"]).groupBy(  # at most SAMPLE_DOCS per language
+        "lang", "id", "checksum").agg(F.min(F.substring("text", 1, DICTIONARY_BYTES)).alias("text")).orderBy("lang", *place)
     words: dict[str, list[bytes]] = {}
     for row in rows.toLocalIterator():
         words.setdefault(row.lang, []).append(plain(row.text))

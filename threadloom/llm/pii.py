@@ -25,8 +25,8 @@ BASE = {
 }
 # Other ways to write the same data: masked addresses, IPv6, and numbers that a base match swallowed or didn't reach.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}"
-             r"(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]{2,63}){1,9}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++"
+             r"(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]{2,}+)++",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -44,7 +44,7 @@ COUNTER_CUES = "order|invoice|isbn|version|serial|build|sku|part no"
 CUE_CHARS = 32
 LABELERS = ("format", "gazetteer", "context")
 SHAPES = ("form", "format", "gazetteer", "context", "before", "after", "digits")
-EM_ROUNDS, PRIOR_WEIGHT, MIN_PROBABILITY = 30, 4.0, 0.9
+EM_ROUNDS, PRIOR_WEIGHT, SMOOTHING, MIN_PROBABILITY = 30, 4.0, 2.0, 0.9
 # How a labeler is taken to vote before any data: (no, abstain, yes) for a false and a true span.
 PRIOR_VOTES = ((0.5, 0.3, 0.2), (0.1, 0.3, 0.6))
 
@@ -200,23 +200,33 @@ def estimate(counts: list[Row]) -> dict[int, dict[tuple, float]]:
 
 
 def train(counts: list[Row]) -> dict[tuple, float]:
-    """Weights of the span classifier: log odds per (kind, shape, value), learnt from the estimated probabilities."""
+    """Weights of the span classifier: log odds per (kind, shape, value), learnt from the estimated probabilities.
+
+    A value's odds count ``SMOOTHING`` more spans with the odds of the whole kind, so what was hardly seen, or seen in
+    one class only because the other is all but empty, weighs next to nothing. Votes count ``PRIOR_WEIGHT`` spans of
+    ``PRIOR_VOTES`` in either class instead, as they do for EM: a kind with a single span is judged by its votes.
+    """
     belief = estimate(counts)
     sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    values: dict[tuple, set] = defaultdict(set)
     for r in counts:
         p = belief[r["kind"]][tuple(r[v] for v in LABELERS)]
         for name in ("", *SHAPES):
             key = (r["kind"], name, r[name] if name else 0)
             sums[key][1] += r["n"] * p
             sums[key][0] += r["n"] * (1 - p)
-            values[key[:2]].add(key[2])
     weights = {}
     for key, (no, yes) in sums.items():
-        all_no, all_yes = sums[(key[0], "", 0)]
-        n = len(values[key[:2]])
-        weights[key] = math.log((yes + 1) / (no + 1)) if not key[1] else math.log(
-            (yes + 1) / (all_yes + n)) - math.log((no + 1) / (all_no + n))
+        kind, name, value = key
+        all_no, all_yes = (1 + n for n in sums[(kind, "", 0)])
+        if not name:
+            weights[key] = math.log(all_yes / all_no)
+            continue
+        if name in LABELERS:
+            usual = [PRIOR_WEIGHT * votes[value + 1] for votes in PRIOR_VOTES]
+            all_no, all_yes = all_no + PRIOR_WEIGHT, all_yes + PRIOR_WEIGHT
+        else:
+            usual = [SMOOTHING * n / (all_no + all_yes) for n in (all_no, all_yes)]
+        weights[key] = math.log((yes + usual[1]) / (no + usual[0])) - math.log(all_yes / all_no)
     return weights
 
 
