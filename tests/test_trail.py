@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.annotate import Model, annotate_rows, call_in_waves
 from threadloom.operators.metrics import topic_counts
+from threadloom.sources.paths import csv_header
+from threadloom.sources.sheets import read_posts
+from threadloom.sources.sinks import read_sheet, write_annotations
 from threadloom.sources.documents import read_feed_comments, read_feed_posts
 from threadloom.sources.trail import append_once, append_stream_once, read_trail
 
@@ -144,3 +147,32 @@ def test_rows_of_unsent_requests_are_skipped(spark, tmp_path):
     done = annotate_rows(rows, Model("m", dying(str(calls), 0), rows=5, waves=5))
     assert {r.sentiment for r in done.labels.collect()} == {"Skipped"} and done.labels.count() == 400
     assert done.audit.count() == len(os.listdir(calls)) < 40
+
+
+def test_all_sheets_in_one_write(spark, tmp_path):
+    """Five sheets from one scan; another run rewrites the segments it has rows of and no others."""
+    folder = str(tmp_path / "sheets")
+    label = "community string, kind string, model string, id string, sentiment string, toxicity string, topics string"
+    macro = "community string, kind string, model string, summary string, patterns string"
+    labels = lambda *rows: spark.createDataFrame([(c, "posts", "m", i, s, s, None) for c, i, s in rows], label)
+    macros = lambda *rows: spark.createDataFrame([(c, "posts", "m", s, None) for c, s in rows], macro)
+    tracker, before = spark.sparkContext.statusTracker(), len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    for _ in range(2):
+        write_annotations(labels(("a", "1", "x"), ("a", None, "y"), ("b", "1", "z")), macros(("a", "s1"), ("b", "s2")), folder)
+    write_annotations(labels(("b", "9", "new")), macros(), folder)
+    assert len(tracker.getJobIdsForGroup()) - before <= 9  # a write is the shuffle's job and its own
+    got = {(r.community, r.id, r.sentiment) for r in read_sheet(spark, folder, "sentiment").collect()}
+    assert got == {("a", "1", "x"), ("a", None, "y"), ("b", "9", "new")}
+    assert {(r.community, r.summary) for r in read_sheet(spark, folder, "summary").collect()} == {("a", "s1"), ("b", "s2")}
+    assert {r.topics for r in read_sheet(spark, folder, "topics").collect()} == {None}
+    plan = read_sheet(spark, folder, "topics")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sheet" in plan
+
+
+def test_a_folder_whose_first_file_is_empty(spark, tmp_path):
+    folder = tmp_path / "news_posts.csv"
+    folder.mkdir()
+    (folder / "part-00000.csv").write_text("")
+    (folder / "part-00001.csv").write_text("post ID,title\nt3_1,x\n")
+    assert csv_header(spark, str(folder)) == ("post ID", "title")
+    assert [(r.post_id, r.ord) for r in read_posts(spark, str(folder)).collect()] == [("t3_1", 0)]

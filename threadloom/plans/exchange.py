@@ -3,11 +3,13 @@ read back through the library's own sources."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from threadloom.constants import DATASET_DOCUMENT
-from threadloom.functions.dates import ts_to_text
+from threadloom.functions.dates import epoch_to_text
 from threadloom.operators.annotate import Model, audit_rows, call_annotator, row_requests
 from threadloom.operators.clean import clean_posts
 from threadloom.operators.harvest import (
@@ -22,11 +24,12 @@ from threadloom.plans.registry import query
 from threadloom.session import new_path, ship_package, stage_table
 from threadloom.sources.documents import read_documents, read_feed_comments, read_feed_posts
 from threadloom.sources.logs import read_lines
-from threadloom.sources.sheets import read_annotations, read_comments, read_posts
+from threadloom.sources.sheets import read_annotations, read_comments, read_csv, read_posts
 from threadloom.sources.sinks import (
-    append_audit, export_log, sheet_headers, write_annotations, write_csv, write_documents, write_report,
+    append_audit, export_log, read_sheet, sheet_headers, write_annotations, write_csv, write_documents, write_report,
 )
 from threadloom.sources.trail import append_stream_once, read_trail
+from threadloom.sources.types import column_types
 from threadloom.streaming.harvest import (
     append_stream, finished_sessions, flush_open, harvest_stream, open_sessions, stream_lines, stream_records,
     tail_harvest,
@@ -41,11 +44,29 @@ _AT = "strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(created_epoch), '%Y
 
 @query("csv_round_trip", f"""WITH {b.POSTS}
   SELECT post_id, community, nullif(title, '') AS title, body, author, {_AT} AS created_at, score,
-         num_comments, permalink FROM posts""")
+         num_comments, permalink, row_number() OVER (ORDER BY ord) - 1 AS ord FROM posts""")
 def _(spark, sf):
     path = new_path(spark, "posts-csv")
-    write_csv(clean_posts(b.posts(spark, sf)), path, sheet_headers("posts"))
-    return read_posts(spark, path).drop("file", "ord")
+    in_order = clean_posts(b.posts(spark, sf)).repartitionByRange("ord").sortWithinPartitions("ord")
+    write_csv(in_order, path, sheet_headers("posts"))
+    return read_posts(spark, path).drop("file")
+
+
+@query("sheet_types", f"""WITH {b.POSTS}
+  SELECT * FROM (VALUES ('post_id', 0, 'text'), ('community', 1, 'text'), ('title', 2, 'text'), ('body', 3, 'text'),
+    ('author', 4, 'text'), ('created_at', 5, 'text'), ('score', 6, 'integer'), ('num_comments', 7, 'float'),
+    ('ratio', 8, 'float'), ('pinned', 9, 'truth'), ('flair', 10, 'missing')) t("column", place, type),
+  LATERAL (SELECT CASE "column" WHEN 'num_comments' THEN count_if(ord % 4 = 0) WHEN 'flair' THEN count(*)
+                  WHEN 'title' THEN count_if(title = '') ELSE 0 END AS missing FROM posts)""")
+def _(spark, sf):
+    """A sheet with a column for each type; what is missing in it is an empty cell."""
+    path, k = new_path(spark, "types-csv"), F.col("ord")
+    rows = b.posts(spark, sf).select(
+        "post_id", "community", "title", "body", "author", epoch_to_text(F.col("created_epoch")).alias("created_at"), "score",
+        F.when(k % 4 != 0, F.col("num_comments")).alias("num_comments"), (k / 4).alias("ratio"), (k % 2 == 0).alias("pinned"),
+        F.lit(None).cast("string").alias("flair"))
+    write_csv(rows, path)
+    return column_types(read_csv(spark, [path], rows.columns, pandas_na=False).drop("file", "seq"))
 
 
 @query("optional_source", f"""WITH {b.COMMENTS} SELECT comment_id, community, text, score FROM comments""")
@@ -140,24 +161,31 @@ def _(spark, sf):
     return project_comments(read_feed_comments(spark, _dumped(spark, feed)), "demo")
 
 
-_SHEETS = f"""WITH {b.SWEEP}
-  SELECT kind, community || ':' || id AS id, sentiment, toxicity,
-         CASE WHEN topics IS NOT NULL THEN 'len ' || length(topics) END AS topics FROM sweep"""
+_SHEETS = f"""WITH {b.SWEEP}, placed AS (
+    SELECT *, CASE WHEN ord % 11 <> 0 THEN CASE WHEN ord % 13 = 0 THEN 'twice' ELSE community || ':' || id END END AS key,
+           row_number() OVER (ORDER BY kind, ord, id) - 1 AS nth FROM sweep)
+  SELECT kind, key AS id, sentiment, toxicity, CASE WHEN topics IS NOT NULL THEN 'len ' || length(topics) END AS topics,
+         nth AS ord FROM placed"""
 
 
 @query("header_drift_sheets", _SHEETS)
 def _(spark, sf):
-    """Posts sheets carry the usual headers, comments sheets the drifted ones."""
-    folder = new_path(spark, "sheets")
-    rows = stage_table(b.sweep(spark, sf).withColumns({
-        "id": F.concat_ws(":", "community", "id"), "topics": F.concat(F.lit("len "), F.length("topics"))}), "labels")
+    """Posts sheets carry the usual headers, comments sheets the drifted ones; some rows have no id or share one.
+
+    A sheet's rows lie in many files; those without an id of their own are matched by their place.
+    """
+    folder, k = new_path(spark, "sheets"), F.col("ord")
+    key = F.when(k % 11 != 0, F.when(k % 13 == 0, "twice").otherwise(F.concat_ws(":", "community", "id")))
+    rows = stage_table(b.sweep(spark, sf).select(
+        "kind", "ord", F.col("id").alias("own"), key.alias("id"), "sentiment", "toxicity",
+        F.concat(F.lit("len "), F.length("topics")).alias("topics")), "labels")
     names = {"sentiment": "Sentiment", "toxicity": "Toxicity", "topics": "Topic"}
-    for kind, key in (("posts", "post ID"), ("comments", "comment ID")):
+    for kind, header in (("posts", "post ID"), ("comments", "comment ID")):
+        in_order = rows.where(F.col("kind") == kind).repartitionByRange("ord", "own").sortWithinPartitions("ord", "own")
         for label, drifted in names.items():
-            sheet = rows.where(F.col("kind") == kind).select(
-                F.col("id").alias(key), F.col(label).alias(label if kind == "posts" else drifted))
+            sheet = in_order.select(F.col("id").alias(header), F.col(label).alias(label if kind == "posts" else drifted))
             write_csv(sheet, f"{folder}/All_{kind.capitalize()}_Groq_{label.capitalize()}.csv")
-    return read_annotations(spark, folder).select("kind", "id", "sentiment", "toxicity", "topics")
+    return read_annotations(spark, folder).select("kind", "id", "sentiment", "toxicity", "topics", "ord")
 
 
 @query("segment_tables", f"""WITH {b.SWEEP}, macro AS (
@@ -173,14 +201,11 @@ def _(spark, sf):
     macro = ann.groupBy("community", "kind", "model").agg(
         F.min("id").alias("summary"), F.max("id").alias("patterns"))
     write_annotations(ann, macro, folder)
-    sheets = [spark.read.parquet(f"{folder}/{name}").select(
-        F.lit(name).alias("sheet"), "community", "kind", "model",
-        (F.col("id") if name in ("sentiment", "toxicity", "topics") else F.lit(None).cast("string")).alias("id"),
-        F.col(name).alias("value")) for name in ("sentiment", "toxicity", "topics", "summary", "patterns")]
-    out = sheets[0]
-    for sheet in sheets[1:]:
-        out = out.unionByName(sheet)
-    return out
+    sheets = [read_sheet(spark, folder, name) for name in ("sentiment", "toxicity", "topics", "summary", "patterns")]
+    return reduce(lambda x, y: x.unionByName(y), [
+        s.select(F.lit(s.columns[-1]).alias("sheet"), "community", "kind", "model",
+                 (F.col("id") if "id" in s.columns else F.lit(None).cast("string")).alias("id"),
+                 F.col(s.columns[-1]).alias("value")) for s in sheets])
 
 
 @query("audit_append", """SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS ord, doc_id,

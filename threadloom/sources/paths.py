@@ -22,23 +22,21 @@ def exists(spark: SparkSession, pattern: str) -> bool:
 
 
 def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names in the first line of a CSV file (or of the first file of a folder that
-    Spark wrote); only that line is read."""
+    """Column names in the first line of a CSV file, or of the first file with a line in a folder
+    that Spark wrote; only that line is read."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(p).isDirectory():
-        parts = matching_files(spark, f"{path}/part-*")
-        if not parts:
-            return ()
-        p = jvm.org.apache.hadoop.fs.Path(parts[0])
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    return tuple(next(csv.reader([line.lstrip("﻿")]))) if line else ()
+    files = matching_files(spark, f"{path}/part-*") if fs.getFileStatus(p).isDirectory() else [path]
+    for file in files:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(file))
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if line:
+            return tuple(next(csv.reader([line.lstrip("﻿")])))
+    return ()
 
 
 def read_or_empty(spark: SparkSession, pattern: str, schema: T.StructType, read) -> DataFrame:

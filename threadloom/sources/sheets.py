@@ -12,10 +12,13 @@ from threadloom.constants import (
     ANNOTATIONS, MACRO, NA_TOKENS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, SEGMENT,
 )
 from threadloom.functions.dates import whole_number
+from threadloom.functions.bind import bind
 from threadloom.operators.ordering import with_ordinal
+from threadloom.session import stage_table
 from threadloom.sources.paths import csv_header, matching_files
+from threadloom.sources.records import read_records
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"multiLine": "true", "quote": '"', "escape": '"'}  # of one record, which may hold line breaks
 SHEET_NAME = re.compile(r"([^/_]+)_(posts|comments)_([^/_]+)_([^/_.]+)\.csv$", re.IGNORECASE)
 TABLE_NAME = re.compile(r"([^/_]+)_(posts|comments)\.csv$", re.IGNORECASE)
 LABEL_SHEETS = {"sentiment": "sentiment", "toxicity": "toxicity", "topics": "topics"}
@@ -34,19 +37,24 @@ def missing_tokens_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, files, header, pandas_na: bool = True) -> DataFrame:
-    """Files that share ``header``, every column as text, plus ``file`` and ``seq``, which counts up inside a file."""
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(files)
-    values = missing_tokens_to_null(df) if pandas_na else df
-    return values.select(*[f"`{h}`" for h in header], F.col("_metadata.file_path").alias("file"),
-                         F.monotonically_increasing_id().alias("seq"))
+    """Files that share ``header``, every column as text, plus ``file`` and ``seq``, the row's number in its file.
+
+    Files are split like any others, also inside cells with line breaks (see ``records``).
+    """
+    names = [f"c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{n} string" for n in names)
+    rows = bind(read_records(spark, files), row=F.from_csv("record", schema, CSV_OPTIONS))
+    df = rows.select("row.*", "file", "seq").toDF(*header, "file", "seq")
+    return missing_tokens_to_null(df) if pandas_na else df
 
 
 def with_place(df: DataFrame) -> DataFrame:
-    """``ord`` instead of ``seq``: the place of a row, by file name and line, whatever tasks the files were read by.
+    """``ord`` instead of ``seq``: the place of a row, by file name and row, whatever tasks the files were read by.
 
-    Such files are never split, so only their row counts must be added up: one narrow row per file.
+    Only the row counts of the files must be added up: one narrow row per file. The parsed rows are staged, so the
+    sheets are read once.
     """
+    df = stage_table(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "sheet-rows").toDF(*df.columns)
     files = df.groupBy("file").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from threadloom.constants import (
@@ -12,7 +12,6 @@ from threadloom.constants import (
 )
 from threadloom.functions.dates import ts_to_text
 from threadloom.operators.harvest import export_lines
-from threadloom.session import stage_table
 from threadloom.sources.trail import append_once
 
 
@@ -38,27 +37,43 @@ def sheet_headers(kind: str) -> dict[str, str]:
 
 
 def write_segments(df: DataFrame, path: str, keys: Sequence[str] = SEGMENT, fmt: str = "parquet",
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", touched_only: bool = False) -> None:
     """One folder per segment; readers prune by it.
 
     Rows are rebalanced by segment first: a segment gets few files, and a
-    segment with a large share of the rows is split over many tasks.
+    segment with a large share of the rows is split over many tasks. With
+    ``touched_only`` segments without rows in ``df`` stay as they are.
     """
     writer = df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if touched_only else "static")
     (writer.options(header=True, quote='"', escape='"', emptyValue="") if fmt == "csv" else writer).save(path)
 
 
+SHEET_KEYS = ["sheet", *SEGMENT, "model"]
+LABEL_SHEETS, MACRO_SHEETS = ("sentiment", "toxicity", "topics"), ("summary", "patterns")
+
+
 def write_annotations(annotations: DataFrame, macro: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """The result sheets: five tables, each partitioned by community, kind and model.
+    """The five result sheets of all segments in one job: one folder per sheet, community, kind and model.
 
-    Both inputs are written once before, as each feeds several tables.
+    Each row is read once and becomes one row ``id, value`` per sheet, and all sheets go through one write.
+    Only segments that have rows here are written anew; a repeated job changes nothing.
     """
     keys = [*SEGMENT, "model"]
-    annotations, macro = stage_table(annotations, "annotations"), stage_table(macro, "macro")
-    for name in ("sentiment", "toxicity", "topics"):
-        write_segments(annotations.select(*keys, "id", name), f"{folder}/{name}", keys, fmt)
-    for name in ("summary", "patterns"):
-        write_segments(macro.select(*keys, name), f"{folder}/{name}", keys, fmt)
+
+    def rows(df: DataFrame, names, key) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(n).alias("sheet"), key.alias("id"), F.col(n).alias("value")) for n in names])
+        return df.select(*keys, F.inline(cells))
+
+    both = rows(annotations, LABEL_SHEETS, F.col("id")).unionByName(rows(macro, MACRO_SHEETS, F.lit(None).cast("string")))
+    write_segments(both, folder, SHEET_KEYS, fmt, touched_only=True)
+
+
+def read_sheet(spark: SparkSession, folder: str, sheet: str) -> DataFrame:
+    """One sheet of ``write_annotations``: ``community, kind, model, id`` and its value; other sheets aren't opened."""
+    schema = ", ".join(f"{c} string" for c in ("id", "value", *SHEET_KEYS))
+    found = spark.read.schema(schema).parquet(folder).where(F.col("sheet") == sheet)
+    return found.select(*SEGMENT, "model", *(["id"] if sheet in LABEL_SHEETS else []), F.col("value").alias(sheet))
 
 
 def append_audit(audit: DataFrame, path: str, batch: int | str, order: Sequence[str] = ()) -> bool:
