@@ -2,6 +2,8 @@
 
 A map of variants keeps both the key order and the value types of an object;
 the same map of strings keeps the raw text of nested values in document order.
+A parser knows numbers by value only, so before parsing each number becomes a
+marked string that keeps it as written, in lists and objects of any depth.
 """
 
 from __future__ import annotations
@@ -16,6 +18,59 @@ LABELS = ("sentiment", "toxicity", "topics")
 ITEMS = "array<struct<is_object:boolean,id:string,sentiment:string,toxicity:string,topics:string>>"
 
 
+NUMBER_MARK = "\ue0c0#"
+# A string, or a number that is a token of its own. The unrolled string takes long texts without recursion.
+_TOKENS = (r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+           r"|(?<![\w.+-])(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)(?![\w.+-])")
+_OPEN, _CLOSE = "\x01", "\x02"  # no JSON text has them: they may stand in strings as escapes only
+
+
+def mark_numbers(text: Column) -> Column:
+    """JSON text with each number ``n`` as the string ``NUMBER_MARK n``; strings stay as they are."""
+    clean = text.contains(_OPEN) | text.contains(_CLOSE)
+    tokens = F.regexp_replace(text, _TOKENS, f"$1{_OPEN}$2{_CLOSE}")
+    marked = F.replace(F.replace(F.replace(tokens, F.lit(_OPEN + _CLOSE), F.lit("")), F.lit(_OPEN), F.lit(f'"{NUMBER_MARK}')),
+                       F.lit(_CLOSE), F.lit('"'))
+    return F.when(clean, text).otherwise(marked)
+
+
+def python_number(written: Column) -> Column:
+    """A JSON number as Python reads and spells it: whole ones digit by digit, others by the shortest text of the double."""
+    return F.when(~written.rlike("[.eE]"), F.when(written == "-0", "0").otherwise(written)).otherwise(
+        let(written.try_cast("double"), _python_double))
+
+
+def _python_double(d: Column) -> Column:
+    def spelled(text: Column) -> Column:
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        power = F.regexp_extract(text, "e([+-][0-9]+)$", 1).try_cast("int")
+        whole, rest = F.regexp_extract(text, r"^-?([0-9]+)", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)
+        return let(F.struct(sign.alias("sign"), F.concat(whole, rest).alias("all"), (F.char_length(whole) + power).alias("at")), placed)
+
+    def placed(p: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(p["all"], "^0+", ""), "0+$", "")
+        at = p["at"] - F.char_length(F.regexp_extract(p["all"], "^0*", 0))  # digits before the point, or minus zeros after it
+        return let(F.struct(p["sign"].alias("sign"), digits.alias("digits"), at.alias("at")), laid_out)
+
+    def laid_out(p: Column) -> Column:
+        digits, at, n = p["digits"], p["at"], F.char_length(p["digits"])
+        cut = lambda start, length: F.substring(digits, start, length)
+        plain = (F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+                 .when(at >= n, F.concat(digits, F.repeat(F.lit("0"), at - n), F.lit(".0")))
+                 .otherwise(F.concat(cut(F.lit(1), at), F.lit("."), cut(at + 1, n))))
+        tail = F.when(n > 1, F.concat(F.lit("."), cut(F.lit(2), n))).otherwise("")
+        power = F.concat(F.when(at < 1, "-").otherwise("+"), F.lpad(F.abs(at - 1).cast("string"), F.greatest(
+            F.lit(2), F.char_length(F.abs(at - 1).cast("string"))), F.lit("0")))
+        text = F.when(n == 0, "0.0").when((at - 1).between(-4, 15), plain).otherwise(
+            F.concat(cut(F.lit(1), F.lit(1)), tail, F.lit("e"), power))
+        return F.concat(p["sign"], text)
+
+    # the fewest digits that are read as the same double; a text of the double itself may have more
+    shortest = F.get(F.filter(F.array(*[F.format_string(f"%.{k}e", d) for k in range(17)]),
+                              lambda s: s.try_cast("double") == d), F.lit(0))
+    return F.when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").otherwise(let(shortest, spelled))
+
+
 def _type_is(v: Column, name: str) -> Column:
     return F.schema_of_variant(v).startswith(name)
 
@@ -38,7 +93,7 @@ def _holds_object(v: Column) -> Column:
 
 def _with_root(df: DataFrame, response: str) -> DataFrame:
     """Bind ``__root``: the response as exactly one JSON value (raw text), else NULL."""
-    df = bind(df, __list=F.from_json(F.concat(F.lit("["), F.col(response), F.lit("]")), "array<string>"),
+    df = bind(df, __list=F.from_json(F.concat(F.lit("["), mark_numbers(F.col(response)), F.lit("]")), "array<string>"),
               __lead=F.substring(utrim(F.col(response)), 1, 1))
     return bind(df, __root=F.when(F.size("__list") == 1, F.get("__list", F.lit(0)))).drop("__list")
 
@@ -53,6 +108,7 @@ def _scalar_text(v: Column) -> Column:
     return (
         F.when(F.is_variant_null(v), "None")
         .when(_type_is(v, "BOOLEAN"), F.initcap(text))
+        .when(text.startswith(NUMBER_MARK), let(F.substring(text, len(NUMBER_MARK) + 1, 1 << 30), python_number))
         .otherwise(text)
     )
 
@@ -60,7 +116,8 @@ def _scalar_text(v: Column) -> Column:
 def python_text(v: Column) -> Column:
     """A JSON value as Python's ``str`` spells it: None, True, ['a', 'b']; NULL stays NULL."""
     element = lambda e: F.when(
-        _type_is(e, "STRING"), let(F.try_variant_get(e, "$", "string"), _quoted)).otherwise(_scalar_text(e))
+        _type_is(e, "STRING") & ~F.try_variant_get(e, "$", "string").startswith(NUMBER_MARK),
+        let(F.try_variant_get(e, "$", "string"), _quoted)).otherwise(_scalar_text(e))
     listed = lambda x: F.concat(
         F.lit("["), F.array_join(F.transform(F.try_variant_get(x, "$", "array<variant>"), element), ", "),
         F.lit("]"))

@@ -229,6 +229,31 @@ _RULE = """CASE length(text) % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' E
 _TOX = """CASE length(text) % 4 % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END"""
 
 
+@query("response_numbers", """SELECT doc_id AS batch_id, 0 AS pos, doc_id || '.0' AS id, 'inf' AS sentiment,
+  CASE doc_id % 2 WHEN 0 THEN '-0.0' ELSE '1e+16' END AS toxicity,
+  '[' || coalesce(n_chars, 0) || ', 1.5, ''x'', 100000.0]' AS topics FROM documents""")
+def _(spark, sf):
+    """Ids and labels that are numbers, alone and in lists, come out as Python spells them."""
+    k = F.col("doc_id").cast("string")
+    odd = F.when(F.col("doc_id") % 2 == 0, "-0.0").otherwise("1E16")
+    rows = b.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("batch_id"), F.array(F.concat(k, F.lit(".0"))).alias("members"),
+        F.concat(F.lit('{"results": [{"id": '), k, F.lit('.0, "sentiment": 1e400, "toxicity": '), odd, F.lit(', "topics": ['),
+                 F.coalesce(F.col("n_chars"), F.lit(0)).cast("string"), F.lit(', 1.50, "x", 1e5]}]}')).alias("response"))
+    return align(decode_items(rows), ["batch_id"])
+
+
+@query("annotate_until_used_up", """SELECT source AS community, 'posts' AS kind, doc_id::VARCHAR AS id, doc_id AS ord,
+  'm' AS model, 'Skipped' AS sentiment, 'Skipped' AS toxicity, 'Skipped' AS topics FROM documents""")
+def _(spark, sf):
+    """A slice model whose quota is used up from the start: one wave goes out, all rows are skipped."""
+    ship_package(spark)
+    rows = b.table(spark, sf, "documents").select(
+        F.col("source").alias("community"), F.lit("posts").alias("kind"), F.col("doc_id").cast("string").alias("id"),
+        "text", F.col("doc_id").alias("ord"))
+    return annotate_rows(rows, Model("m", rules.used_up, rows=45, waves=8)).labels
+
+
 @query("annotate_rows_rule", f"""WITH {b.PAYLOAD}
   SELECT community, kind, id, ord, 'groq' AS model, {_RULE} AS sentiment, {_TOX} AS toxicity,
          'len ' || length(text) AS topics FROM payload""")

@@ -37,3 +37,8 @@ def corpus_length(prompt: str) -> str:
     body = prompt.split("Sample:\n", 1)[1]
     blocks = len(re.findall(r"^Content block \[\d+\]: ", body, re.MULTILINE))
     return json.dumps({"Summary": f"{blocks} blocks", "patterns": ["a", f"{len(body)} characters", "c"]})
+
+
+def used_up(prompt: str) -> str:
+    """A service whose quota of the day is used up."""
+    raise RuntimeError("429 daily quota exhausted")
