@@ -146,6 +146,16 @@ def test_pieces_share_out_the_lines(tmp_path_factory, lines, size, skip):
     assert all(data[p:p + len(t)] == t for p, t in got)
 
 
+def test_patterns_and_folders(tmp_path, logs):
+    (logs / "sub").mkdir()
+    for name in ("a.log", "b.txt", ".c.log", "_d.log", "sub/e.log"):
+        append(logs / name, b"x\n")
+    names = lambda path: [k["path"].rsplit("logs/", 1)[1] for k in reader(tmp_path, path=str(path), positions=str(tmp_path / str(len(str(path))))).latestOffset()["files"]]
+    assert names(logs) == ["a.log", "b.txt", "sub/e.log"]
+    assert names(logs / "*.log") == ["a.log"] and names(logs / "*" / "*.log") == ["sub/e.log"]
+    assert names(logs / "none" / "*.log") == []
+
+
 def log_name():
     return F.regexp_extract("file", r"/([a-z]+)\.log", 1)
 

@@ -56,12 +56,17 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def listed(fs: pafs.FileSystem, pattern: str) -> list[pafs.FileInfo]:
-    """Files that match a glob pattern, or that are anywhere below a folder, by path. Names with . or _ in front are not logs."""
+    """Files that match a glob pattern, or that are anywhere below a folder, by path. Names with . or _ in front are not logs.
+
+    A star of a pattern stands for characters of one name, not for folders.
+    """
     special = [pattern.find(c) for c in "*?[" if c in pattern]
     base = pattern[:min(special)].rpartition("/")[0] if special else pattern
     found = fs.get_file_info(pafs.FileSelector(base or "/", recursive=True, allow_not_found=True))
     files = [f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_"))]
-    return sorted((f for f in files if not special or fnmatch.fnmatch(f.path, pattern)), key=lambda f: f.path)
+    if special:
+        files = [f for f in files if f.path.count("/") == pattern.count("/") and fnmatch.fnmatchcase(f.path, pattern)]
+    return sorted(files, key=lambda f: f.path)
 
 
 def read_range(fs: pafs.FileSystem, path: str, start: int, size: int) -> bytes:
