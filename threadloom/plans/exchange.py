@@ -6,7 +6,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from threadloom.constants import DATASET_DOCUMENT
 from threadloom.functions.dates import epoch_to_text
@@ -302,10 +302,14 @@ def _(spark, sf):
 def _append_share(lines, folder, n, of):
     """Let the log files of ``folder`` grow to ``n / of`` of their bytes, wherever in a line that is.
 
-    One task per log, as one process writes a log; a task that is repeated goes on where the file ends.
+    One task per log, as one process writes a log; a task that is repeated goes on where the file ends. The window
+    keeps a log in one task and in order, which a repartition does not: it is left out above a join by the same
+    column, and adaptive execution may spread the join's rows anew.
     """
-    sizes = lines.groupBy("source").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
-    rows = lines.join(sizes, "source").repartition("source").sortWithinPartitions("source", "line_no")
+    size = F.octet_length("value") + 1
+    sizes = lines.groupBy("source").agg(F.sum(size).alias("bytes"))
+    so_far = Window.partitionBy("source").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.join(sizes, "source").withColumn("end", F.sum(size).over(so_far))
 
     def append(batches):
         fs, base = file_system(folder)
@@ -316,13 +320,13 @@ def _append_share(lines, folder, n, of):
                 if r["source"] != log:
                     if out:
                         out.close()
-                    log, at, end = r["source"], 0, r["bytes"] * n // of
+                    log, stop = r["source"], r["bytes"] * n // of
                     path = f"{base}/{log}.log"
                     there = fs.get_file_info(path).size or 0
                     out = fs.open_append_stream(path)
                 line = r["value"].encode() + b"\n"
-                out.write(line[max(there - at, 0):max(end - at, 0)])
-                at += len(line)
+                at = r["end"] - len(line)
+                out.write(line[max(there - at, 0):max(stop - at, 0)])
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
         if out:
             out.close()
