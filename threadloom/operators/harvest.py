@@ -331,18 +331,23 @@ def harvest_documents(posts: DataFrame, comments: DataFrame, keys: Sequence[str]
     def count(kind):
         return F.count_if(F.col("kind") == kind)
 
-    parts = rows.groupBy(*keys, "part").agg(
-        records("post").alias("posts"), records("comment").alias("comments"), F.min("__named").alias("__named"),
-        count("post").alias("__posts"), count("comment").alias("__comments"))
-    group = Window.partitionBy(*keys)  # a group has one row per part
+    # totals are added up from one narrow row per part and travel as further rows of their part
+    counts = rows.groupBy(*keys, "part").agg(
+        F.min("__named").alias("subreddit"), count("post").alias("posts"), count("comment").alias("comments"))
+    group = Window.partitionBy(*keys)
+    totals = counts.select(*keys, "part", F.lit("total").alias("kind"), F.struct(
+        F.min("subreddit").over(group).alias("subreddit"), F.sum("posts").over(group).alias("posts"),
+        F.sum("comments").over(group).alias("comments")).alias("total"))
+    parts = rows.unionByName(totals, allowMissingColumns=True).groupBy(*keys, "part").agg(
+        records("post").alias("posts"), records("comment").alias("comments"), F.max("total").alias("total"))
     stamp = run_stamp() if stamp is None else stamp
     return parts.select(
         *keys, "part",
         F.struct(
-            F.min("__named").over(group).alias("subreddit"),
+            F.col("total.subreddit").alias("subreddit"),
             F.lit(mode).alias("mode"),
             stamp.alias("timestamp"),
-            F.sum("__posts").over(group).alias("total_posts"), F.sum("__comments").over(group).alias("total_comments"),
+            F.col("total.posts").alias("total_posts"), F.col("total.comments").alias("total_comments"),
         ).alias("metadata"),
         "posts", "comments")
 
