@@ -8,7 +8,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.constants import (
@@ -28,6 +27,8 @@ QUOTA_NOW = re.compile("daily", re.IGNORECASE)
 
 CORPUS_IDENTIFIER = "MACRO_CORPUS_SLICE"
 
+CALLED = "response string, attempts array<struct<attempt:int,output:string,error:string>>, status string"
+
 
 @dataclass(frozen=True)
 class Model:
@@ -78,25 +79,14 @@ def call_annotator(requests: DataFrame, model: Model, parallelism: int | None =
     if parallelism:
         requests = requests.repartition(parallelism)
 
-    def run(frames):
-        for pdf in frames:
-            responses, attempts, status = [], [], []
-            for prompt in pdf["prompt"]:
-                text, tries, used_up = _attempts(annotate, prompt, limit)
-                state = "ok" if text is not None else "unavailable" if used_up else "failed"
-                responses.append(text)
-                attempts.append(tries)
-                status.append(state)
-            yield pdf.assign(response=pd.Series(responses, index=pdf.index, dtype=object),
-                             attempts=pd.Series(attempts, index=pdf.index, dtype=object),
-                             status=pd.Series(status, index=pdf.index, dtype=object))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.mapInPandas(
-        run,
-        f"{fields}, response string, "
-        "attempts array<struct<attempt:int,output:string,error:string>>, status string",
-    )
+    def run(prompt):
+        text, tries, used_up = _attempts(annotate, prompt, limit)
+        return text, tries, "ok" if text is not None else "unavailable" if used_up else "failed"
+
+    # prompts go to Python by the hundred and alone; a batch of Arrow would hold ten thousand with all their columns
+    call = F.udf(run, CALLED, useArrow=False).asNondeterministic()
+    called = requests.withColumn("__called", call("prompt"))
+    return called.select(*[F.col(f"`{c}`") for c in requests.columns], "__called.*")
 
 
 WAVES = 32
