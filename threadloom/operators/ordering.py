@@ -101,8 +101,12 @@ def first_n(df: DataFrame, keys: Sequence[str], order, n: int, rank: str | None
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], ord_col: str = "ord") -> DataFrame:
-    """One row per key, the earliest by ``ord_col``. NULL keys form one group."""
-    return first_n(df, keys, F.col(ord_col), 1)
+    """One row per key, the earliest by ``ord_col``. NULL keys form one group.
+
+    An aggregation: each map task hands on one row per key at most, and rows are shuffled once.
+    """
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(ord_col))
+    return df.groupBy(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)]).agg(first.alias("__row")).select("__row.*")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], *ord_cols: str) -> DataFrame:

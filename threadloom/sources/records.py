@@ -54,7 +54,7 @@ def read_records(spark: SparkSession, files) -> DataFrame:
 
     Line breaks inside quotes stay; a carriage return before a line's end goes; blank lines are no records. A quote
     that is never closed makes the rest of its file one record. The lines are shuffled once, by split, and their states
-    travel as one row per split; only records of more than one line are gathered.
+    travel as one row per split; only records that lie in more than one split are gathered.
     """
     raw = spark.read.option("lineSep", "\n").text(files).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
@@ -76,7 +76,9 @@ def read_records(spark: SparkSession, files) -> DataFrame:
     splits = _state_before(splits, of_file, F.lit(False), "end_outside", "end_inside", "begin")
     n = F.when(F.col("begin"), F.col("n_inside")).otherwise(F.col("n_outside"))
     earlier = of_file.rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("n", n).select(*SPLIT, "begin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("records_before"))
+    ends = F.when(F.col("begin"), F.col("end_inside")).otherwise(F.col("end_outside"))
+    splits = splits.withColumn("n", n).select(
+        *SPLIT, "begin", "n", ends.alias("ends_inside"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("records_before"))
     known = local.join(splits, SPLIT).withColumn(
         "inside_before", F.when(F.col("begin"), F.col("from_inside")).otherwise(F.col("from_outside")))
     known = known.withColumn("inside_after", F.when(F.col("inside_before"), F.col("inside")).otherwise(F.col("outside")))
@@ -84,8 +86,15 @@ def read_records(spark: SparkSession, files) -> DataFrame:
     begun = F.sum((~F.col("inside_before") & ~blank).cast("bigint")).over(
         in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = known.withColumn("no", F.col("records_before") + begun - 1).where(~blank)
-    single = placed.where("not inside_before and not inside_after").select("file", "no", F.col("value").alias("record"))
-    parts = placed.where("inside_before or inside_after").groupBy("file", "no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda p: p["value"]), "\n").alias("record"))
-    records = single.unionByName(parts).where("no > 0")  # the first record is the header
+    # a record within one split is put together where the split's lines are; only those over a border are gathered
+    of_next = F.col("ends_inside") & (F.col("no") == F.col("records_before") + F.col("n") - 1)
+    crossing = (F.col("no") < F.col("records_before")) | of_next
+
+    def joined(lines: DataFrame, keys: list[str]) -> DataFrame:
+        return lines.groupBy(*keys).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda p: p["value"]), "\n").alias("record"))
+
+    whole = joined(placed.where(~crossing), [*SPLIT, "no"]).drop("split")
+    parts = joined(placed.where(crossing), ["file", "no"])
+    records = whole.unionByName(parts).where("no > 0")  # the first record is the header
     return records.select("file", (F.col("no") - 1).alias("seq"), F.regexp_replace("record", "\r$", "").alias("record"))

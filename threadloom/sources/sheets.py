@@ -51,14 +51,14 @@ def read_csv(spark: SparkSession, files, header, pandas_na: bool = True) -> Data
 def with_place(df: DataFrame) -> DataFrame:
     """``ord`` instead of ``seq``: the place of a row, by file name and row, whatever tasks the files were read by.
 
-    Only the row counts of the files must be added up: one narrow row per file. The parsed rows are staged, so the
-    sheets are read once.
+    Only the row counts of the files must be added up: one narrow row per file, which goes to all tasks, so that no
+    parsed row moves. The parsed rows are staged, so the sheets are read once.
     """
     df = stage_table(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "sheet-rows").toDF(*df.columns)
     files = df.groupBy("file").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return df.join(starts, "file").select(
+    return df.join(F.broadcast(starts), "file").select(
         *[F.col(f"`{c}`") for c in df.columns if c != "seq"], (F.col("start") + F.col("seq") - F.col("first")).alias("ord"))
 
 
