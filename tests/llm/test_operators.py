@@ -357,3 +357,18 @@ def test_empty_tables(spark, none):
     assert token_files.read_token_files(folder, token_files.write_token_files(none, folder)).count() == 0
     vectors = spark.createDataFrame([], "id long, code string")
     assert hamming_search.nearest(vectors, vectors, 3).count() == 0
+
+
+def test_byte_bpe_merges_the_pieces_of_many_texts_together(monkeypatch):
+    """One call of the queue for all new pieces of a batch, not one per match, and the ids of tiktoken's merging."""
+    with open(byte_bpe.VOCABULARY, "rb") as f:
+        mine = byte_bpe.ByteBpe(f.read(), public_tokenizers.PATTERN)
+    calls, merge_all = [], mine.queue.merge_all
+    monkeypatch.setattr(mine.queue, "merge_all", lambda pieces: calls.append(len(pieces)) or merge_all(pieces))
+    texts = [f"qzx{i} vbnmq{i * i}, Überlänge{i}\n\nwrtz  doppelt" if i % 3 else f"zzzq{i} plkj{i}." for i in range(400)]
+    got = mine.encode_all(texts)
+    assert len(calls) <= 4 and sum(calls) > 400
+    for text, ids in zip(texts, got, strict=True):
+        one = [i for m in mine.matches(text) for i in mine.merge(m.encode())]
+        assert np.frombuffer(ids, np.uint32).tolist() == one
+        assert mine.decode(one).decode() == text

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.llm.arrow_rows import Memo, built_once, file_broadcast, slices
+from threadloom.llm.arrow_rows import SLICE_ROWS, built_once, file_broadcast, slices
 from threadloom.llm.chunks import PieceEncoder
+from threadloom.llm.rank_queue import RankQueue
 from threadloom.llm.registry import documents, query
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,88 +24,45 @@ class ByteBpe:
 
     def __init__(self, content: bytes, pattern: str):
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, content.splitlines())}
-        self.tokens = {r: t for t, r in self.ranks.items()}
-        self.words = [0] * ((max(self.ranks.values()) >> 8) + 1)  # all zero between calls
+        by_id = dict(zip(self.ranks.values(), self.ranks))
+        self.by_id = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.binary())
+        self.whole = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
+        self.queue = RankQueue(self.ranks)
+        self.words = self.queue.words
         self.matches = regex.compile(pattern).findall
-        self.pieces = PieceEncoder(Memo(self._ids, 20_000).__getitem__, lambda p: [self._ids(" " + x) for x in p])
+        self.pieces = PieceEncoder(self._ids, self._later)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one match: always merge the pair of lowest rank, the leftmost of equals.
-
-        The queue holds, per rank, the list of positions whose pair had that rank when it was noted. Two levels of
-        bits tell which ranks have a list: ``words[w]`` has a bit per rank of 256, ``summary`` a bit per word that
-        isn't zero; find-first-set in both gives the lowest rank. Positions whose pair has changed since are stale and
-        skipped. All steps are written out here, as calls would cost more than they do.
-        """
-        ranks, words = self.ranks, self.words
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        rank_of, n, summary, lists = ranks.get, len(piece), 0, {}
-        ends, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that starts here; before[n] is unused
-        pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of the pair whose left symbol starts here
-        pair.append(-1)
-        for i, r in enumerate(pair):
-            if r >= 0:
-                if r in lists:
-                    lists[r].append(i)
-                else:
-                    lists[r] = [i]
-                    words[r >> 8] |= 1 << (r & 255)
-                    summary |= 1 << (r >> 8)
-        while summary:
-            w = (summary & -summary).bit_length() - 1
-            bits = words[w]
-            rank = w << 8 | (bits & -bits).bit_length() - 1
-            words[w] = bits = bits & bits - 1
-            if not bits:
-                summary &= summary - 1
-            waiting = lists.pop(rank)
-            if len(waiting) > 1:
-                waiting.sort()
-            for at, i in enumerate(waiting):
-                if pair[i] != rank:
-                    continue
-                middle = ends[i]
-                ends[i] = end = ends[middle]
-                pair[middle] = pair[i] = -1
-                lowest = rank
-                if end < n:
-                    before[end] = i
-                    if (r := rank_of(piece[i:ends[end]], -1)) >= 0:
-                        pair[i] = r
-                        if r in lists:
-                            lists[r].append(i)
-                        else:
-                            lists[r] = [i]
-                            words[r >> 8] |= 1 << (r & 255)
-                            summary |= 1 << (r >> 8)
-                        lowest = min(lowest, r)
-                if (p := before[i]) >= 0:
-                    pair[p] = r = rank_of(piece[p:end], -1)
-                    if r >= 0:
-                        if r in lists:
-                            lists[r].append(p)
-                        else:
-                            lists[r] = [p]
-                            words[r >> 8] |= 1 << (r & 255)
-                            summary |= 1 << (r >> 8)
-                        lowest = min(lowest, r)
-                if lowest < rank and at + 1 < len(waiting):  # the rest waits until the lower rank is done
-                    lists[rank] = waiting[at + 1:]
-                    words[w] |= 1 << (rank & 255)
-                    summary |= 1 << w
-                    break
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i:ends[i]]])
-            i = ends[i]
-        return out
-
-    def _ids(self, text: str) -> bytes:
-        out = array("I")
-        for match in self.matches(text):
-            out.extend(self.merge(match.encode()))
-        return out.tobytes()
+        """Ids of one match: always merge the pair of lowest rank, the leftmost of equals."""
+        return [self.ranks[piece]] if piece in self.ranks else self.queue.merge_all([piece])[0].tolist()
+
+    def _merged(self, matches: list[str]) -> list[bytes]:
+        """Ids of each match. Those that are no whole token are merged together, by one call of the queue."""
+        matches = [m.encode() for m in matches]
+        known = list(map(self.whole.get, matches))
+        ids, starts = self.queue.merge_all([m for m, k in zip(matches, known, strict=True) if k is None])
+        merged, cuts = ids.astype("<i4").tobytes(), (4 * starts).tolist()
+        parts = (merged[a:b] for a, b in zip(cuts, cuts[1:]))
+        return [next(parts) if k is None else k for k in known]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = [self.matches(t) for t in texts]
+        encoded = iter(self._merged([m for matches in found for m in matches]))
+        return [b"".join([next(encoded) for _ in matches]) for matches in found]
+
+    def _later(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a space: laid end to end as one text, told apart by the spaces before them."""
+        odd = [p for p in pieces if not p or p[-1].isspace() or p[0].isspace()]
+        out = dict(zip(odd, self._ids([" " + p for p in odd]), strict=True))
+        whole = [p for p in pieces if p not in out]
+        if whole:
+            matches = self.matches(" " + " ".join(whole))
+            encoded = self._merged(matches)
+            starts = [i for i, m in enumerate(matches) if m[0] == " "]
+            ends = [*starts[1:], len(matches)]
+            out.update((p, encoded[a] if b - a == 1 else b"".join(encoded[a:b]))
+                       for p, a, b in zip(whole, starts, ends, strict=True))
+        return [out[p] for p in pieces]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -114,8 +71,19 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes that each list of ids stands for, no list none. An id that is no token is an error."""
+        offsets = ids.offsets.to_numpy()
+        spelt = self.by_id.take(ids.values[int(offsets[0]):int(offsets[-1])])
+        if spelt.null_count:
+            raise KeyError("an id that is no token")
+        _, places, content = spelt.buffers()
+        places = np.frombuffer(places, np.int32)[spelt.offset:spelt.offset + len(spelt) + 1]
+        bounds = places[offsets - offsets[0]]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), content])
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN,
@@ -151,9 +119,10 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, ids_col:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built_once(ByteBpe, content.value, public_tokenizers.PATTERN)
-        for rows, ids in slices(batches, ids_col):
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array([bpe.decode(x or []) for x in ids], pa.binary())], [*kept, out])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*rows.columns, bpe.decode_all(rows.column(ids_col))], [*kept, out])
 
     schema = encoded.select(*kept).withColumn(out, F.lit(None).cast("binary")).schema
     return encoded.select(*kept).mapInArrow(decoded, schema)

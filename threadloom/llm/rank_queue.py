@@ -10,7 +10,7 @@ FEW = 12  # positions of one rank that are merged one by one; more are merged as
 
 
 class RankQueue:
-    """Merges by the ranks of a vocabulary in which every byte is a token.
+    """Merges by the ranks of a vocabulary. A byte that is no token is an error where it occurs.
 
     All pieces form one linked list of symbols that is cut at the borders of pieces. The queue holds, per rank, the
     positions whose pair had that rank when it was noted. Two levels of bits tell which ranks have positions:
@@ -31,7 +31,8 @@ class RankQueue:
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.values = np.append(np.fromiter(self.pairs.values(), np.int32, len(keys))[order], np.int32(-1))
-        self.singles = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.words = [0] * ((self.base >> 8) + 1)  # all zero between calls
+        self.singles = np.array([ranks.get(bytes([b]), self.border) for b in range(256)], np.int32)
         self.doubles = self.ranks_of(np.repeat(self.singles, 256), np.tile(self.singles, 256))
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -48,6 +49,8 @@ class RankQueue:
         n = len(line)
         stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         starts = np.concatenate(([0], stops[:-1]))
+        if (self.singles[line] == self.border).any():
+            raise KeyError("a byte that is no token")
         symbol = np.append(self.singles[line], np.int32(self.border))  # -1 where a symbol was merged into another
         after = np.arange(1, n + 2, dtype=np.int32)
         after[stops - 1] = n
@@ -62,7 +65,7 @@ class RankQueue:
         return symbol[:n][left], np.concatenate(([0], np.cumsum(left)[stops - 1]))
 
     def _merge(self, symbol, after, before, pair, starts) -> None:
-        words, summary, lists = [0] * ((self.base >> 8) + 1), 0, {}
+        words, summary, lists = self.words, 0, {}
         rank_of, base = self.pairs.get, self.base
         symbols, afters, befores, ranks = map(memoryview, (symbol, after, before, pair))
 

@@ -36,7 +36,8 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = PieceEncoder(Memo(self._ids, 20_000).__getitem__, self._later)
+        known = Memo(self._ids, 20_000)
+        self.pieces = PieceEncoder(lambda pieces: [known[p] for p in pieces], self._later)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
