@@ -2,6 +2,7 @@
 
 import base64
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ from helpers import SCHEMA, awkward, base_spans, jaccard_classes, repeat_words,
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadloom.llm import ans, byte_bpe, hamming_search, jaccard_join, language_id, line_rules, mixing, pii, sharding
+from threadloom.llm import ans, arrow_rows, byte_bpe, hamming_search, jaccard_join, language_id, line_rules, mixing, pii, sharding
 from threadloom.llm import token_counts, token_files
 from threadloom.session import new_path
 
@@ -359,6 +360,37 @@ def test_empty_tables(spark, none):
     assert hamming_search.nearest(vectors, vectors, 3).count() == 0
 
 
+def test_a_worker_keeps_the_state_of_one_operator():
+    class Table:
+        def __init__(self, content, *args):
+            self.content = content
+
+    first = arrow_rows.built_once(Table, b"1")
+    assert arrow_rows.built_once(Table, b"1") is first
+    arrow_rows.built_once(Table, b"2")
+    assert [x.content for x in arrow_rows._built.values()] == [b"2"]
+    jaccard_join.word_hashes()
+    assert not arrow_rows._built
+
+
+def test_tree_join_is_bounded_in_memory():
+    """A group of near copies of the largest size that one task gets."""
+    random.seed(3)
+    common = np.arange(1, 40_001, dtype=np.uint64) * np.uint64(2 ** 40)
+    sets = [np.sort(np.delete(common[i // 8 * 500:i // 8 * 500 + 500], random.sample(range(500), 9))) for i in range(640)]
+    sizes = np.array(list(map(len, sets)))
+    tracemalloc.start()
+    links = sum(len(js) for _, js in jaccard_join.tree_join(sets, None, 80, sizes, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == 640 * 8 and peak < 64 << 20
+
+
+def test_keep_one_joins_texts_by_one_plan_at_every_size(docs):
+    plan = jaccard_join.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "Broadcast" in x and "LeftAnti" in x]
+
+
 def test_byte_bpe_merges_the_pieces_of_many_texts_together(monkeypatch):
     """One call of the queue for all new pieces of a batch, not one per match, and the ids of tiktoken's merging."""
     with open(byte_bpe.VOCABULARY, "rb") as f:

@@ -14,13 +14,14 @@ from threadloom.session import ship_package
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
+           most: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cut batches into slices of few rows and bytes, with the texts of each slice."""
     for batch in batches:
         at, rows = 0, batch.num_rows
         column = batch.column(text)
         while at < rows:
-            n = min(SLICE_ROWS, rows - at)
+            n = min(most, rows - at)
             while n > 1 and column.slice(at, n).nbytes > SLICE_BYTES:
                 n //= 2
             yield batch.slice(at, n), column.slice(at, n).to_pylist()
@@ -38,13 +39,22 @@ _built: dict[tuple[str, str], Any] = {}
 
 
 def built_once(kind: Callable[..., Any], content: bytes, *args) -> Any:
-    """``kind(content, *args)``, kept for later tasks of this worker."""
+    """``kind(content, *args)``, kept for later tasks of this worker until it builds another.
+
+    Workers outlive a stage: one that goes from operator to operator holds the tables and caches of the last only.
+    """
     key = (kind.__qualname__, hashlib.sha256(content + repr(args).encode()).hexdigest())
     if key not in _built:
+        _built.clear()
         _built[key] = kind(content, *args)
     return _built[key]
 
 
+def forget_built() -> None:
+    """For operators that build nothing: what an earlier one left in this worker goes before they need memory."""
+    _built.clear()
+
+
 class Memo(dict):
     """A dict that computes missing values and forgets all of them when it holds ``most``. Long keys are not kept."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.llm.arrow_rows import Memo, slices
+from threadloom.llm.arrow_rows import Memo, forget_built, slices
 from threadloom.llm.components import components
 from threadloom.llm.registry import documents, query
 from threadloom.session import ship_package, stage_table
@@ -17,7 +17,7 @@ from threadloom.session import ship_package, stage_table
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 GROUP_TOKENS = 400_000  # shingles of one side of a tree join task
 SALTS = 64  # copies of a component's row
-CELLS = 1 << 24  # of the table of probes and shingles that are traversed together
+CELLS = 1 << 22  # of the table of probes and shingles that are traversed together: five bytes each
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -27,10 +27,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_word_hashes = Memo(xxhash.xxh3_64_intdigest, 250_000)
+def word_hashes() -> Memo:
+    """Hashes of words. A task makes its own, so that no worker holds one after it."""
+    forget_built()
+    return Memo(xxhash.xxh3_64_intdigest, 250_000)
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int, hash_of: Memo) -> np.ndarray:
     """Hashes of the distinct ``width``-word shingles of a text, in ascending (= global) order.
 
     Words are runs of other characters than the six ASCII white spaces; A-Z are lower-cased. Fewer words than
@@ -40,7 +43,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, n)
+    hashes = np.fromiter(map(hash_of.__getitem__, words), np.uint64, n)
     if n < width:
         value = np.array([n], np.uint64)
         for h in hashes:
@@ -66,8 +69,9 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per document: id, hash of the text, set size, 128-bit signature of the set, and the first shingles of the
     global order."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = word_hashes()
         for rows, texts in slices(batches):
-            sets = [shingle_set(t, width) for t in texts]
+            sets = [shingle_set(t, width, hash_of) for t in texts]
             sizes = [len(s) for s in sets]
             kept = [s[:min(n, _spare(n, percent) + _deep(n, percent))] for s, n in zip(sets, sizes)]
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
@@ -183,6 +187,7 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
 
 def _linked(groups: Iterator[pa.RecordBatch] | pa.Table, percent: int) -> pa.Table:
     """Spanning links and numbers of links of one task: sets of side 0 with each other, or of side 0 with side 1."""
+    forget_built()
     table = groups.sort_by([("side", "ascending"), ("rep", "ascending")])
     side, reps = table.column("side").to_numpy(), table.column("rep").to_numpy()
     copies, sizes = table.column("copies").to_numpy(), table.column("n").to_numpy()
@@ -221,11 +226,12 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     placed = members.join(weight, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = word_hashes()
         for rows, texts in slices(batches):
             kept = [c for c in rows.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*[rows.column(c) for c in kept],
-                 pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], [*kept, "shingles"])
+                 pa.array([shingle_set(t, width, hash_of).tobytes() for t in texts], pa.binary())], [*kept, "shingles"])
 
     columns = ["rep", "n", "copies", "block", "parts", "part"]
     # A few texts of all are wanted, but how many grows with the input: shuffled by id and hash at every size, never
@@ -321,7 +327,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     ordered = [n for n, f in zip(names, docs.schema.fields) if "map<" not in f.dataType.simpleString()]
     first = wide.join(many, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(
         F.min_by(F.struct(*names), F.struct(*ordered)).alias("row")).select("row.*")
-    return wide.join(gone, ["doc_id", "hash"], "left_anti").select(*names).union(first).toDF(*docs.columns)
+    # Merged at every size: what is dropped grows with the input.
+    return wide.join(gone.hint("merge"), ["doc_id", "hash"], "left_anti").select(*names).union(first).toDF(*docs.columns)
 
 
 JACCARD_SQL = r"""
