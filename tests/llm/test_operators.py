@@ -360,6 +360,28 @@ def test_empty_tables(spark, none):
     assert hamming_search.nearest(vectors, vectors, 3).count() == 0
 
 
+def test_library_encoder_asks_once_for_what_repeats(monkeypatch):
+    """The ids of the library for texts of every kind; few calls, as words, signs and line feeds are told apart before."""
+    library = Tokenizer.from_file(token_files.VOCABULARY)
+    with open(token_files.VOCABULARY, "rb") as f:
+        mine = token_files.LibraryEncoder(f.read())
+    texts = odd_texts(3000) + ["", " ", " a", "a ", "a\n", "\n\n", "a\n\n", "a\n\nb", "a\n\n\nb", "a.\n\n\n", "# #", "a #", "#a ##b1c2",
+                               "it's so'. 'tis", "é'x «a» …b.", "a  b", "a\tb", "x<|endoftext|>y", "12 a34,5", "²3 ½", "ʰa ǆ×÷ª"]
+    for _ in range(2):
+        for text, ids in zip(texts, mine.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    calls, merged = [], mine.merged
+    monkeypatch.setattr(mine, "merged", lambda match: calls.append(match) or merged(match))
+    monkeypatch.setattr(mine, "_whole", lambda text: pytest.fail(text))
+    mine.encode_all([f"Qzxa qzxb{'.' * (i % 9)} qzxc, qzxd\nqzxe{'!' * (i % 7)} qzxb" for i in range(2000)])
+    assert len(calls) < 40
+
+
+def test_coder_with_large_ids():
+    ids = np.array([5, 2 ** 32 - 1, 7, 5] * 100, np.uint32)
+    assert ans.TokenFile(ans.encode_file(ids, [1], [len(ids)])).decode().tolist() == ids.tolist()
+
+
 def test_a_worker_keeps_the_state_of_one_operator():
     class Table:
         def __init__(self, content, *args):

@@ -20,6 +20,7 @@ MAGIC = b"TLRANS01"
 LANES = 64
 BLOCK_IDS = 1 << 16
 SCALE_BITS = 20
+SMALL_IDS = 1 << 20  # ids below are counted and looked up in tables of that length
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 WORD = np.uint64(32)
 SCALE = np.uint64(SCALE_BITS)
@@ -30,7 +31,12 @@ ARRAYS = (("symbols", "<u4"), ("frequencies", "<u4"), ("doc_ids", "<i8"), ("doc_
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in use and frequencies of at least 1 that sum to 2^SCALE_BITS (so at most that many symbols)."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if ids.max() < SMALL_IDS:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     scaled = np.maximum(1, counts * ((1 << SCALE_BITS) - len(symbols)) // counts.sum()).astype(np.int64)
     scaled[np.argmax(scaled)] += (1 << SCALE_BITS) - scaled.sum()
     return symbols.astype(np.uint32), scaled.astype(np.uint32)
@@ -51,7 +57,13 @@ def encode_file(ids: np.ndarray, doc_ids: list[int | None], doc_lengths: list[in
     blocks, steps = layout(n)
     padded = np.full(blocks * steps * LANES, symbols[np.argmax(frequencies)], np.uint32)
     padded[:n] = ids
-    index = np.searchsorted(symbols, padded).reshape(blocks, steps, LANES).transpose(1, 0, 2)
+    if symbols[-1] < SMALL_IDS:
+        places = np.zeros(int(symbols[-1]) + 1, np.int32)
+        places[symbols] = np.arange(len(symbols), dtype=np.int32)
+        index = places[padded]
+    else:
+        index = np.searchsorted(symbols, padded)
+    index = index.reshape(blocks, steps, LANES).transpose(1, 0, 2)
     f, c = frequencies.astype(np.uint64)[index], starts[index]
     x = np.full((blocks, LANES), LOW, np.uint64)
     words, wrote = np.empty((steps, blocks, LANES), np.uint32), np.empty((steps, blocks, LANES), bool)

@@ -2,63 +2,116 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.ans import TokenFile, encode_file
-from threadloom.llm.arrow_rows import Memo, built_once, file_broadcast, slices
-from threadloom.llm.chunks import PieceEncoder
+from threadloom.llm.arrow_rows import built_once, file_broadcast, slices
+from threadloom.llm.chunks import LONGEST, OTHER_SPACE, RUNS
 from threadloom.llm.prefix_sums import PART, sums_before
 from threadloom.llm.registry import documents, query
+from threadloom.llm.token_counts import byte_letters
 from threadloom.session import new_path, stage_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-PIECES_A_CALL = 256
 FILE_IDS = 2 << 20  # a file is closed at the end of the document that passes this
+SLICE_ROWS = 4096  # texts encoded together, of some megabytes in all
+KEPT = 250_000  # pieces of a generation
+# Characters that are letters, digits or signs in every Unicode version, and no apostrophe, which begins contractions.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+WELL_KNOWN = re.compile(f"(?: ?[{LETTERS}0-9{SIGNS}])?[{LETTERS}0-9{SIGNS}\n]*").fullmatch
+MATCHES = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\n+(?!\S)|\n+").findall
+LETTER_OF = byte_letters()
+SPACE = LETTER_OF[ord(" ")]
+# In a text of these characters alone, runs of signs and line feeds are matches of their own. Of three line feeds, or
+# of two at the end, some are one match.
+ODD, APART = rf"[^ {LETTERS}0-9{SIGNS}\n]|\n\n\n|\n\n\z", rf"( ?[{SIGNS}]+|\n)"
+UNCUT = "|".join([f"[{OTHER_SPACE}]", *RUNS])
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked for pieces between single spaces that are not known yet, many at a time."""
+    """The tokenizers library, asked once for what repeats.
+
+    A text is cut before each single space (see ``chunks``), and most around signs and line feeds; the pieces of a slice of texts are told apart by Arrow, and
+    their ids are gathered by one ``take``. A new piece of well-known characters is cut into the matches of the
+    byte-level pre-tokenizer, and the library's model merges each match; any other piece goes to the library as it is, and so
+    does a whole text that can't be cut or has a special string, or every text if the file pre-tokenizes in another way.
+    """
 
     def __init__(self, content: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.merged = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        known = Memo(self._ids, 20_000)
-        self.pieces = PieceEncoder(lambda pieces: [known[p] for p in pieces], self._later)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _later(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that follow a space: laid end to end as one text, told apart by the places of the tokens."""
-        out = {p: self._ids(" " + p) for p in pieces if p.strip() != p or not p}
-        whole = [p for p in pieces if p not in out]
-        for at in range(0, len(whole), PIECES_A_CALL):
-            some = whole[at:at + PIECES_A_CALL]
-            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(p) + 1 for p in some])
-            bounds = 4 * np.searchsorted([o[0] for o in found.offsets], starts)
-            ids = np.array(found.ids, np.uint32).tobytes()
-            out.update((p, ids[a:b]) for p, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        return [out[p] for p in pieces]
+        splits = self.tokenizer.pre_tokenizer
+        self.cuts = (self.tokenizer.normalizer is None and isinstance(splits, pre_tokenizers.ByteLevel)
+                     and splits.use_regex and not splits.add_prefix_space)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, piece: str) -> bytes:
+        word = piece.removeprefix(" ")
+        if word.isascii() and word.isalpha():
+            return self._match(piece.replace(" ", SPACE))
+        if not WELL_KNOWN(piece):
+            return self._whole(piece)
+        matches = MATCHES(piece)
+        if len(matches) != 1:
+            return b"".join(map(self._known, matches))
+        return self._match(piece.encode().decode("latin-1").translate(LETTER_OF))
+
+    def _match(self, spelt: str) -> bytes:
+        return array("I", [t.id for t in self.merged(spelt)]).tobytes()
+
+    def _known(self, piece: str) -> bytes:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                ids = self._new(piece)
+            if len(piece) <= LONGEST:
+                self.young[piece] = ids
+        return ids
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        special = [any(s in t for s in self.special) for t in texts]
-        plain = iter(self.pieces.encode_all([t for t, s in zip(texts, special, strict=True) if not s]))
-        return [self._ids(t) if s else next(plain) for t, s in zip(texts, special, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, UNCUT)
+        for mark in self.special:
+            whole = pc.or_(whole, pc.match_substring(column, mark))
+        whole = whole.to_pylist() if self.cuts else [True] * len(texts)
+        column = column.filter(pa.array([not w for w in whole], pa.bool_()))
+        column = pc.if_else(pc.match_substring_regex(column, ODD), column, pc.replace_substring_regex(
+            column, APART, "\t\\1\t"))
+        pieces = pc.split_pattern(pc.replace_substring(column, " ", "\t "), "\t")  # no text to cut has a tab
+        coded = pieces.flatten().dictionary_encode()
+        ids = pa.array(list(map(self._known, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), pa.large_binary()).take(coded.indices)
+        if len(self.young) >= KEPT:  # frequent pieces come back from the old generation
+            self.old, self.young = self.young, {}
+        _, places, content = ids.buffers()
+        places = np.frombuffer(places, np.int64)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        offsets = pieces.offsets.to_numpy()
+        bounds = places[offsets - offsets[0]].tolist()
+        content = memoryview(content or b"")
+        cut = (bytes(content[a:b]) for a, b in zip(bounds, bounds[1:]))
+        return [self._whole(t) if w else next(cut) for t, w in zip(texts, whole, strict=True)]
 
 
 def _put(folder: str, name: str, content: bytes) -> None:
@@ -101,7 +154,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
                  pa.array([len(names)], pa.int64()), pa.array([held], pa.int64())],
                 ["file", PART, "number", "n_docs", "n_ids"])
 
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=SLICE_ROWS):
             encoded = encoder.encode_all([t or "" for t in texts])
             for name, one in zip(rows.column("doc_id").to_pylist(), encoded, strict=True):
                 one += end
