@@ -52,7 +52,9 @@ def built_once(kind: Callable[..., Any], content: bytes, *args) -> Any:
 
 def forget_built() -> None:
     """For operators that build nothing: what an earlier one left in this worker goes before they need memory."""
-    _built.clear()
+    if _built:
+        _built.clear()
+        pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.ans import TokenFile, encode_file
-from threadloom.llm.arrow_rows import built_once, file_broadcast, slices
+from threadloom.llm.arrow_rows import built_once, file_broadcast, forget_built, slices
 from threadloom.llm.chunks import LONGEST, OTHER_SPACE, RUNS
 from threadloom.llm.prefix_sums import PART, sums_before
 from threadloom.llm.registry import documents, query
@@ -27,8 +27,8 @@ from threadloom.session import new_path, stage_table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 FILE_IDS = 2 << 20  # a file is closed at the end of the document that passes this
-SLICE_ROWS = 4096  # texts encoded together, of some megabytes in all
-KEPT = 250_000  # pieces of a generation
+SLICE_ROWS = 1024  # texts encoded together, of some megabytes in all
+KEPT = 120_000  # pieces of a generation
 # Characters that are letters, digits or signs in every Unicode version, and no apostrophe, which begins contractions.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 WELL_KNOWN = re.compile(f"(?: ?[{LETTERS}0-9{SIGNS}])?[{LETTERS}0-9{SIGNS}\n]*").fullmatch
@@ -182,6 +182,7 @@ def read_token_files(folder: str, files: DataFrame) -> DataFrame:
     spark = files.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_built()  # a worker may come from the writing stage, with all its pieces
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 held = TokenFile(content.as_py())
@@ -208,6 +209,7 @@ def read_token_files(folder: str, files: DataFrame) -> DataFrame:
 def id_checksums(documents_read: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_built()
         for batch in batches:
             ids = batch.column("ids")
             crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in ids]
