@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.arrow_rows import Memo, forget_built, slices
 from threadloom.llm.components import components
+from threadloom.llm.key_bits import by_bits, key_bits
 from threadloom.llm.registry import documents, query
 from threadloom.session import ship_package, stage_table
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 GROUP_TOKENS = 400_000  # shingles of one side of a tree join task
+SET_TOKENS = 64  # a set counts as so many shingles besides its own: a task's time grows with its number of sets too
+PAIRED = 16  # sets that meet at a shingle and are paired one by one; of more, each is linked to the first
+MEETINGS = 4  # of a pair, that are asked for at most
 SALTS = 64  # copies of a component's row
 CELLS = 1 << 22  # of the table of probes and shingles that are traversed together: five bytes each
 
@@ -89,23 +93,50 @@ def _spare_col(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100)
 
 
+def _deep_col(n: Column, percent: int) -> Column:
+    """How many shingles a set of ``n`` shares at least, within both prefixes, with any similar set."""
+    return 1 + F.floor(_spare_col(F.ceil(n * percent / 100), percent) / 2)
+
+
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, rep): shingles by which two sets that are similar enough are sure to meet.
+    """(token, rep, n): shingles by which two sets that are similar enough are sure to meet.
 
     Two such sets share the first ``L`` of their common shingles within their prefixes, L by the smaller set. So a
-    set with fewer shared shingles in its prefix than L for the smallest partner has no partner, and in the order of
-    rising frequency, a common one is among the first (shared - L + 1). Frequencies are counted in the prefixes.
+    set with fewer shared shingles in its prefix than ``deep``, L for the smallest partner, has no partner. In the
+    order of rising frequency, the first t common ones, t up to ``deep`` of both sets, are among the first (shared -
+    deep + t) of each. Frequencies are counted in the prefixes.
     """
     n = F.col("n")
-    smallest = F.ceil(n * percent / 100)
-    deep = 1 + F.floor(_spare_col(smallest, percent) / 2)
-    tokens = classes.select("rep", deep.cast("int").alias("deep"), F.explode("prefix").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(common, "token")
+    # Smaller sets are similar to equal ones only.
+    tokens = classes.where(100 * n >= percent * (n + 1)).select("rep", "n", F.explode("prefix").alias("token"))
     of_set = Window.partitionBy("rep")
-    ranked = shared.withColumns({"shared": F.count("*").over(of_set),
+    # Counted where they are brought together: the shingles of all prefixes are shuffled once.
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    ranked = shared.withColumns({"deep": _deep_col(n, percent), "shared": F.count("*").over(of_set),
                                  "rank": F.row_number().over(of_set.orderBy("df", "token"))})
-    return ranked.where("shared >= deep and rank <= shared - deep + 1").select("token", "rep")
+    return ranked.where(F.expr(f"shared >= deep and rank <= shared - deep + least(deep, {MEETINGS})")).select(
+        "token", "rep", "n")
+
+
+def _near(meet: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all sets that can be similar, and few others.
+
+    Similar sets meet at ``need`` shingles, as many as ``_candidates`` took of the smaller set. Where few sets meet,
+    they are paired, and pairs count with so many meetings: sets that meet by chance, mostly once, don't chain. Where
+    many meet, each is linked to the first.
+    """
+    sized = meet.withColumn("sets", F.count("*").over(Window.partitionBy("token")))
+    few = sized.where(F.col("sets") <= PAIRED)
+    small, both = F.least("na", "nb"), F.col("na") + F.col("nb")
+    most = small - (F.col("na") == F.col("nb")).cast("int")  # shingles in common: equal sets are one class
+    pairs = few.select("token", F.col("rep").alias("a"), F.col("n").alias("na")).join(
+        few.select("token", F.col("rep").alias("b"), F.col("n").alias("nb")), "token").where(
+        (F.col("a") < F.col("b")) & (100 * most >= percent * (both - most)))
+    need = F.least(_deep_col(small, percent), F.lit(MEETINGS)).cast("int")
+    paired = pairs.groupBy("a", "b", need.alias("need")).count().where("count >= need").select("a", "b")
+    crowd = sized.where(F.col("sets") > PAIRED)
+    hub = crowd.groupBy("token").agg(F.min("rep").alias("b"))
+    return paired.union(crowd.join(hub, "token").select(F.col("rep").alias("a"), "b").where("a <> b"))
 
 
 class Tree:
@@ -214,16 +245,38 @@ def _linked(groups: Iterator[pa.RecordBatch] | pa.Table, percent: int) -> pa.Tab
     return pa.table({"a": reps, "b": reps[group], "links": links})
 
 
-def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """Members with ``part`` of their block and ``others``, the parts (its own too) that it is compared with.
+
+    A block over ``GROUP_TOKENS`` is cut into parts of about that weight in the order of set sizes, sets of one size by
+    a hash. Similar sets differ little in size: a part is compared with those near it, however many a block has.
+    """
+    up, block = Window.partitionBy("block").orderBy("n"), Window.partitionBy("block")
+    sizes = members.groupBy("block", "n").agg(F.sum(F.col("n") + SET_TOKENS).alias("weight")).withColumns({
+        "upto": F.sum("weight").over(up), "all": F.sum("weight").over(block)}).where(
+        F.col("all") > GROUP_TOKENS).drop("all")
+    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / F.lit(1 << 20)
+    at = F.floor((F.col("upto") - F.col("weight") * (1 - share)) / GROUP_TOKENS)
+    placed = stage_table(members.join(sizes, ["block", "n"], "left").withColumn(
+        "part", F.coalesce(at, F.lit(0)).cast("int")), "jaccard-placed")
+    parts = placed.where("weight is not null").groupBy("block", "part").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"))
+    later = parts.select("block", F.col("part").alias("other"), F.col("low").alias("other_low"))
+    near = parts.join(later, "block").where(
+        (F.col("other") >= F.col("part")) & (percent * F.col("other_low") <= 100 * F.col("high")))
+    both = near.select("block", "part", "other").union(near.where("other > part").select("block", "other", "part"))
+    others = both.groupBy("block", "part").agg(F.collect_list("other").alias("others"))
+    return placed.drop("weight", "upto").join(others, ["block", "part"], "left").withColumn(
+        "others", F.coalesce("others", F.array(F.lit(0))))
+
+
+def _class_links(docs: DataFrame, by_set: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, links): sets to compare are brought together in blocks, each block split into tasks of bounded size."""
     meet = stage_table(_candidates(classes, percent), "jaccard-meet")
-    hub = meet.groupBy("token").agg(F.min("rep").alias("b"))
-    edges = meet.join(hub, "token").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    blocks = components(edges, "jaccard-blocks").select(F.col("id").alias("rep"), F.col("component").alias("block"))
-    members = stage_table(blocks.join(classes.select("rep", "n", "copies", "doc_id", "hash"), "rep"), "jaccard-members")
-    weight = members.groupBy("block").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("parts"))
-    # A block of p parts is p * (p + 1) / 2 tasks: each part with itself and with each later one.
-    placed = members.join(weight, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blocks = components(_near(meet, percent), "jaccard-blocks").select(
+        F.col("id").alias("rep"), F.col("component").alias("block"))
+    members = stage_table(blocks.join(by_set.select("rep", "n", "copies", "doc_id", "hash"), "rep"), "jaccard-members")
+    placed = _placed(members, percent)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = word_hashes()
@@ -233,13 +286,14 @@ def _class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
                 [*[rows.column(c) for c in kept],
                  pa.array([shingle_set(t, width, hash_of).tobytes() for t in texts], pa.binary())], [*kept, "shingles"])
 
-    columns = ["rep", "n", "copies", "block", "parts", "part"]
-    # A few texts of all are wanted, but how many grows with the input: shuffled by id and hash at every size, never
-    # broadcast.
-    sets = placed.hint("merge").join(docs.select("doc_id", "hash", "text"), ["doc_id", "hash"]).select(*columns, "text").dropDuplicates(["rep"]).mapInArrow(
-        with_sets, "rep long, n long, copies long, block long, parts int, part int, shingles binary")
-    sets = stage_table(sets, "jaccard-sets")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+    columns = ["rep", "n", "copies", "block", "part", "others"]
+    # A few texts of all are wanted, but how many grows with the input: those that a bitmap of the keys lets pass are
+    # shuffled by id and hash at every size, never broadcast.
+    key = ["doc_id", "hash"]
+    texts = by_bits(docs.select(*key, "text"), key_bits(members, key, "jaccard-wanted"), key).dropDuplicates(key)
+    sets = placed.hint("merge").join(texts, key).select(*columns, "text").mapInArrow(
+        with_sets, "rep long, n long, copies long, block long, part int, others array<int>, shingles binary")
+    dealt = sets.withColumn("other", F.explode("others")).select(
         "rep", "n", "copies", "block", "shingles", F.least("part", "other").alias("p"),
         F.greatest("part", "other").alias("q"),
         F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
@@ -257,17 +311,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows that can link (doc_id, hash, n, component, component_id, n_links), and the others (doc_id, n).
 
-    A class of equal sets has a number of its own, ``rep``, fixed when it is written: an id does not name a class, as
-    rows may share an id but not a text. ``component`` is the smallest such number, ``component_id`` the smallest id.
+    A class of equal sets has a number, ``rep``, that of its first row, fixed when rows are written: an id does not
+    name a class, as rows may share an id but not a text. ``component`` is the smallest such number, ``component_id``
+    the smallest id.
     """
-    prefixes = stage_table(_prefixes(docs, width, percent), "jaccard-prefixes")
+    prefixes = stage_table(_prefixes(docs, width, percent).withColumn("row", F.monotonically_increasing_id()),
+                           "jaccard-prefixes")
     full = prefixes.where("n > 0 and doc_id is not null")
-    by_set = full.groupBy("n", "signature").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("hash", "doc_id").alias("hash"), F.count("*").alias("copies"))
-    by_set = stage_table(by_set.withColumn("rep", F.monotonically_increasing_id()), "jaccard-classes")
-    classes = by_set.join(full.select("doc_id", "n", "signature", "prefix").dropDuplicates(["doc_id", "n", "signature"]),
-                          ["doc_id", "n", "signature"])
-    linked = stage_table(_class_links(docs, classes, width, percent), "jaccard-links")
+    by_set = stage_table(full.groupBy("n", "signature").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("hash", "doc_id").alias("hash"), F.count("*").alias("copies"),
+        F.min("row").alias("rep")), "jaccard-classes")
+    # Of rows with equal sets one is taken. Only rows that may have such others are shuffled with their prefixes.
+    key = ["n", "signature"]
+    copied = key_bits(by_set.where("copies > 1"), key, "jaccard-copied")
+    rows = full.select(F.col("row").alias("rep"), *key, "prefix")
+    classes = by_bits(rows, copied, key, "left_anti").union(
+        by_bits(rows, copied, key).join(by_set.select("rep").hint("merge"), "rep", "left_semi").select(rows.columns))
+    linked = stage_table(_class_links(docs, by_set, classes, width, percent), "jaccard-links")
     found = components(linked.select("a", "b"), "jaccard-found").withColumnRenamed("id", "rep")
     counted = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     smallest = found.join(by_set.select("rep", "doc_id"), "rep").groupBy("component").agg(
